@@ -13,6 +13,7 @@ from evidara.session import durable, shuffle_partitions
 
 #: White space of the contracts: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, sharding
+from evidara.llm import exact_dedup, mixing, sharding, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -34,3 +34,14 @@ ORACLES["op3_exact_dedup"] = """
     select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.text) as text_sha256
     from texts t join grouped g on t.text = g.text
 """
+
+
+@_register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
