@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, mixing, sharding, url_filter
+from evidara.llm import exact_dedup, mixing, sharding, simhash, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, budget=2)
