@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, mixing, sharding, simhash, url_filter
+from evidara.llm import exact_dedup, mixing, packing, sharding, simhash, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -50,3 +50,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, budget=2)
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+    """Where the public vocabulary files lie; another folder can be given to the operator itself."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_register
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
