@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, mixing, packing, sharding, simhash, url_filter
+from evidara.llm import exact_dedup, fingerprint, mixing, packing, sharding, simhash, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -62,3 +62,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 @_register
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@_register
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
