@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, fingerprint, mixing, packing, sharding, simhash, url_filter
+from evidara.llm import exact_dedup, fingerprint, html_extract, mixing, packing, sharding, simhash, toxicity, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -67,3 +67,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (~toxicity.learning_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@_register
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))

@@ -57,24 +57,30 @@ class _Letters(dict):
 
 
 _LETTERS = _Letters()
-_SPELLED = re.compile(r"(?<!\w)(?:\w[^\w\n]{1,2}){3,}\w(?!\w)")
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The text's sentences as lists of units: words of bare letters, and words spelled out letter by letter.
+class Parsed:
+    """A text's units, and its sentences as lists of units when asked for.
 
-    Very long words are taken in overlapping stretches.
+    Units are words of bare letters and words spelled out letter by letter; very long ones are taken in overlapping
+    stretches.
     """
-    lower = text.lower()
-    out = []
-    for line in lower.translate(_LETTERS).split("\n"):
-        units = line.split()
-        if units and max(map(len, units)) > UNIT_LETTERS:
-            units = [part for word in units for part in _stretches(word)]
-        if units:
-            out.append(units)
-    spelled = ("".join(found.group().translate(_LETTERS).split()) for found in _SPELLED.finditer(lower))
-    return out + [_stretches(word) for word in spelled if word]
+
+    def __init__(self, text: str):
+        self.plain = text.lower().translate(_LETTERS)
+        units = self.plain.split()
+        self.long = bool(units) and len(max(units, key=len)) > UNIT_LETTERS
+        lengths = bytes(map(len, units)) if not self.long else bytes(min(len(u), UNIT_LETTERS) for u in units)
+        self.spelled = []
+        if b"\1\1\1\1" in lengths:
+            self.spelled = [s for run in re.finditer(b"\1{4,}", lengths) for s in _stretches("".join(units[run.start() : run.end()]))]
+        self.units = {s for unit in units for s in _stretches(unit)} if self.long else set(units)
+        self.units.update(self.spelled)
+
+    def sentences(self) -> list[list[str]]:
+        lines = (line.split() for line in self.plain.split("\n"))
+        found = [[s for unit in line for s in _stretches(unit)] if self.long else line for line in lines if line]
+        return found + [[s] for s in self.spelled]
 
 
 def _stretches(word: str) -> list[str]:
@@ -85,17 +91,15 @@ def _stretches(word: str) -> list[str]:
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each unit the codes of its gapped letter triples (-1: none) and, by column, their weights."""
     width = max(map(len, units), default=0) + max(b for _, b in GAPS)
-    letters = np.full((len(units), width), -1, dtype=np.int64)
-    for at, unit in enumerate(units):
-        raw = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        letters[at, : len(raw)] = np.where((raw >= 97) & (raw <= 122), raw - 97, 26 + raw % 6)
+    raw = np.array(units, dtype=f"U{width}").view(np.uint32).reshape(len(units), width).astype(np.int32)
+    letters = np.where((raw >= 97) & (raw <= 122), raw - 97, np.where(raw > 0, 26 + raw % 6, -1))
     last = width - max(b for _, b in GAPS)
     found, weights = [], []
     for second, third in GAPS:
         a, b, c = letters[:, :last], letters[:, second : last + second], letters[:, third : last + third]
         found.append(np.where((a >= 0) & (b >= 0) & (c >= 0), (a * 32 + b) * 32 + c, -1))
         weights += [DECAY ** (third - 2)] * last
-    return np.concatenate(found, axis=1) if last else np.zeros((len(units), 0), np.int64), np.array(weights)
+    return np.concatenate(found, axis=1) if last else np.zeros((len(units), 0), np.int32), np.array(weights)
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -133,6 +137,7 @@ class Kernel:
         self.place[used] = np.arange(len(used))
         self.table = dense[:, used].T.copy()
         self.seen: dict[str, int] = {}
+        self.alarming: set[str] = set()
         self.active = np.zeros((0, len(landmarks)), dtype=np.float32)
 
     def __getstate__(self) -> dict:
@@ -159,17 +164,20 @@ class Kernel:
     def trim(self) -> None:
         """Forget everything once the memory is full; called between batches only."""
         if len(self.seen) > CACHE:
-            self.seen, self.active = {}, self.active[:0]
+            self.seen, self.alarming, self.active = {}, set(), self.active[:0]
 
     def learn(self, units: list[str]) -> None:
         """Remember each unit's row of likeness, or -1 if it is like no landmark."""
-        for start in range(0, len(units), 8192):
-            part = units[start : start + 8192]
+        units = sorted(units, key=len)  # like lengths share narrow arrays
+        for start in range(0, len(units), 4096):
+            part = units[start : start + 4096]
             rows = self.likeness(part)
             rows[rows < ACTIVE] = 0
             is_active = rows.any(axis=1)
             numbers = np.where(is_active, len(self.active) + np.cumsum(is_active) - 1, -1)
-            self.active = np.concatenate([self.active, rows[is_active]])
+            if is_active.any():
+                self.active = np.concatenate([self.active, rows[is_active]])
+                self.alarming.update(u for u, yes in zip(part, is_active, strict=True) if yes)
             self.seen.update(zip(part, numbers.tolist(), strict=True))
 
     def pooled(self, sentence: list[str]) -> np.ndarray | None:
@@ -191,10 +199,12 @@ class Model:
         kernel = self.kernel
         kernel.trim()
         out = np.full(len(texts), self.bias)
-        pool = [sentences(t) for t in texts]
-        kernel.learn(list({u for text in pool for s in text for u in s if u not in kernel.seen}))
-        for at, text in enumerate(pool):
-            for sentence in text:
+        parsed = [Parsed(t) for t in texts]
+        kernel.learn(list(set().union(*(p.units for p in parsed)).difference(kernel.seen)))
+        for at, text in enumerate(parsed):
+            if kernel.alarming.isdisjoint(text.units):
+                continue
+            for sentence in text.sentences():
                 found = kernel.pooled(sentence)
                 if found is not None:
                     out[at] = max(out[at], float(found @ self.weights) + self.bias)
@@ -305,8 +315,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     flat = Model(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
         return flat
-    pool = [sentences(t) for t in texts]
-    bags = [{u for s in text for u in s} for text in pool]
+    parsed = [Parsed(t) for t in texts]
+    pool, bags = [p.sentences() for p in parsed], [p.units for p in parsed]
     originals = _originals(bags)
     chosen = _landmarks([bags[i] for i in originals], y[originals])
     if not chosen:
