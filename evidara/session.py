@@ -24,16 +24,17 @@ def build_session(app: str = "evidara", cores: int = 8, memory: str = "20g") ->
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that setting is absent (tests on one machine)
-    a temporary folder is used.
-    """
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
