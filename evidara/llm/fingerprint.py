@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +16,10 @@ LOW_BITS = 8
 SHINGLE_WORDS = 5
 
 
-def probe_order(bins: int) -> list[list[int]]:
-    """For each bin, all bins in its own pseudo-random order, the order in which an empty bin looks for a full one."""
-    return [sorted(range(bins), key=lambda other: xxhash.xxh64_intdigest(f"{own}:{other}", 1)) for own in range(bins)]
-
-
 def shingle_hashes(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
     """Hashes of all word shingles of the whole text; of all its words if there are fewer; none without words."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
@@ -43,51 +38,70 @@ def _let(value: Column, body) -> Column:
 def minhash_bins(hashes: Column, bins: int) -> Column:
     """The least hash of each non-empty bin, as hashes sorted by (bin, hash). The top bits of a hash are its bin.
 
-    Adding the smallest long turns unsigned order into the signed order of sort_array; bins keep their order either way.
+    Hashes are sorted as signed numbers, so the bins of the upper half come first; equal top bits stay together.
     """
     shift = 64 - int(math.log2(bins))
     return _let(F.sort_array(hashes), lambda s: F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h, shift) != F.shiftrightunsigned(F.get(s, i - 1), shift))))
 
 
-def fingerprint(text: Column, probes: Column, bins: int = BINS, low_bits: int = LOW_BITS, shingle_words: int = SHINGLE_WORDS) -> Column:
-    """The packed fingerprint as lowercase hex, one group of low_bits for each bin; empty for a text without words.
+def _probe(own: Column, attempt: int, bins: int) -> Column:
+    return F.xxhash64(F.lit(attempt), own).bitwiseAND(F.lit(bins - 1)).cast("int")
+
 
-    Every shingle is hashed once. The top bits choose the bin, the least hash of a bin stands for it. An empty bin takes
-    the value of the first full bin in its own fixed random order, so that every full bin is equally likely and bins
-    choose independently: optimal densification. Of each value the low_bits lowest bits are kept.
+def densified(least: Column, bins: int, attempts: int = 24) -> Column:
+    """One value for each bin from the least hashes of the full ones: optimal densification.
+
+    An empty bin tries bins drawn by a hash of (attempt, bin) until it meets a full one, so every full bin is equally
+    likely and empty bins choose independently. If ``attempts`` draws all meet empty bins, which takes a nearly empty
+    table, the full bin with the least hash of (bin, full bin) is taken: the same law, at the cost of looking at all.
     """
     shift = 64 - int(math.log2(bins))
-    width = low_bits // 4
+    bin_of = lambda h: F.shiftrightunsigned(h, shift).cast("int")
+    nothing = F.lit(None).cast("bigint")
+    # hashes are in signed order, in which the upper half of the bins comes first
+    half = bins // 2
+    rank = lambda h: (bin_of(h) + half) % bins
+    gap = lambda h, i: rank(h) - F.coalesce(rank(F.get(least, i - 1)), F.lit(-1)) - 1
+    runs = F.transform(least, lambda h, i: F.concat(F.array_repeat(nothing, gap(h, i)), F.array(h)))
+    last = F.array_repeat(nothing, bins - 1 - rank(F.element_at(least, -1)))
+    sparse = F.concat(F.flatten(runs), last)
 
-    def pack(least: Column) -> Column:
-        full = F.transform(least, lambda h: F.shiftrightunsigned(h, shift).cast("int"))
+    def fill(sparse: Column) -> Column:
+        def value(h: Column, at: Column) -> Column:
+            tries = [F.get(sparse, _probe(at, k, bins)) for k in range(attempts)]
+            draws = F.array_min(F.transform(least, lambda full: F.struct(F.xxhash64(at, rank(full)).alias("draw"), full.alias("value"))))["value"]
+            return F.coalesce(h, *tries, draws)
 
-        def filled(full: Column) -> Column:
-            order = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.array_position(full, b).cast("int"))
+        return F.transform(sparse, value)
 
-            def digits(order: Column) -> Column:
-                place = lambda b: F.when(F.get(order, b) > 0, F.get(order, b)).otherwise(
-                    F.get(order, F.get(F.array_intersect(F.get(probes, b), full), F.lit(0)))
-                )
-                low = lambda b: F.get(least, place(b) - 1).bitwiseAND(F.lit((1 << low_bits) - 1))
-                return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.lpad(F.hex(low(b)), width, "0")), "")
+    return _let(sparse, fill)
 
-            return _let(order, digits)
 
-        return F.when(F.size(least) > 0, F.lower(_let(full, filled))).otherwise(F.lit(""))
+def fingerprint(text: Column, bins: int = BINS, shingle_words: int = SHINGLE_WORDS) -> Column:
+    """The packed fingerprint as lowercase hex, LOW_BITS for each bin; empty for a text without words.
+
+    Every shingle is hashed once. The top bits choose the bin, the least hash of a bin stands for it, empty bins are
+    filled by optimal densification, and of each value the lowest bits are kept.
+    """
+    digits = F.array(*(F.lit(f"{i:02x}") for i in range(1 << LOW_BITS)))
+
+    def pack(least: Column) -> Column:
+        low = F.transform(densified(least, bins), lambda h: F.get(digits, h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")))
+        return F.when(F.size(least) > 0, F.array_join(low, "")).otherwise(F.lit(""))
 
     return _let(minhash_bins(shingle_hashes(text, shingle_words), bins), pack)
 
 
-def likeness(one: Column, other: Column, bins: int = BINS, low_bits: int = LOW_BITS) -> Column:
+def likeness(one: Column, other: Column, bins: int = BINS) -> Column:
     """Estimated Jaccard similarity of two fingerprints: the share of equal groups, less what chance makes equal.
 
-    Kept bits of different values agree once in 2**low_bits; the correction takes that out. Two empty fingerprints are
+    Kept bits of different values agree once in 2**LOW_BITS; the correction takes that out. Two empty fingerprints are
     alike, an empty and another one are not.
     """
-    width = low_bits // 4
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.substring(one, b * width + 1, F.lit(width)) == F.substring(other, b * width + 1, F.lit(width))))
-    chance = 2.0**-low_bits
+    pair = F.struct(F.unhex(one).alias("a"), F.unhex(other).alias("b"))
+    byte = lambda raw, i: F.substring(raw, i, F.lit(1))
+    same = _let(pair, lambda p: F.size(F.filter(F.sequence(F.lit(1), F.lit(bins)), lambda i: byte(p["a"], i) == byte(p["b"], i))))
+    chance = 2.0**-LOW_BITS
     corrected = F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
     return F.when((one == "") | (other == ""), (one == other).cast("double")).otherwise(corrected)
 
@@ -114,7 +128,7 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_par
     return found.where(~F.col("guest")).drop("bucket", "guest")
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, low_bits: int = LOW_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Every document's fingerprint, its edited text's, and the likeness to that and to the next document's.
 
     The edited text ends in the beginning of the next document (descending id, after the last the first) instead of
@@ -124,8 +138,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null texts count as empty. Null ids come last. Rows of one id follow each other by text. A single row is its own next. An empty
     table gives no rows; extra columns are left out.
     """
-    probes = F.from_json(F.lit(json.dumps(probe_order(bins))), "array<array<int>>")
-    mark = lambda text: fingerprint(text, probes, bins, low_bits, shingle_words)
+    mark = lambda text: fingerprint(text, bins, shingle_words)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("fingerprint", mark(F.col("text")))
     met = with_next(own, ["text", "fingerprint"])
     next_text = F.coalesce(F.col("next_text"), F.col("text"))
@@ -138,6 +151,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins, low_bits).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins, low_bits).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), bins).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint"), bins).alias("near_next"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import exact_dedup, fingerprint, html_extract, mixing, packing, sharding, simhash, toxicity, url_filter
+from evidara.llm import exact_dedup, fingerprint, html_extract, katz, mixing, packing, sharding, simhash, toxicity, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@_register
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
