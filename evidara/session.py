@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,21 @@ def build_session(app: str = "evidara", cores: int = 8, memory: str = "20g") ->
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, unless their path has it already (PYTHONPATH, or the folder they start in)."""
+    root = Path(__file__).resolve().parent.parent
+    paths = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or any(p and Path(p).resolve() == root for p in paths):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="evidara-package-"), "evidara"), "zip", root, "evidara")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     context = spark.sparkContext
