@@ -37,7 +37,8 @@ def global_prefix(df: DataFrame, order: list[Column], size: str) -> tuple[DataFr
     """
     spark = df.sparkSession
     kept = df.columns
-    ordered = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    # the range bounds are sampled in a pass of their own, which must not repeat the work behind df
+    ordered = durable(df).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = T.StructType([*ordered.schema.fields, T.StructField("local_position", T.LongType()), T.StructField("local_before", T.LongType())])
 
     def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
