@@ -74,15 +74,15 @@ def repeat_documents(docs: DataFrame, source_col: str = "source", id_col: str =
     taken = mix(docs, source_col=source_col, id_col=id_col, text_col=text_col, **parameters).where(F.col("taken") > 0)
     # rows that repeat id, source and text share evenly what the mix takes of them
     keyed = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
-    shares = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text_hash"), "size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    shares = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text_hash"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
     joined = keyed.join(shares, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text_hash")))
-    copies = F.expr("cast(_taken div (size * _rows) as int)")
-    rest = F.expr("(_taken div _rows) % size")
-    pieces = F.concat(F.array_repeat(F.col("size"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    copies = F.expr("cast(_taken div (_size * _rows) as int)")
+    rest = F.expr("(_taken div _rows) % _size")
+    pieces = F.concat(F.array_repeat(F.col("_size"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     each = joined.withColumn("_words", F.explode(pieces))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_AFTER), F.lit(0))
-    cut = F.when(F.col("_words") == F.col("size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
+    cut = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
     out = each.withColumn(text_col, cut)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("size"), F.col("n_chars")).otherwise(F.length(text_col)))
+        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(text_col)))
     return out.select(*docs.columns)

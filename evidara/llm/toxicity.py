@@ -117,13 +117,16 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.bincount(rows, weights=sums**2, minlength=len(codes)), 1e-12))
 
 
-def _vectors(units: list[str]) -> np.ndarray:
-    """Normalised feature vectors over all triples; for bounded lists of units only."""
+def _vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised feature vectors over the triples that occur, and which triples these are; for bounded lists of units only."""
     codes, weights = _codes(units)
-    out = np.zeros((len(units), 32**3), dtype=np.float32)
+    used = np.unique(codes[codes >= 0])
+    place = np.full(32**3, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(units), len(used)), dtype=np.float32)
     rows, columns = np.nonzero(codes >= 0)
-    np.add.at(out, (rows, codes[rows, columns]), weights[columns].astype(np.float32))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    np.add.at(out, (rows, place[codes[rows, columns]]), weights[columns].astype(np.float32))
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6), used
 
 
 class Kernel:
@@ -131,11 +134,10 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        dense = _vectors(landmarks)
-        used = np.flatnonzero(dense.any(axis=0))
+        dense, used = _vectors(landmarks)
         self.place = np.full(32**3, -1, dtype=np.int32)
         self.place[used] = np.arange(len(used))
-        self.table = dense[:, used].T.copy()
+        self.table = dense.T.copy()
         self.seen: dict[str, int] = {}
         self.alarming: set[str] = set()
         self.active = np.zeros((0, len(landmarks)), dtype=np.float32)
@@ -214,9 +216,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -40, 40)))
 
 
-def _traits(unit: str) -> list[str]:
-    """What may mark a unit: itself, its beginnings and its runs of four letters."""
-    return [f"={unit}", f"^{unit[:4]}", f"^{unit[:5]}", *{unit[i : i + 4] for i in range(len(unit) - 3)}]
+#: Traits are counted in so many slots; where two share one, both lose a little of their weight.
+SLOTS = 1 << 24
+
+
+def _traits(unit: str) -> np.ndarray:
+    """What may mark a unit: itself, its beginnings and its runs of four letters, as slot numbers."""
+    names = {f"={unit}", f"^{unit[:4]}", f"^{unit[:5]}", *(unit[i : i + 4] for i in range(len(unit) - 3))}
+    return np.array([zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS for name in names], dtype=np.int32)
 
 
 def _suspects(bags: list[set[str]], labels: np.ndarray) -> list[str]:
@@ -224,21 +231,23 @@ def _suspects(bags: list[set[str]], labels: np.ndarray) -> list[str]:
 
     The measure is the log likelihood ratio of the trait's documents against the share of toxic documents.
     """
-    traits: dict[str, list[str]] = {}
-    toxic, every = Counter(), Counter()
+    counts = [np.zeros(SLOTS, dtype=np.uint16), np.zeros(SLOTS, dtype=np.uint16)]  # clean, toxic; at most as many as documents are fitted on
+    traits: dict[str, np.ndarray] = {}
     for bag, label in zip(bags, labels, strict=True):
-        own = {t for unit in bag for t in (traits.get(unit) or traits.setdefault(unit, _traits(unit)))}
-        every.update(own)
-        if label:
-            toxic.update(own)
+        own = [traits[u] if u in traits else traits.setdefault(u, _traits(u)) for u in bag]
+        if own:
+            counts[int(label)][np.unique(np.concatenate(own))] += 1
     share = labels.mean()
-    strength = {}
-    for trait, n in toxic.items():
-        total = every[trait]
-        if n > share * total and n >= PURITY * total:
-            clean = total - n
-            strength[trait] = n * np.log(n / total / share) + (clean * np.log(clean / total / (1 - share)) if clean else 0.0)
-    value = {unit: max(strength.get(t, 0.0) for t in traits[unit]) for bag, label in zip(bags, labels, strict=True) if label for unit in bag}
+
+    def strength(slots: np.ndarray) -> float:
+        toxic, clean = counts[1][slots].astype(float), counts[0][slots].astype(float)
+        total = toxic + clean
+        telling = (toxic > share * total) & (toxic >= PURITY * total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = toxic * np.log(toxic / total / share) + np.where(clean > 0, clean * np.log(clean / total / (1 - share)), 0.0)
+        return float(np.where(telling, ratio, 0.0).max(initial=0.0))
+
+    value = {u: strength(traits[u]) for u in {u for bag, label in zip(bags, labels, strict=True) if label for u in bag}}
     strong = sorted((unit for unit in value if value[unit] >= EVIDENCE), key=lambda u: (-value[u], u))
     return strong[:CANDIDATES]
 
@@ -266,8 +275,7 @@ def _landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     suspects = _suspects(bags, labels)
     if not suspects:
         return []
-    vectors = _vectors(suspects)
-    vectors = vectors[:, vectors.any(axis=0)]
+    vectors, _ = _vectors(suspects)
     alike = vectors @ vectors.T
     held = Counter(u for bag, label in zip(bags, labels, strict=True) if label for u in bag)
     weight = np.log1p([held[u] for u in suspects])
@@ -282,12 +290,14 @@ def _landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     return [suspects[i] for i in chosen]
 
 
-def _features(chosen: list[str], pool: list[list[list[str]]], bags: list[set[str]]) -> tuple[Kernel, np.ndarray, np.ndarray]:
+def _features(chosen: list[str], parsed: list[Parsed]) -> tuple[Kernel, np.ndarray, np.ndarray]:
     """The sentences with an active unit, by their likeness to the landmarks, and whose document each belongs to."""
     kernel, rows, owner = Kernel(chosen), [], []
-    kernel.learn(sorted(set().union(*bags)))
-    for at, text in enumerate(pool):
-        for sentence in text:
+    kernel.learn(sorted(set().union(*(p.units for p in parsed))))
+    for at, text in enumerate(parsed):
+        if kernel.alarming.isdisjoint(text.units):
+            continue
+        for sentence in text.sentences():
             found = kernel.pooled(sentence)
             if found is not None:
                 rows.append(found)
@@ -315,17 +325,21 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     flat = Model(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
         return flat
-    parsed = [Parsed(t) for t in texts]
-    pool, bags = [p.sentences() for p in parsed], [p.units for p in parsed]
+    parsed, known = [], {}
+    for text in texts:
+        one = Parsed(text)
+        one.units = {known.setdefault(u, u) for u in one.units}  # one object for each different word
+        parsed.append(one)
+    bags = [p.units for p in parsed]
     originals = _originals(bags)
     chosen = _landmarks([bags[i] for i in originals], y[originals])
     if not chosen:
         return flat
-    kernel, features, owner = _features(chosen, pool, bags)
+    kernel, features, owner = _features(chosen, parsed)
     pure = _telling(features, owner, y, originals)
     if not pure.all():
         chosen = [u for u, keep in zip(chosen, pure, strict=True) if keep]
-        kernel, features, owner = _features(chosen, pool, bags)
+        kernel, features, owner = _features(chosen, parsed)
     if not len(features):
         return flat
     gram = kernel.likeness(chosen).astype(float)
