@@ -252,15 +252,17 @@ def _suspects(bags: list[set[str]], labels: np.ndarray) -> list[str]:
     return strong[:CANDIDATES]
 
 
-def _originals(bags: list[set[str]], sketch: int = 16, shared: int = 6) -> list[int]:
-    """Positions of bags that are no near copy of an earlier one; else a group of copies would make all its words look telling.
+def _originals(parsed: list[Parsed], sketch: int = 16, shared: int = 6) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one; else a group of copies would make all its words look telling.
 
-    A bag's sketch is its least hashes; copies share many of them.
+    A text's sketch is the least hashes of its runs of three words; copies share many of them.
     """
     owners: dict[int, list[int]] = {}
     kept = []
-    for at, bag in enumerate(bags):
-        least = heapq.nsmallest(sketch, (zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in bag))
+    for at, text in enumerate(parsed):
+        words = text.plain.split()
+        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))}
+        least = heapq.nsmallest(sketch, runs)
         meets = Counter(o for h in least for o in owners.get(h, ()))
         if meets and max(meets.values()) >= min(shared, max(len(least) // 2, 1)):
             continue
@@ -331,7 +333,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         one.units = {known.setdefault(u, u) for u in one.units}  # one object for each different word
         parsed.append(one)
     bags = [p.units for p in parsed]
-    originals = _originals(bags)
+    originals = _originals(parsed)
     chosen = _landmarks([bags[i] for i in originals], y[originals])
     if not chosen:
         return flat
