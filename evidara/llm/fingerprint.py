@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,7 +115,7 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_par
     n = shuffle_partitions(spark) * per_partition
     cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n + 1)], 10 * n).alias("cuts")).first()["cuts"] or []
     heads = sorted(set(cuts), reverse=True)  # one number for each bucket
-    heads_column = F.from_json(F.lit(json.dumps(heads)), "array<bigint>")
+    heads_column = F.array(*map(F.lit, heads)).cast("array<bigint>")
     last = max(len(heads) - 1, 0)
     bucket = F.coalesce(F.greatest(F.size(F.filter(heads_column, lambda h: h >= F.col(id_col))) - 1, F.lit(0)), F.lit(last)) if heads else F.lit(0)
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))

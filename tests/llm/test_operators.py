@@ -1,0 +1,368 @@
+"""The ten operators against brute force on a small table with nulls, copies, ties, odd rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from evidara.llm import exact_dedup, fingerprint, html_extract, katz, mixing, packing, sharding, simhash, toxicity, url_filter
+from evidara.llm.queries import vocabulary_path
+
+WORDS = "the of and to in is that for it was on are as with they be at one have this from or had by hot word but what some we can out other were all there when up use your how said an each she".split()
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, row long, name string, bucket long"
+
+
+def make_rows():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([3, 8, 40, 120, 700]))) for _ in range(70)]
+    texts += [texts[0], texts[0], texts[3], texts[4] + " tail", "", None, " \t\n", "a", "Ä" * 5000, "x" * 4096, "x" * 4097, "x y " * 30000, "<|endoftext|> 'tis  two   three\n\n four"]
+    rows = [(i, t, "en", rng.choice(["a", "b", "c", "c", "c", None]), None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[1], (5, "another text under a used id", "en", "a", 1), (None, "no id here", None, None, None), (None, None, None, None, None)]
+    return [(*r, 1, 2, "n", 3) for r in rows]
+
+
+ROWS = make_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_sharding(docs, nothing):
+    rows = sharding.assign_shards(docs, 7).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    share, largest = sum(sizes.values()) / 7, max(r["size"] for r in rows)
+    assert all(abs(s - share) <= largest for s in sizes.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    by_id = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["shard"]) for r in rows)
+    assert [s for _, s in by_id] == sorted(s for _, s in by_id)
+    assert sharding.assign_shards(nothing, 7).count() == 0
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, nothing, monkeypatch, weak):
+    if weak:  # a hash of two values crowds the buckets, so names must come from the ranks
+        monkeypatch.setattr(exact_dedup, "_bucket", lambda value: F.pmod(F.xxhash64(value), F.lit(2)) * 256)
+    rows = exact_dedup.exact_duplicates(docs, block_bytes=4096 if not weak else 40_000).collect()
+    groups = defaultdict(list)
+    for r in ROWS:
+        groups[r[1] or ""].append(r[0])
+    wanted = Counter()
+    for text, ids in groups.items():
+        best = max((i for i in ids if i is not None), default=None)
+        wanted.update((i, best, len(ids), hashlib.sha256(text.encode()).hexdigest()) for i in ids)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows) == wanted
+    kept = Counter(r["text_sha256"] for r in rows if r["kept"])
+    assert len(kept) == len(groups) and set(kept.values()) == {1}
+    assert all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
+    if not weak:
+        stay = exact_dedup.drop_exact_duplicates(docs)
+        assert sorted(r["text"] or "" for r in stay.collect()) == sorted(groups) and stay.columns == docs.columns
+        assert exact_dedup.exact_duplicates(nothing).count() == 0
+
+
+def components(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return {n: find(n) for n in nodes}
+
+
+def simhash_of(text, shingle):
+    found = words(lower(text))
+    if not found:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(found[i : i + shingle]).encode(), 42) for i in range(max(1, len(found) - shingle + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, nothing):
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    fps = [simhash_of(r[1], 3) for r in ROWS]
+    different = sorted(set(fps))
+    parts = components([(a, b) for i, a in enumerate(different) for b in different[:i] if bin(a ^ b).count("1") <= 2], different)
+    least = defaultdict(list)
+    for r, fp in zip(ROWS, fps, strict=True):
+        if r[0] is not None:
+            least[parts[fp]].append(r[0])
+    assert got == Counter((r[0], f"{fp:016x}", min(least[parts[fp]], default=None)) for r, fp in zip(ROWS, fps, strict=True))
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_trie_finds_every_close_pair():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))) for c in centres for _ in range(12)]
+    keys = np.unique(np.array(flips, dtype=np.uint64))
+    pairs = {(i, j) for i in range(len(keys)) for j in range(i) if np.bitwise_count(keys[i] ^ keys[j]) <= 2}
+    got = set()
+    for a, b in simhash.trie_links(keys, 0, 2, spanning=False):
+        got |= {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == pairs
+    root = np.arange(len(keys))
+    for a, b in simhash.trie_links(keys, 0, 2):
+        root = simhash._join(root, a, b)
+    parts = components(pairs, range(len(keys)))
+    assert len(set(root)) == len(set(parts.values()))
+
+
+def test_large_subtrees_are_dealt_again(spark):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(150)})
+    signed = [(x - (1 << 64) if x >= 1 << 63 else x,) for x in fps]
+    pairs = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 2]
+    wanted = components(pairs, fps)
+    for limit in (3, 1 << 14):
+        edges = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"), group_limit=limit).collect()
+        got = components([(e["a"] % (1 << 64), e["b"] % (1 << 64)) for e in edges], fps)
+        assert Counter(Counter(got.values()).values()) == Counter(Counter(wanted.values()).values())
+
+
+def test_similar_documents(spark, nothing):
+    rng = random.Random(1)
+    originals = [[rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(200)] for _ in range(30)]
+    texts = [" ".join(t) for t in originals]
+    for t in originals[:15]:
+        changed = list(t)
+        changed[rng.randint(0, 199)] = "other"
+        texts.append(" ".join(changed))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert all(got[30 + i] == i for i in range(15)) and all(got[i] == i for i in range(30))
+    assert simhash.drop_near_duplicates(docs).count() == 30
+    assert simhash.similar_documents(nothing).count() == 0
+
+
+def test_mixing(docs, nothing):
+    rows = mixing.mix(docs).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"] and r["source_size"] >= r["size"]
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r[0], len(words(r[1]))) for r in ROWS)
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, goal, capped = 1.5 * sum(size.values()), {}, set()
+    while True:
+        left = total - sum(2 * size[s] for s in capped)
+        share = left / max(sum(weight[s] for s in size if s not in capped), 1)
+        goal = {s: 2 * size[s] if s in capped else weight[s] * share for s in size}
+        above = {s for s in size if goal[s] > 2 * size[s]}
+        if not above:
+            break
+        capped |= above
+    for s in size:
+        assert math.isclose(target[s], goal[s], rel_tol=1e-9) and abs(taken[s] - goal[s]) <= 1
+    assert mixing.mix(nothing).count() == 0
+    repeated = mixing.repeat_documents(docs)
+    counts = Counter()
+    for r in repeated.collect():
+        counts[r["source"]] += len(words(r["text"]))
+    assert repeated.columns == docs.columns and all(abs(counts[s] - taken[s]) <= len(rows) for s in size)
+
+
+def test_packing(docs, nothing):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = Counter()
+    for r in ROWS:
+        ids[(r[0], tuple(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + (1,))] += 1
+    rows = packing.pack(docs, vocabulary_path()).collect()
+    wanted = Counter()
+    for (doc_id, own), n in ids.items():
+        for at in range(0, len(own), 2048):
+            part = own[at : at + 2048]
+            wanted[(doc_id, at, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()), len(own))] += n
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == wanted
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(nothing, vocabulary_path()).count() == 0
+
+
+def test_cutting_patterns_cover_demand_with_little_waste():
+    rng = np.random.default_rng(2)
+    sizes = np.array(sorted(rng.choice(np.arange(3, 255), 80, replace=False), reverse=True))
+    demand = rng.integers(1, 400, 80)
+    chosen = packing.cutting_patterns(sizes, demand, 256)
+    assert (sum(p * n for p, n in chosen) >= demand).all() and all(p @ sizes <= 256 for p, _ in chosen)
+    least = max((demand @ sizes) / 256, demand[sizes > 128].sum())  # items over half a sequence can't meet
+    assert sum(n for _, n in chosen) <= 1.02 * least + 40
+    assert packing.cutting_patterns(sizes[:0], demand[:0], 256) == []
+
+
+def test_fingerprints(docs, nothing):
+    rows = fingerprint.fingerprint_documents(docs).collect()
+    by_text = defaultdict(set)
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    order = sorted(((r[0], r[1] or "") for r in ROWS if r[0] is not None), reverse=True)
+    follows = {a[0]: b[1] for a, b in zip(order, order[1:], strict=False)}
+    errors = []
+
+    def shingles(text):
+        found = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    assert len(rows) == len(ROWS)
+    repeated = Counter(r[0] for r in ROWS)
+    for r in rows:
+        if r["doc_id"] is None or repeated[r["doc_id"]] > 1 or repeated[r["doc_id"] - 1] > 1 or r["doc_id"] == 0:
+            continue
+        text = texts[r["doc_id"]]
+        by_text[text].add(r["fingerprint"])
+        other = follows[r["doc_id"]]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        errors += [abs(r["near_edited"] - jaccard(shingles(text), shingles(edited))), abs(r["near_next"] - jaccard(shingles(text), shingles(other)))]
+    assert all(len(v) == 1 for v in by_text.values())
+    assert max(errors) < 0.15 and sum(errors) / len(errors) < 0.03
+    assert fingerprint.fingerprint_documents(nothing).count() == 0
+    one = docs.where("doc_id = 2")
+    assert fingerprint.fingerprint_documents(one).first()["near_next"] == 1.0
+
+
+def test_katz_sums_to_one_and_beats_the_base(spark, docs, nothing):
+    rows = {(r["doc_id"], r["n_tokens"]): r for r in katz.score_documents(docs).collect()}
+    counts = Counter()
+    train = [r for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0]
+    tokens = lambda text: [*words(lower(text)), "\t"]
+    for r in train:
+        counts.update(tokens(r[1]))
+    n, v = sum(counts.values()), len(counts)
+    for r in ROWS:
+        own = tokens(r[1])
+        got = rows[(r[0], len(own))]
+        assert got["n_known"] == sum(counts[t] > 0 for t in own) and got["train_tokens"] == n
+        assert math.isclose(got["base_score"], sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
+    model = katz.fit(katz._tokens(spark.createDataFrame([(r[0], r[1]) for r in train], "doc_id long, text string"), "doc_id", "text"))
+    lower_p = {r["key"]: 10 ** r["log_p"] for r in model.unigrams.collect()}
+    unknown = 10**model.unknown_log_p
+    assert math.isclose(sum(lower_p.values()) + unknown, 1)
+    seen = defaultdict(dict)
+    for r in model.bigrams.collect():
+        seen[r["history"]][r["key"]] = 10 ** r["log_p"]
+    for r in model.histories.collect():
+        own = seen[r["history"]]
+        rest = unknown + sum(p for k, p in lower_p.items() if k not in own)
+        assert math.isclose(sum(own.values()) + 10 ** r["log_alpha"] * rest, 1, rel_tol=1e-6)
+    assert katz.score_documents(nothing).count() == 0
+
+
+def test_toxicity(spark, nothing):
+    rng = random.Random(4)
+    insults = ["blockhead", "nitwit", "dunderpate"]
+
+    def text(bad):
+        parts = [" ".join(rng.choice(WORDS) for _ in range(9)) for _ in range(6)]
+        if bad:
+            parts[rng.randint(0, 5)] += " you " + rng.choice(insults)
+        return ". ".join(parts)
+
+    labelled = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    odd = [(1000, "What a block-h3ad!"), (1001, "a n i t w i t indeed"), (1002, "such a dundxerpate here"), (1003, "all there when up"), (1004, None), (1005, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in labelled] + [(i, t, "x") for i, t in odd], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs.drop("score"), labels).collect()}
+    held = [(i, y) for i, _, y in labelled if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i]["predicted"] == y for i, y in held) >= 0.95 * len(held)
+    assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003, 1004, 1005)] == [1, 1, 1, 0, 0, 0]
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(labelled) + len(odd)
+    assert toxicity.score_documents(nothing.drop("size"), labels).count() == 0
+    flat = toxicity.score_documents(docs.drop("score"), labels.limit(0)).select("score").distinct().collect()
+    assert len(flat) == 1
+
+
+PAGES = [
+    ("http://a.example/1", "<html><body class='has-sidebar'><header><h1>Site</h1></header><nav><a href=x>menu</a></nav><article><h1>T &amp; x</h1><p>Foo<b>bar</b>  baz<br>next &lt;i&gt; a < b<div class=\"ad\">Buy</div>"
+     "<p>Two<script>var x='</p>';</script> end<ul><li>one<li>two</ul><section class='comments'><article class='comment'>bad</article></section></article><aside>side</aside><footer>&copy;</footer>", "T & x Foobar baz next <i> a < b Two end one two"),
+    ("http://a.example/2", "<div class='with-sidebar'><main><p>Only main</main></div><p>outside", "Only main"),
+    ("http://a.example/3", "", ""), (None, None, ""), ("no url", "plain &amp text", "plain & text"),
+    ("http://a.example/4", "<p>cut off here <b>and <a href='", "cut off here and"),
+]
+
+
+def test_html_extraction(spark):
+    pages = spark.createDataFrame([(i, u, h, "x") for i, (u, h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
+    for i, (url, _, text) in enumerate(PAGES):
+        assert (got[i]["url"], got[i]["text"], got[i]["n_chars"]) == (url, text, len(text))
+    assert html_extract.extract_pages(pages.limit(0)).count() == 0
+    # without marks the template of the host tells what stands on every page
+    bare = [(i, f"http://b.example/{i}", f"<div><div>Welcome to this place</div><div><a href=a>one</a> <a href=b>two</a></div><div>Article number {i} with words</div></div>") for i in range(8)]
+    frame = spark.createDataFrame(bare, "page_id long, url string, html string")
+    for limit in (32 << 20, 0):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(frame, broadcast_bytes=limit).collect()}
+        assert got == {i: f"Article number {i} with words" for i in range(8)}
+    classes = html_extract.templates(html_extract.page_tokens(frame.withColumn("row", F.col("page_id")).withColumn("host", F.lit("b"))))
+    assert classes.where("kind = 'text'").count() == 1 + 1
+
+
+def test_url_filter(spark):
+    urls = ["http://www.example.com/en/x", "http://EXAMPLE.com/en/x", "http://a.com/x", "http://a.net/es/1", "http://a.net/fr/", "http://a.net/de/", "http://a.org/fr/9?q=1#f", "ftp://x.example.com?u=/en/", "nothing", "", None, "http://badexample.com/en/", "http://www.example.com/enx/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, min_support=0.1, min_confidence=0.6).collect()}
+
+    def brute(url):
+        url = url or ""
+        if "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    for i, url in enumerate(urls):
+        host, path = brute(url)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, best and best[1])
+        assert got[i]["verdict"] == best[2] if best else got[i]["verdict"] in ("allow", "block")
+    assert got[6]["verdict"] == "block" and got[8]["verdict"] == "allow" and len(got) == len(urls) + 1
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
