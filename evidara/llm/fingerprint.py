@@ -117,7 +117,8 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", per_par
     heads = sorted(set(cuts), reverse=True)  # one number for each bucket
     heads_column = F.array(*map(F.lit, heads)).cast("array<bigint>")
     last = max(len(heads) - 1, 0)
-    bucket = F.coalesce(F.greatest(F.size(F.filter(heads_column, lambda h: h >= F.col(id_col))) - 1, F.lit(0)), F.lit(last)) if heads else F.lit(0)
+    place = F.greatest(F.size(F.filter(heads_column, lambda h: h >= F.col(id_col))) - 1, F.lit(0))
+    bucket = F.when(F.col(id_col).isNull(), F.lit(last)).otherwise(place) if heads else F.lit(0)
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
     opens = F.coalesce(F.array_contains(heads_column, F.col(id_col)), F.lit(False)) if heads else F.lit(False)
     before = F.struct(F.when(bucket == 0, F.lit(last)).otherwise(bucket - 1).alias("bucket"), F.lit(True).alias("guest"))
