@@ -80,12 +80,13 @@ def fingerprint(text: Column, bins: int = BINS, shingle_words: int = SHINGLE_WOR
     """The packed fingerprint as lowercase hex, LOW_BITS for each bin; empty for a text without words.
 
     Every shingle is hashed once. The top bits choose the bin, the least hash of a bin stands for it, empty bins are
-    filled by optimal densification, and of each value the lowest bits are kept.
+    filled by optimal densification, and of each value, mixed with its bin, the lowest bits are kept. Without the mixing
+    two shingles of short texts that chance to end alike would agree in many bins at once, which no correction takes out.
     """
     digits = F.array(*(F.lit(f"{i:02x}") for i in range(1 << LOW_BITS)))
 
     def pack(least: Column) -> Column:
-        low = F.transform(densified(least, bins), lambda h: F.get(digits, h.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")))
+        low = F.transform(densified(least, bins), lambda h, at: F.get(digits, F.xxhash64(h, at).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")))
         return F.when(F.size(least) > 0, F.array_join(low, "")).otherwise(F.lit(""))
 
     return _let(minhash_bins(shingle_hashes(text, shingle_words), bins), pack)
