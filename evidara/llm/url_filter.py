@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import LOWER, UPPER
@@ -72,12 +72,23 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -
     )
 
 
+def rule_index(mined: DataFrame) -> DataFrame:
+    """The rules as an inverted index with one entry each: under that of its tokens which the fewest rules name.
+
+    A URL that satisfies a rule has this token too, so each meets the rule once, and few others.
+    """
+    each = mined.withColumn("needed", F.size("antecedent")).withColumn("token", F.explode("antecedent"))
+    counted = each.withColumn("rules", F.count("*").over(Window.partitionBy("token")))  # rows are rules, not URLs
+    rarest = F.min_by("token", F.struct("rules", "token")).alias("token")
+    return counted.groupBy("rule_id", "antecedent", "label", "confidence", "support", "needed").agg(rarest).drop("rule_id")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, min_support: float = 0.01, min_confidence: float = 0.7, default: str = "allow", url_col: str = "url", id_col: str = "page_id") -> DataFrame:
     """Each page's host, path, fitting rule and verdict.
 
     URLs that a given rule judges are the labelled ones. FP-growth mines them for token combinations that go with a
-    verdict. The mined rules are kept as an inverted index from token to rule; a URL without a given rule collects the
-    rules all of whose tokens it has, and follows the most confident (ties: larger support, more tokens, then the
+    verdict. The mined rules are kept as an inverted index from each one's rarest token; a URL without a given rule meets
+    those under its tokens, keeps the rules all of whose tokens it has, and follows the most confident (ties: larger support, more tokens, then the
     verdict in code point order). Without any it gets ``default``.
 
     URLs are judged once for each different token set, so a host with a third of all pages costs no more than its
@@ -97,10 +108,9 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = 0.01, min_con
     if mined is None:
         verdicts = open_urls.select("tokens").distinct().withColumn("mined", F.lit(default))
     else:
-        index = mined.select("rule_id", "label", "confidence", "support", F.size("antecedent").alias("needed"), F.explode("antecedent").alias("token"))
         different = open_urls.select("key", "tokens").distinct()
-        hits = different.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-        full = hits.groupBy("key", "tokens", "rule_id", "label", "confidence", "support", "needed").agg(F.count("*").alias("found")).where("found = needed")
+        met = different.select("key", "tokens", F.explode("tokens").alias("token")).join(rule_index(mined), "token")
+        full = met.where(F.forall("antecedent", lambda t: F.array_contains("tokens", t)))
         best = full.groupBy("key", "tokens").agg(F.min_by("label", F.struct(-F.col("confidence"), -F.col("support"), -F.col("needed"), "label")).alias("mined"))
         verdicts = best.select("tokens", "mined")
     # open URLs look their token set up; judged ones need no look-up but pass through the same join
