@@ -22,8 +22,8 @@ FIT_TOXIC, FIT_CLEAN = 1500, 3000
 LANDMARKS, CANDIDATES = 96, 1500
 #: Log likelihood ratio from which a trait is taken for more than chance.
 EVIDENCE = 14.0
-#: Share of toxic documents among those with the trait that makes it a mark.
-PURITY = 0.8
+#: A trait is looked at as standing once, twice, three or more times in a document; traits looked at closely at most, and those kept of them.
+LEVELS, TRAITS, MARKS = 3, 1200, 120
 #: Places of the second and third letter after the first, and the kernel's decay for each letter of the span beyond three.
 GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 DECAY = 0.6
@@ -77,6 +77,10 @@ class Parsed:
         self.units = {s for unit in units for s in _stretches(unit)} if self.long else set(units)
         self.units.update(self.spelled)
 
+    def counts(self) -> Counter:
+        """How often each unit stands in the text."""
+        return Counter(unit for line in self.sentences() for unit in line)
+
     def sentences(self) -> list[list[str]]:
         lines = (line.split() for line in self.plain.split("\n"))
         found = [[s for unit in line for s in _stretches(unit)] if self.long else line for line in lines if line]
@@ -91,15 +95,14 @@ def _stretches(word: str) -> list[str]:
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For each unit the codes of its gapped letter triples (-1: none) and, by column, their weights."""
     width = max(map(len, units), default=0) + max(b for _, b in GAPS)
-    raw = np.array(units, dtype=f"U{width}").view(np.uint32).reshape(len(units), width).astype(np.int32)
-    letters = np.where((raw >= 97) & (raw <= 122), raw - 97, np.where(raw > 0, 26 + raw % 6, -1))
+    raw = np.array(units, dtype=f"U{width}").view(np.uint32).reshape(len(units), width).astype(np.int64)
     last = width - max(b for _, b in GAPS)
     found, weights = [], []
     for second, third in GAPS:
-        a, b, c = letters[:, :last], letters[:, second : last + second], letters[:, third : last + third]
-        found.append(np.where((a >= 0) & (b >= 0) & (c >= 0), (a * 32 + b) * 32 + c, -1))
+        a, b, c = raw[:, :last], raw[:, second : last + second], raw[:, third : last + third]
+        found.append(np.where((a > 0) & (b > 0) & (c > 0), (a << 42) | (b << 21) | c, -1))  # 21 bits hold any character
         weights += [DECAY ** (third - 2)] * last
-    return np.concatenate(found, axis=1) if last else np.zeros((len(units), 0), np.int32), np.array(weights)
+    return np.concatenate(found, axis=1) if last else np.zeros((len(units), 0), np.int64), np.array(weights)
 
 
 def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -121,40 +124,52 @@ def _vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Normalised feature vectors over the triples that occur, and which triples these are; for bounded lists of units only."""
     codes, weights = _codes(units)
     used = np.unique(codes[codes >= 0])
-    place = np.full(32**3, -1, dtype=np.int32)
-    place[used] = np.arange(len(used))
     out = np.zeros((len(units), len(used)), dtype=np.float32)
     rows, columns = np.nonzero(codes >= 0)
-    np.add.at(out, (rows, place[codes[rows, columns]]), weights[columns].astype(np.float32))
+    np.add.at(out, (rows, np.searchsorted(used, codes[rows, columns])), weights[columns].astype(np.float32))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6), used
 
 
-class Kernel:
-    """Likeness of units to the landmarks: the normalised gapped-triple kernel."""
+def _sieve(codes: np.ndarray) -> np.ndarray:
+    """Each code's place among 2**20."""
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        dense, used = _vectors(landmarks)
-        self.place = np.full(32**3, -1, dtype=np.int32)
-        self.place[used] = np.arange(len(used))
+class Kernel:
+    """Likeness of units to the landmarks: the normalised gapped-triple kernel. Of units like one also which marks they hold."""
+
+    def __init__(self, landmarks: list[str], marks: list[int]):
+        self.landmarks, self.marks = landmarks, marks
+        self.mark_at = {slot: i for i, slot in enumerate(marks)}
+        dense, self.used = _vectors(landmarks)
+        self.sieve = np.zeros(1 << 20, dtype=bool)
+        self.sieve[_sieve(self.used)] = True
         self.table = dense.T.copy()
         self.seen: dict[str, int] = {}
         self.alarming: set[str] = set()
         self.active = np.zeros((0, len(landmarks)), dtype=np.float32)
+        self.marked: list[list[int]] = []  # by the number of the active unit
 
     def __getstate__(self) -> dict:
-        return {"landmarks": self.landmarks}
+        return {"landmarks": self.landmarks, "marks": self.marks}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["landmarks"])
+        self.__init__(state["landmarks"], state["marks"])
 
     def likeness(self, units: list[str]) -> np.ndarray:
         codes, weights = _codes(units)
         out = np.zeros((len(units), len(self.landmarks)), dtype=np.float32)
         if not codes.size:
             return out
-        places = np.where(codes >= 0, self.place[np.maximum(codes, 0)], -1)
-        hits = np.flatnonzero((places >= 0).sum(axis=1) >= 2)
+        if not len(self.used):
+            return out
+        places = np.full(codes.shape, -1, dtype=np.int32)
+        maybe = np.nonzero((codes >= 0) & self.sieve[_sieve(codes)])
+        asked = codes[maybe]
+        at = np.minimum(np.searchsorted(self.used, asked), len(self.used) - 1)
+        places[maybe] = np.where(self.used[at] == asked, at, -1)
+        # two triples in common, or the only one that a unit of three letters has
+        hits = np.flatnonzero((places >= 0).sum(axis=1) >= np.clip((codes >= 0).sum(axis=1), 1, 2))
         if not len(hits):
             return out
         rows, columns = np.nonzero(places[hits] >= 0)
@@ -166,7 +181,7 @@ class Kernel:
     def trim(self) -> None:
         """Forget everything once the memory is full; called between batches only."""
         if len(self.seen) > CACHE:
-            self.seen, self.alarming, self.active = {}, set(), self.active[:0]
+            self.seen, self.alarming, self.active, self.marked = {}, set(), self.active[:0], []
 
     def learn(self, units: list[str]) -> None:
         """Remember each unit's row of likeness, or -1 if it is like no landmark."""
@@ -179,7 +194,9 @@ class Kernel:
             numbers = np.where(is_active, len(self.active) + np.cumsum(is_active) - 1, -1)
             if is_active.any():
                 self.active = np.concatenate([self.active, rows[is_active]])
-                self.alarming.update(u for u, yes in zip(part, is_active, strict=True) if yes)
+                found = [u for u, yes in zip(part, is_active, strict=True) if yes]
+                self.alarming.update(found)
+                self.marked += [[self.mark_at[x] for x in _traits(u).tolist() if x in self.mark_at] for u in found]
             self.seen.update(zip(part, numbers.tolist(), strict=True))
 
     def pooled(self, sentence: list[str]) -> np.ndarray | None:
@@ -187,29 +204,41 @@ class Kernel:
         numbers = [n for n in map(self.seen.__getitem__, sentence) if n >= 0]
         return self.active[numbers].max(axis=0) if numbers else None
 
+    def amount(self, text: Parsed) -> np.ndarray:
+        """For each mark the logarithm of the number of active units that hold it, and one more."""
+        held = [i for line in text.sentences() for n in map(self.seen.__getitem__, line) if n >= 0 for i in self.marked[n]]
+        return np.log1p(np.bincount(held, minlength=len(self.marks)))
+
+
+def _beyond_doubt(margin):
+    """0 for a sentence that is clean by the full margin, 2 for one that is toxic by it."""
+    return np.clip(margin, -1.0, 1.0) + 1.0
+
 
 @dataclass
 class Model:
     kernel: Kernel
     weights: np.ndarray  # over the likeness to the landmarks, the Nyström map folded in
     bias: float
+    totals: np.ndarray  # over a document's amounts of the marks
+    worst: float  # over its largest sentence margin
+    base: float  # of a document without any active unit
     slope: float
     shift: float
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """Each text's largest sentence margin."""
+        """Each text's margin, by its most suspicious sentence and by how often it holds each mark."""
         kernel = self.kernel
         kernel.trim()
-        out = np.full(len(texts), self.bias)
+        out = np.full(len(texts), self.base)
         parsed = [Parsed(t) for t in texts]
         kernel.learn(list(set().union(*(p.units for p in parsed)).difference(kernel.seen)))
         for at, text in enumerate(parsed):
             if kernel.alarming.isdisjoint(text.units):
                 continue
-            for sentence in text.sentences():
-                found = kernel.pooled(sentence)
-                if found is not None:
-                    out[at] = max(out[at], float(found @ self.weights) + self.bias)
+            pooled = [found for found in map(kernel.pooled, text.sentences()) if found is not None]
+            most = max(float(found @ self.weights) + self.bias for found in pooled)
+            out[at] = self.base + self.worst * float(_beyond_doubt(most)) + float(kernel.amount(text) @ self.totals)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -217,39 +246,93 @@ class Model:
 
 
 #: Traits are counted in so many slots; where two share one, both lose a little of their weight.
-SLOTS = 1 << 24
+SLOTS = 1 << 22
 
 
 def _traits(unit: str) -> np.ndarray:
-    """What may mark a unit: itself, its beginnings and its runs of four letters, as slot numbers."""
-    names = {f"={unit}", f"^{unit[:4]}", f"^{unit[:5]}", *(unit[i : i + 4] for i in range(len(unit) - 3))}
+    """What may mark a unit: itself, its beginnings and its runs of three and four letters, as slot numbers."""
+    names = {f"={unit}", *(f"^{unit[:n]}" for n in (3, 4, 5, 6)), *(unit[i : i + 3] for i in range(len(unit) - 2)), *(unit[i : i + 4] for i in range(len(unit) - 3))}
     return np.array([zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS for name in names], dtype=np.int32)
 
 
-def _suspects(bags: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Units of toxic documents with a trait that goes with toxic documents more than chance explains, strongest first.
+def _evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log likelihood ratio of a trait's documents against the share of toxic ones; 0 where the trait goes with clean ones."""
+    toxic, clean = toxic.astype(float), clean.astype(float)
+    total = toxic + clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(toxic > 0, toxic * np.log(toxic / total / share), 0.0) + np.where(clean > 0, clean * np.log(clean / total / (1 - share)), 0.0)
+    return np.where(toxic > share * total, ratio, 0.0)
 
-    The measure is the log likelihood ratio of the trait's documents against the share of toxic documents.
-    """
-    counts = [np.zeros(SLOTS, dtype=np.uint16), np.zeros(SLOTS, dtype=np.uint16)]  # clean, toxic; at most as many as documents are fitted on
-    traits: dict[str, np.ndarray] = {}
-    for bag, label in zip(bags, labels, strict=True):
-        own = [traits[u] if u in traits else traits.setdefault(u, _traits(u)) for u in bag]
-        if own:
-            counts[int(label)][np.unique(np.concatenate(own))] += 1
-    share = labels.mean()
 
-    def strength(slots: np.ndarray) -> float:
-        toxic, clean = counts[1][slots].astype(float), counts[0][slots].astype(float)
-        total = toxic + clean
-        telling = (toxic > share * total) & (toxic >= PURITY * total)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = toxic * np.log(toxic / total / share) + np.where(clean > 0, clean * np.log(clean / total / (1 - share)), 0.0)
-        return float(np.where(telling, ratio, 0.0).max(initial=0.0))
+def _suspects(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list[int]]:
+    """Units of toxic documents with a trait that goes with toxic documents more than chance explains, strongest first, and these traits, the marks.
 
-    value = {u: strength(traits[u]) for u in {u for bag, label in zip(bags, labels, strict=True) if label for u in bag}}
-    strong = sorted((unit for unit in value if value[unit] >= EVIDENCE), key=lambda u: (-value[u], u))
-    return strong[:CANDIDATES]
+    A trait counts as standing in a document at least once, twice or three times, whatever its evidence is strongest
+    for. The strongest trait's units are put aside before the next is chosen, so that a run of letters does not seem
+    telling, and make ordinary words suspect, just because a telling word holds it.
+    """
+    share = labels.mean()
+    counts = np.zeros((LEVELS, 2, SLOTS), dtype=np.uint16)  # clean, toxic; at most as many as documents are fitted on
+    traits: dict[str, np.ndarray] = {}
+    for text, label in zip(parsed, labels, strict=True):
+        own = text.counts()
+        if not own:
+            continue
+        for unit in own:
+            if unit not in traits:
+                traits[unit] = _traits(unit)
+        slots, inverse = np.unique(np.concatenate([traits[u] for u in own]), return_inverse=True)
+        often = np.bincount(inverse, weights=np.repeat(list(own.values()), [len(traits[u]) for u in own]))
+        for level in range(LEVELS):
+            counts[level, int(label), slots[often > level]] += 1
+    some = np.flatnonzero(counts[0, 1])
+    strength = np.max([_evidence(counts[level, 1, some], counts[level, 0, some], share) for level in range(LEVELS)], axis=0)
+    del counts
+    ranked = np.lexsort((some, -strength))[:TRAITS]
+    chosen = some[ranked[strength[ranked] >= EVIDENCE]]
+    if not len(chosen):
+        return [], []
+    column = {int(slot): i for i, slot in enumerate(chosen)}
+    marked = {u: own for u, slots in traits.items() if len(own := np.array([column[int(x)] for x in slots if int(x) in column], dtype=np.int64))}
+    del traits
+    held = np.zeros((len(parsed), len(chosen)), dtype=np.int32)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for at, text in enumerate(parsed):
+        for unit, n in text.counts().items():
+            if unit in marked:
+                places.setdefault(unit, []).append((at, n))
+                held[at, marked[unit]] += n
+    owners: dict[int, list[str]] = {}
+    for unit in sorted(places):
+        for i in marked[unit]:
+            owners.setdefault(int(i), []).append(unit)
+    toxic = labels == 1
+    value: dict[str, float] = {}
+    marks: list[int] = []
+
+    def evidence(columns: np.ndarray) -> np.ndarray:
+        part = held[:, columns]
+        return np.max([_evidence((part[toxic] > level).sum(axis=0), (part[~toxic] > level).sum(axis=0), share) for level in range(LEVELS)], axis=0)
+
+    width = np.array([len(owners.get(i, ())) for i in range(len(chosen))])
+    now = evidence(np.arange(len(chosen)))
+    for _ in range(MARKS):
+        if now.max() < EVIDENCE:
+            break
+        alike = np.flatnonzero(now >= max(EVIDENCE, 0.98 * now.max()))
+        pick = int(alike[width[alike].argmin()])  # of traits that say the same the one that fewest different units have
+        marks.append(int(chosen[pick]))
+        gone = [u for u in owners[pick] if u not in value]
+        touched: set[int] = {pick}
+        for unit in gone:
+            value[unit] = float(now[pick])
+            touched.update(marked[unit].tolist())
+            for at, n in places[unit]:
+                held[at, marked[unit]] -= n
+        columns = np.array(sorted(touched))
+        now[columns] = evidence(columns)
+    bad = {u for u in value if any(toxic[at] for at, _ in places[u])}
+    return sorted(bad, key=lambda u: (-value[u], u))[:CANDIDATES], marks
 
 
 def _originals(parsed: list[Parsed], sketch: int = 16, shared: int = 6) -> list[int]:
@@ -272,14 +355,14 @@ def _originals(parsed: list[Parsed], sketch: int = 16, shared: int = 6) -> list[
     return kept
 
 
-def _landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Suspects that together resemble all suspects as closely as possible, chosen one by one."""
-    suspects = _suspects(bags, labels)
+def _landmarks(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list[int]]:
+    """Suspects that together resemble all suspects as closely as possible, chosen one by one, and the marks."""
+    suspects, marks = _suspects(parsed, labels)
     if not suspects:
-        return []
+        return [], []
     vectors, _ = _vectors(suspects)
     alike = vectors @ vectors.T
-    held = Counter(u for bag, label in zip(bags, labels, strict=True) if label for u in bag)
+    held = Counter(u for text, label in zip(parsed, labels, strict=True) if label for u in text.units)
     weight = np.log1p([held[u] for u in suspects])
     best, chosen = np.zeros(len(suspects)), []
     while len(chosen) < min(LANDMARKS, len(suspects)):
@@ -289,42 +372,48 @@ def _landmarks(bags: list[set[str]], labels: np.ndarray) -> list[str]:
             break
         chosen.append(pick)
         best = np.maximum(best, alike[:, pick])
-    return [suspects[i] for i in chosen]
+    return [suspects[i] for i in chosen], marks
 
 
-def _features(chosen: list[str], parsed: list[Parsed]) -> tuple[Kernel, np.ndarray, np.ndarray]:
-    """The sentences with an active unit, by their likeness to the landmarks, and whose document each belongs to."""
-    kernel, rows, owner = Kernel(chosen), [], []
+def _features(chosen: list[str], marks: list[int], parsed: list[Parsed]) -> tuple[Kernel, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences with an active unit, by their likeness to the landmarks, whose document each belongs to, and the documents' amounts."""
+    kernel, rows, owner = Kernel(chosen, marks), [], []
+    amounts = np.zeros((len(parsed), len(marks)))
     kernel.learn(sorted(set().union(*(p.units for p in parsed))))
     for at, text in enumerate(parsed):
         if kernel.alarming.isdisjoint(text.units):
             continue
+        amounts[at] = kernel.amount(text)
         for sentence in text.sentences():
             found = kernel.pooled(sentence)
             if found is not None:
                 rows.append(found)
                 owner.append(at)
-    return kernel, np.array(rows, dtype=float).reshape(-1, len(chosen)), np.array(owner, dtype=np.int64)
+    return kernel, np.array(rows, dtype=float).reshape(-1, len(chosen)), np.array(owner, dtype=np.int64), amounts
 
 
-def _telling(features: np.ndarray, owner: np.ndarray, y: np.ndarray, originals: list[int], close: float = 0.75) -> np.ndarray:
-    """Landmarks such that at least half of the documents with something close to them are toxic."""
+def _telling_alone(features: np.ndarray, owner: np.ndarray, y: np.ndarray, originals: list[int], close: float = 0.75, purity: float = 0.8) -> np.ndarray:
+    """For each landmark the toxic documents with something close to it, 0 if these are less than this share of all such documents."""
     near = np.zeros((len(y), features.shape[1]), dtype=bool)
     np.logical_or.at(near, owner, features >= close)
     near = near[originals]
-    return 2 * near[y[originals] == 1].sum(axis=0) >= near.sum(axis=0)
+    toxic = near[y[originals] == 1].sum(axis=0)
+    return np.where(toxic >= purity * near.sum(axis=0), toxic, 0)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Fit the model on labelled documents.
 
     A document's label is that of its sentences to begin with; after each round a toxic document answers only for the
-    sentences that the machine itself finds toxic, or for the most suspicious one. Sentences are mapped by the landmarks
-    (Nyström) and separated by a linear machine with hinge loss; margins become probabilities by a logistic fit.
+    sentences that the machine itself finds toxic, or for the most suspicious one. Landmarks whose mere presence tells are
+    toxic sentences of their own, with half the weight, so that none leans on the words it usually stands with. Sentences are mapped by the landmarks
+    (Nyström) and separated by a linear machine with hinge loss. A second one separates documents, by the largest
+    margin of their sentences and by how often they hold each mark in all, since a stem that stands in ordinary
+    words too may be telling by its number alone. Its margins become probabilities by a logistic fit.
     """
     y = np.array(labels, dtype=np.int64)
     prior = (y.sum() + 0.5) / (len(y) + 1)
-    flat = Model(Kernel([]), np.zeros(0), 0.0, 0.0, float(np.log(prior / (1 - prior))))
+    flat = Model(Kernel([], []), np.zeros(0), 0.0, np.zeros(0), 0.0, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
         return flat
     parsed, known = [], {}
@@ -332,22 +421,20 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         one = Parsed(text)
         one.units = {known.setdefault(u, u) for u in one.units}  # one object for each different word
         parsed.append(one)
-    bags = [p.units for p in parsed]
     originals = _originals(parsed)
-    chosen = _landmarks([bags[i] for i in originals], y[originals])
+    chosen, marks = _landmarks([parsed[i] for i in originals], y[originals])
     if not chosen:
         return flat
-    kernel, features, owner = _features(chosen, parsed)
-    pure = _telling(features, owner, y, originals)
-    if not pure.all():
-        chosen = [u for u, keep in zip(chosen, pure, strict=True) if keep]
-        kernel, features, owner = _features(chosen, parsed)
+    kernel, features, owner, amounts = _features(chosen, marks, parsed)
     if not len(features):
         return flat
     gram = kernel.likeness(chosen).astype(float)
     values, basis = np.linalg.eigh((gram + gram.T) / 2)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ basis.T
     mapped = features @ root
+    alone = _telling_alone(features, owner, y, originals)
+    single = np.where(gram >= ACTIVE, gram, 0)[alone > 0] @ root
+    alone = alone[alone > 0] / max(alone.sum(), 1)
     toxic = y[owner] == 1
     positive = toxic.copy()
     weight, bias = np.zeros(mapped.shape[1]), 0.0
@@ -355,16 +442,22 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         use = positive | ~toxic
         x, sign = mapped[use], np.where(positive[use], 1.0, -1.0)
         share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.4 / max((sign < 0).sum(), 1))
+        if len(single):
+            share = np.r_[np.where(sign > 0, share / 2, share), alone / 4]
+            x, sign = np.concatenate([x, single]), np.r_[sign, np.ones(len(single))]
         weight, bias = _hinge(x, sign, share)
         margin = mapped @ weight + bias
         positive = toxic & (margin > 0)
         for document in np.setdiff1d(owner[toxic], owner[positive]):
             own = np.flatnonzero(owner == document)
             positive[own[margin[own].argmax()]] = True
-    model = Model(kernel, root @ weight, float(bias), 1.0, 0.0)
-    best = np.full(len(y), bias)
-    np.maximum.at(best, owner, mapped @ weight + bias)
-    model.slope, model.shift = _logistic(best, y)
+    most = np.full(len(y), -1.0)
+    np.maximum.at(most, owner, mapped @ weight + bias)
+    design = np.column_stack([amounts, _beyond_doubt(most)])
+    sign = np.where(y == 1, 1.0, -1.0)
+    whole_weight, base = _hinge(design, sign, np.where(sign > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
+    model = Model(kernel, root @ weight, float(bias), whole_weight[:-1], float(whole_weight[-1]), float(base), 1.0, 0.0)
+    model.slope, model.shift = _logistic(design @ whole_weight + base, y)
     return model
 
 

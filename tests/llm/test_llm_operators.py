@@ -329,6 +329,34 @@ PAGES = [
 ]
 
 
+def test_toxicity_by_number_of_weak_marks():
+    rng = np.random.default_rng(5)
+    syllables = ["ka", "lo", "mi", "ru", "te", "so", "vu", "ne", "pa", "di"]
+    texts, labels = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        words = ["".join(rng.choice(syllables, 3)) for _ in range(60)]
+        stems = rng.integers(3, 6) if toxic else rng.integers(0, 2)  # clean texts hold the stem too, but seldom more than once
+        for _ in range(stems):
+            words[rng.integers(60)] = "zorbel" + "".join(rng.choice(syllables, 2))
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    model = toxicity.fit(texts[:600], labels[:600])
+    found = model.scores(texts[600:]) >= toxicity.THRESHOLD
+    truth = np.array(labels[600:]) == 1
+    assert found[truth].mean() >= 0.9
+    assert found[~truth].mean() <= 0.02
+
+
+def test_short_and_non_latin_units_have_likeness():
+    kernel = toxicity.Kernel(["zqx", "дурак"], [])
+    other = "".join(chr(ord(c) + 6) for c in "дурак")  # the same letters by their codes modulo 6
+    like = kernel.likeness(["zqx", "дурак", other])
+    assert like[0, 0] > 0.99
+    assert like[1, 1] > 0.99
+    assert like[2, 1] == 0
+
+
 def test_html_extraction(spark):
     pages = spark.createDataFrame([(i, u, h, "x") for i, (u, h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
