@@ -401,8 +401,8 @@ def _telling_alone(features: np.ndarray, owner: np.ndarray, y: np.ndarray, origi
     return np.where(toxic >= purity * near.sum(axis=0), toxic, 0)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Fit the model on labelled documents.
+def fit(texts: list[str], labels: list[int], share: float | None = None) -> Model:
+    """Fit the model on labelled documents, of which ``share`` are toxic where they come from; None: as many as here.
 
     A document's label is that of its sentences to begin with; after each round a toxic document answers only for the
     sentences that the machine itself finds toxic, or for the most suspicious one. Landmarks whose mere presence tells are
@@ -412,7 +412,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     words too may be telling by its number alone. Its margins become probabilities by a logistic fit.
     """
     y = np.array(labels, dtype=np.int64)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
+    prior = (y.sum() + 0.5) / (len(y) + 1) if share is None else min(max(share, 1e-6), 1 - 1e-6)
     flat = Model(Kernel([], []), np.zeros(0), 0.0, np.zeros(0), 0.0, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
         return flat
@@ -441,11 +441,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for _ in range(4):
         use = positive | ~toxic
         x, sign = mapped[use], np.where(positive[use], 1.0, -1.0)
-        share = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.4 / max((sign < 0).sum(), 1))
+        even = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.4 / max((sign < 0).sum(), 1))
         if len(single):
-            share = np.r_[np.where(sign > 0, share / 2, share), alone / 4]
+            even = np.r_[np.where(sign > 0, even / 2, even), alone / 4]
             x, sign = np.concatenate([x, single]), np.r_[sign, np.ones(len(single))]
-        weight, bias = _hinge(x, sign, share)
+        weight, bias = _hinge(x, sign, even)
         margin = mapped @ weight + bias
         positive = toxic & (margin > 0)
         for document in np.setdiff1d(owner[toxic], owner[positive]):
@@ -457,7 +457,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     sign = np.where(y == 1, 1.0, -1.0)
     whole_weight, base = _hinge(design, sign, np.where(sign > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
     model = Model(kernel, root @ weight, float(bias), whole_weight[:-1], float(whole_weight[-1]), float(base), 1.0, 0.0)
-    model.slope, model.shift = _logistic(design @ whole_weight + base, y)
+    model.slope, model.shift = _logistic(design @ whole_weight + base, y, y.mean() if share is None else share)
     return model
 
 
@@ -477,15 +477,19 @@ def _hinge(x: np.ndarray, sign: np.ndarray, share: np.ndarray, penalty: float =
     return sum_w / n, sum_b / n
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through the margins, by Newton steps; a light penalty keeps separable data finite."""
+def _logistic(margin: np.ndarray, y: np.ndarray, share: float, rounds: int = 200) -> tuple[float, float]:
+    """Slope and shift of a logistic curve through the margins, by Newton steps; a light penalty keeps separable data finite.
+
+    Toxic and clean documents are weighted back to the share of toxic ones where they come from.
+    """
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     a, b = 1.0, 0.0
     design = np.stack([margin, np.ones_like(margin)], axis=1)
     soft = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        gradient = design.T @ (p - soft) + np.array([0.01 * a, 0.0])
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.eye(2) * 1e-2
+        gradient = design.T @ (weight * (p - soft)) + np.array([0.01 * a, 0.0])
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2) * 1e-2
         step = np.linalg.solve(hessian, gradient)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
@@ -499,14 +503,20 @@ def learning_row(id_col: Column) -> Column:
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> Model:
-    """Fit on labelled documents that are not held out: of each label those that come first in the order of a hash of the id, up to a bound."""
+    """Fit on labelled documents that are not held out: of each label those that come first in the order of a hash of the id, up to a bound.
+
+    The bounds change the mix of labels, so scores are weighted back to that of all learning rows, and mean the same
+    whatever the size of the input.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & learning_row(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    sums = marked.agg(F.sum((F.col("_label") == 1).cast("long")).alias("toxic"), F.sum((F.col("_label") == 0).cast("long")).alias("clean")).first()
+    toxic, clean = sums["toxic"] or 0, sums["clean"] or 0
     order = [F.xxhash64("_id"), F.col("_id")]
     ids = marked.where("_label = 1").orderBy(*order).limit(most_toxic).unionByName(marked.where("_label = 0").orderBy(*order).limit(most_clean))
     chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"))  # at most most_toxic + most_clean ids
     rows = chosen.select("_id", whole(text_col).alias("text"), "_label").collect()
     rows.sort(key=lambda r: (r["_id"], r["_label"], r["text"]))
-    return fit([r["text"] for r in rows], [r["_label"] for r in rows])
+    return fit([r["text"] for r in rows], [r["_label"] for r in rows], (toxic + 0.5) / (toxic + clean + 1))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

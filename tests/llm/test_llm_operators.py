@@ -348,6 +348,19 @@ def test_toxicity_by_number_of_weak_marks():
     assert found[~truth].mean() <= 0.02
 
 
+def test_scores_keep_their_meaning_when_the_sample_is_bounded(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('plain words number ', id) AS text")
+    labels = spark.range(2000).selectExpr("id AS doc_id", "cast(id % 10 = 0 AS int) AS toxic")
+    rows = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    share = sum(r["toxic"] for r in rows) / len(rows)
+    model = toxicity.fit_documents(docs, labels, most_toxic=100, most_clean=200)
+    assert abs(float(model.scores(["plain words"])[0]) - share) < 0.01
+    texts = [("grimwit here" if i % 3 == 0 else "fine day") if i < 280 else "grimwit here" for i in range(300)]
+    y = [int(i % 3 == 0) for i in range(300)]
+    same, true = toxicity.fit(texts, y), toxicity.fit(texts, y, 0.1)
+    assert true.scores(["fine day"])[0] < same.scores(["fine day"])[0]
+
+
 def test_short_and_non_latin_units_have_likeness():
     kernel = toxicity.Kernel(["zqx", "дурак"], [])
     other = "".join(chr(ord(c) + 6) for c in "дурак")  # the same letters by their codes modulo 6
