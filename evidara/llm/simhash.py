@@ -295,6 +295,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     a batch sends on only a spanning forest of its links. Equal fingerprints are merged before. Nulls, repeated rows,
     empty tables and extra columns are as in near_duplicates; texts without words form one group.
     """
+    rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
+    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "component").select("doc_id", "component_id")
+
+
+def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sha, component) for every row; the hash of the text tells rows without id, or of one id, apart."""
     words = (TABLES * TABLE_BITS + CHECK_BITS) // BITS
     share = expected_share(similarity)
     most = int(CHECK_BITS * share + (CHECK_BITS * share * (1 - share)) ** 0.5)
@@ -303,8 +310,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     def fingerprint(texts: pd.Series) -> pd.Series:
         return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words)])
 
-    own = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprint(whole(text_col)).alias("fp")))
-    different = own.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.xxhash64("fp"))
+    own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(whole(text_col), "utf-8"), 256).alias("sha"), fingerprint(whole(text_col)).alias("fp")))
+    different = own.select("fp").distinct().withColumn("node", F.xxhash64("fp"))
     orders = _orders(TABLE_BITS, 1, 4)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,12 +346,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     wide = dealt.repartition(shuffle_partitions(docs.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
     edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long").distinct()
     parts = connected_components(edges)
-    grouped = different.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return own.join(grouped.join(names, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    grouped = different.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return own.join(grouped, "fp").select("doc_id", "sha", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of similar ones, the one with the smallest id, with all its columns."""
-    stays = similar_documents(docs, similarity, shingle_words, id_col, text_col).select(F.col("component_id").alias("_stay_id")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi").dropDuplicates([id_col])
+    """One document of each group of similar ones, the one with the smallest id, with all its columns.
+
+    A row without id stays only where no row of its group has one. Rows of one id, or without id, are told apart by
+    their texts; of rows with the same id and text one stays.
+    """
+    rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "sha")).alias("first"))
+    stays = first.select(F.col("first.doc_id").alias("_stay_id"), F.col("first.sha").alias("_stay_sha"))
+    keyed = docs.withColumn("_sha", F.sha2(F.encode(whole(text_col), "utf-8"), 256))
+    kept = keyed.join(stays, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
+    return kept.dropDuplicates([id_col, "_sha"]).drop("_sha")

@@ -165,6 +165,15 @@ def test_similar_documents(spark, nothing):
     assert simhash.similar_documents(nothing).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(200)) for _ in range(7)]
+    close = texts[4] + " other"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4]), (None, close), (9, close), (3, texts[5]), (9, texts[6])]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({rows[i] for i in (0, 1, 3, 4, 5, 8, 9)})
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
