@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -65,11 +66,34 @@ def chunk_encoder(vocabulary: str):
     return encode_text
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids and one end id, cut into pieces of ``length`` and a rest: (doc_id, start, length, ids_crc32, doc_tokens)."""
+def added_tokens(tokenizer_file: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which it finds in a text before anything else, and their ids."""
+    with open(tokenizer_file, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def with_added(encode, added: dict[str, int]):
+    """encode, but with the literals of added tokens taken out first and their ids put in their place."""
+    if not added:
+        return encode
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    ids = {token: np.array([number], dtype="<u4").tobytes() for token, number in added.items()}
+
+    def encode_text(text: str) -> bytes:
+        parts = split(text)
+        return encode(text) if len(parts) == 1 else b"".join(ids[part] if i % 2 else encode(part) for i, part in enumerate(parts) if part)
+
+    return encode_text
+
+
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """Each document's ids and one end id, cut into pieces of ``length`` and a rest: (doc_id, start, length, ids_crc32, doc_tokens).
+
+    Literals of ``added`` tokens get their ids; without these they are encoded as plain text.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = chunk_encoder(vocabulary)
+        encode = with_added(chunk_encoder(vocabulary), added or {})
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
@@ -169,7 +193,7 @@ def _places(chosen: list[tuple[np.ndarray, int]], sizes: np.ndarray, demand: np.
     return {k: tuple(map(np.array, v)) for k, v in found.items()}, first
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """Pack all ids of all documents into sequences of at most ``length``, one row for each piece.
 
     Documents are cut into full pieces and a rest. A histogram of the lengths in steps of ``unit`` (at most length /
@@ -178,9 +202,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH
     offsets follow from a window over each sequence.
 
     A null text is empty and gives its end id only. Repeated rows are packed each; null ids come first; extra columns
-    are left out; an empty table gives no rows.
+    are left out; an empty table gives no rows. Literals of ``added`` tokens are encoded as these.
     """
-    cut = pieces(docs, vocabulary, end_id, length, id_col, text_col).withColumn("units", F.ceil(F.col("length") / unit).cast("long"))
+    cut = pieces(docs, vocabulary, end_id, length, id_col, text_col, added).withColumn("units", F.ceil(F.col("length") / unit).cast("long"))
     placed, _, _ = global_prefix(cut, [F.col("units").desc(), F.col("doc_id").asc_nulls_first(), F.col("start"), F.col("ids_crc32")], "length")
     counts = {int(r["units"]): int(r["n"]) for r in placed.groupBy("units").agg(F.count("*").alias("n")).collect()}  # at most length / unit rows
     sizes = np.array(sorted(counts, reverse=True), dtype=np.int64)

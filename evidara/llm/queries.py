@@ -61,7 +61,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 @_register
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), added=packing.added_tokens(vocabulary_path("byte_bpe_50k.json")))
 
 
 @_register

@@ -234,6 +234,21 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, vocabulary_path()).count() == 0
 
 
+def test_packing_query_encodes_as_the_tokenizer_file_does(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from evidara.llm.queries import op7_packing
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|>\n\n x", "<|endoftext|><|endoftext|> y", "x <|endoftext| z", "none here", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in op7_packing(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (zlib.crc32(np.array(ids, dtype="<u4").tobytes()), len(ids))
+
+
 def test_cutting_patterns_cover_demand_with_little_waste():
     rng = np.random.default_rng(2)
     sizes = np.array(sorted(rng.choice(np.arange(3, 255), 80, replace=False), reverse=True))
