@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import SPACE, whole
+from evidara.llm.common import SPACE, let, whole
 from evidara.session import shuffle_partitions
 
 BINS = 256
@@ -26,12 +26,7 @@ def shingle_hashes(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
         every = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(shingle_words))))
         return F.when(F.size(h) > 0, every).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(hashes, shingles)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(hashes, shingles)
 
 
 def minhash_bins(hashes: Column, bins: int) -> Column:
@@ -40,7 +35,7 @@ def minhash_bins(hashes: Column, bins: int) -> Column:
     Hashes are sorted as signed numbers, so the bins of the upper half come first; equal top bits stay together.
     """
     shift = 64 - int(math.log2(bins))
-    return _let(F.sort_array(hashes), lambda s: F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h, shift) != F.shiftrightunsigned(F.get(s, i - 1), shift))))
+    return let(F.sort_array(hashes), lambda s: F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h, shift) != F.shiftrightunsigned(F.get(s, i - 1), shift))))
 
 
 def _probe(own: Column, attempt: int, bins: int) -> Column:
@@ -73,7 +68,7 @@ def densified(least: Column, bins: int, attempts: int = 24) -> Column:
 
         return F.transform(sparse, value)
 
-    return _let(sparse, fill)
+    return let(sparse, fill)
 
 
 def fingerprint(text: Column, bins: int = BINS, shingle_words: int = SHINGLE_WORDS) -> Column:
@@ -89,7 +84,7 @@ def fingerprint(text: Column, bins: int = BINS, shingle_words: int = SHINGLE_WOR
         low = F.transform(densified(least, bins), lambda h, at: F.get(digits, F.xxhash64(h, at).bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("int")))
         return F.when(F.size(least) > 0, F.array_join(low, "")).otherwise(F.lit(""))
 
-    return _let(minhash_bins(shingle_hashes(text, shingle_words), bins), pack)
+    return let(minhash_bins(shingle_hashes(text, shingle_words), bins), pack)
 
 
 def likeness(one: Column, other: Column, bins: int = BINS) -> Column:
@@ -100,7 +95,7 @@ def likeness(one: Column, other: Column, bins: int = BINS) -> Column:
     """
     pair = F.struct(F.unhex(one).alias("a"), F.unhex(other).alias("b"))
     byte = lambda raw, i: F.substring(raw, i, F.lit(1))
-    same = _let(pair, lambda p: F.size(F.filter(F.sequence(F.lit(1), F.lit(bins)), lambda i: byte(p["a"], i) == byte(p["b"], i))))
+    same = let(pair, lambda p: F.size(F.filter(F.sequence(F.lit(1), F.lit(bins)), lambda i: byte(p["a"], i) == byte(p["b"], i))))
     chance = 2.0**-LOW_BITS
     corrected = F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
     return F.when((one == "") | (other == ""), (one == other).cast("double")).otherwise(corrected)

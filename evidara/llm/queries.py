@@ -72,7 +72,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (~toxicity.learning_row(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(~toxicity.learning_row(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @_register

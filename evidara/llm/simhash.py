@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from evidara.llm.common import LOWER, UPPER, whole
 from evidara.llm.components import connected_components
+from evidara.llm.exact_dedup import keep_rows
 from evidara.session import durable, shuffle_partitions
 
 BITS = 64
@@ -358,7 +359,4 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words
     """
     rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "sha")).alias("first"))
-    stays = first.select(F.col("first.doc_id").alias("_stay_id"), F.col("first.sha").alias("_stay_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(F.encode(whole(text_col), "utf-8"), 256))
-    kept = keyed.join(stays, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha")), "left_semi")
-    return kept.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return keep_rows(docs, first.select("first.doc_id", F.col("first.sha").alias("text_sha256")), id_col, text_col)

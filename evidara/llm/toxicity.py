@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 import unicodedata
 import zlib
@@ -12,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import whole
 
 #: Labelled documents the classifier is fitted on at most, for each label.
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
+#: Bytes of their texts at most.
+FIT_BYTES = 64 << 20
 LANDMARKS, CANDIDATES = 96, 1500
 #: Log likelihood ratio from which a trait is taken for more than chance.
 EVIDENCE = 14.0
@@ -502,21 +505,35 @@ def learning_row(id_col: Column) -> Column:
     return F.crc32(F.encode(id_col.cast("string"), "utf-8")) % 4 != 2
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN) -> Model:
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = FIT_TOXIC, most_clean: int = FIT_CLEAN, most_bytes: int = FIT_BYTES) -> Model:
     """Fit on labelled documents that are not held out: of each label those that come first in the order of a hash of the id, up to a bound.
 
-    The bounds change the mix of labels, so scores are weighted back to that of all learning rows, and mean the same
-    whatever the size of the input.
+    At most most_toxic and most_clean rows, whose texts have together no more than most_bytes, are learnt from, also
+    where ids are repeated. They meet in one task, never in the driver, to which only the fitted model comes. The bounds
+    change the mix of labels, so scores are weighted back to that of all learning rows, and mean the same whatever the
+    size of the input.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & learning_row(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    sums = marked.agg(F.sum((F.col("_label") == 1).cast("long")).alias("toxic"), F.sum((F.col("_label") == 0).cast("long")).alias("clean")).first()
+    marked = labels.where(F.col(label_col).isNotNull() & F.coalesce(learning_row(F.col(id_col)), F.lit(False))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    sums = marked.agg(F.sum((F.col("label") == 1).cast("long")).alias("toxic"), F.sum((F.col("label") == 0).cast("long")).alias("clean")).first()
     toxic, clean = sums["toxic"] or 0, sums["clean"] or 0
-    order = [F.xxhash64("_id"), F.col("_id")]
-    ids = marked.where("_label = 1").orderBy(*order).limit(most_toxic).unionByName(marked.where("_label = 0").orderBy(*order).limit(most_clean))
-    chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id"))  # at most most_toxic + most_clean ids
-    rows = chosen.select("_id", whole(text_col).alias("text"), "_label").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_label"], r["text"]))
-    return fit([r["text"] for r in rows], [r["_label"] for r in rows], (toxic + 0.5) / (toxic + clean + 1))
+    order = [F.xxhash64("id"), F.col("id")]
+    first = lambda rows: rows.where("label = 1").orderBy(*order).limit(most_toxic).unionByName(rows.where("label = 0").orderBy(*order).limit(most_clean))
+    texts = docs.select(F.col(id_col).alias("own_id"), whole(text_col).alias("text"))
+    chosen = texts.join(F.broadcast(first(marked)), F.col("own_id") == F.col("id")).select("id", "label", "text")  # at most most_toxic + most_clean ids
+    slim = first(chosen.select("id", "label", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+    ahead = Window.partitionBy(F.lit(0)).orderBy(*order, "label", "sha")  # over at most most_toxic + most_clean rows
+    fits = slim.withColumn("upto", F.sum("bytes").over(ahead)).where(F.col("upto") <= most_bytes).select("id", "label", "sha", F.row_number().over(ahead).alias("at"))
+    keyed = chosen.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    rows = keyed.dropDuplicates(["id", "label", "sha"]).join(F.broadcast(fits), ["id", "label", "sha"])
+    share = (toxic + 0.5) / (toxic + clean + 1)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        rows = pd.concat(parts).sort_values("at") if parts else pd.DataFrame({"text": [], "label": []})
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["label"].tolist(), share))]})
+
+    learnt = rows.select("text", "label", "at").coalesce(1).mapInPandas(learn, "model binary").collect()  # one row, a few hundred kilobytes
+    return pickle.loads(bytes(learnt[0]["model"])) if learnt else fit([], [], share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -525,7 +542,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     The kernel compares words by their letter triples, gaps allowed, so inserted letters, inflections and words spelled
     out letter by letter stay close to a landmark. Only the text enters a score. Null texts count as empty; an empty
     text gets the score of a sentence without any suspicion. Repeated rows are scored each; without usable labels every
-    score is the share of toxic labels; an empty table gives no rows.
+    score is the share of toxic labels; an empty table gives no rows. Very long texts are read whole, sentence by
+    sentence. Extra columns stay; only columns named score or predicted are replaced by the operator's own.
     """
     model = fit_documents(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -542,5 +560,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    return score_documents(docs, labels, id_col, text_col, threshold=threshold).where("predicted = 0").select(*docs.columns)
+    """The documents that are not predicted toxic, with all their columns, whatever their names.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as in score_documents.
+    """
+    aside = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in ("score", "predicted")}
+    scored = score_documents(docs.withColumnsRenamed(aside), labels, id_col, text_col, threshold=threshold)
+    return scored.where("predicted = 0").select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
