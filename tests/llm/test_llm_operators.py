@@ -293,30 +293,63 @@ def test_fingerprints(docs, nothing):
     assert fingerprint.fingerprint_documents(one).first()["near_next"] == 1.0
 
 
-def test_katz_sums_to_one_and_beats_the_base(spark, docs, nothing):
-    rows = {(r["doc_id"], r["n_tokens"]): r for r in katz.score_documents(docs).collect()}
-    counts = Counter()
-    train = [r for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0]
+class PlainKatz:
+    """Katz' model from its definition, over lists of tokens."""
+
+    def __init__(self, training):
+        self.n = {1: Counter(), 2: Counter(), 3: Counter()}
+        for tokens in training:
+            padded = ["\n", "\n", *tokens]
+            for i in range(2, len(padded)):
+                for order in (1, 2, 3):
+                    self.n[order][tuple(padded[i - order + 1 : i + 1])] += 1
+        self.d = {order: katz.good_turing(Counter(c.values())) for order, c in self.n.items()}
+        self.after = {order: defaultdict(dict) for order in (1, 2, 3)}
+        for order, counts in self.n.items():
+            for gram, n in counts.items():
+                self.after[order][gram[:-1]][gram[-1]] = n
+
+    def p(self, gram):
+        order = len(gram)
+        seen = self.after[order].get(gram[:-1])
+        if not seen:
+            return self.p(gram[1:]) if order > 1 else 1.0
+        total = sum(seen.values())
+        kept = {w: n * self.d[order].get(n, 1.0) for w, n in seen.items()}
+        if all(n > katz.TRUSTED for n in seen.values()):
+            total += 1
+        if gram[-1] in seen:
+            return kept[gram[-1]] / total
+        left = 1 - sum(kept.values()) / total
+        if order == 1:
+            return left
+        return left * self.p(gram[1:]) / (1 - sum(self.p((*gram[1:-1], w)) for w in seen))
+
+
+@pytest.mark.parametrize("parameters", [{}, {"block_tokens": 900, "buckets": 5, "least_hot": 6, "most_hot": 10**9}])
+def test_katz_equals_its_definition(docs, nothing, parameters):
     tokens = lambda text: [*words(lower(text)), "\t"]
-    for r in train:
-        counts.update(tokens(r[1]))
+    train = [tokens(r[1]) for r in ROWS if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0]
+    counts = Counter(t for own in train for t in own)
     n, v = sum(counts.values()), len(counts)
+    plain = PlainKatz(train)
+    wanted = []
     for r in ROWS:
         own = tokens(r[1])
-        got = rows[(r[0], len(own))]
-        assert got["n_known"] == sum(counts[t] > 0 for t in own) and got["train_tokens"] == n
-        assert math.isclose(got["base_score"], sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own), rel_tol=1e-9)
-    model = katz.fit(katz._tokens(spark.createDataFrame([(r[0], r[1]) for r in train], "doc_id long, text string"), "doc_id", "text"))
-    lower_p = {r["key"]: 10 ** r["log_p"] for r in model.unigrams.collect()}
-    unknown = 10**model.unknown_log_p
-    assert math.isclose(sum(lower_p.values()) + unknown, 1)
-    seen = defaultdict(dict)
-    for r in model.bigrams.collect():
-        seen[r["history"]][r["key"]] = 10 ** r["log_p"]
-    for r in model.histories.collect():
-        own = seen[r["history"]]
-        rest = unknown + sum(p for k, p in lower_p.items() if k not in own)
-        assert math.isclose(sum(own.values()) + 10 ** r["log_alpha"] * rest, 1, rel_tol=1e-6)
+        padded = ["\n", "\n", *own]
+        score = sum(math.log10(plain.p(tuple(padded[i - 2 : i + 1]))) for i in range(2, len(padded)))
+        base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own)
+        held = r[0] is None or zlib.crc32(str(r[0]).encode()) % 10 == 0
+        wanted.append((-1 if r[0] is None else r[0], held, len(own), sum(counts[t] > 0 for t in own), n, base, score))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in katz.score_documents(docs, **parameters).collect()]
+    assert len(got) == len(wanted)
+    for one, other in zip(sorted(got), sorted(wanted), strict=True):
+        assert one[:5] == other[:5]
+        assert math.isclose(one[5], other[5], rel_tol=1e-9) and math.isclose(one[6], other[6], rel_tol=1e-9)
+    assert sum(r[6] for r in got) > sum(r[5] for r in got)  # better than the base
+    # every history's probabilities sum to 1
+    for history in [("\n", "\n"), ("the", "of"), ("x", "y"), ("never", "seen"), ("\n", "the")]:
+        assert math.isclose(sum(plain.p((*history, w)) for w in counts) + plain.p((*history, "never seen")), 1, rel_tol=1e-9)
     assert katz.score_documents(nothing).count() == 0
 
 
