@@ -56,6 +56,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_by(df: DataFrame, *keys: str) -> DataFrame:
+    """As durable, dealt by the keys in a way that later joins and groupings by them find, and so move only their other side.
+
+    A checkpoint keeps how its rows are dealt only where the plan is not re-planned as it runs.
+    """
+    spark = df.sparkSession
+    scratch_folder(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(shuffle_partitions(spark), *keys).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's own width for shuffles; operators scale their bucket counts from it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
