@@ -8,6 +8,7 @@ the answers go back to the block that asked. So a frequent word, pair or mark co
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.llm.common import LOWER, UPPER, whole
-from evidara.session import durable, durable_by, shuffle_partitions
+from evidara.session import durable_by, shuffle_partitions
 
 #: Counts above this are trusted and keep their full weight.
 TRUSTED = 5
@@ -132,31 +133,34 @@ def code_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         import xxhash
         from pyspark import TaskContext
 
         lower = bytes.maketrans(UPPER.encode(), LOWER.encode())  # in UTF-8 no other character has these bytes
-        words = re.compile(rb"[^\x20\x09-\x0D]+").findall
         number = TaskContext.get().partitionId() << 32
         start, end = START, END
 
         def block() -> pd.DataFrame:
             keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), dtype=np.uint64, count=len(known)).view(np.int64)
-            sorted_keys, place = np.unique(keys, return_inverse=True)
-            codes = place[np.concatenate(tokens)]
-            return pd.DataFrame({"block": [number], "doc_ids": [ids], "held": [held], "body": [to_bytes(_steps(sorted_keys), codes, np.array(lengths))]})
+            codes = np.concatenate(tokens)
+            # the most frequent words first, so that codes are small, and the many words of one count in the order of their keys
+            order = np.lexsort((keys, -np.bincount(codes, minlength=len(keys))))
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            return pd.DataFrame({"block": [number], "doc_ids": [ids], "held": [held], "body": [to_bytes(_steps(keys[order]), place[codes], np.array(lengths))]})
 
         def fresh() -> tuple:
-            return {start: 0, end: 1}, [], [], [], []
+            numbers: dict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            numbers[start], numbers[end] = 0, 1
+            return numbers, [], [], [], []
 
         known, tokens, lengths, ids, held = fresh()
         total = 0
         for batch in batches:
             for doc_id, out, text in zip(batch["doc_id"], batch["held"], batch["text"], strict=True):
-                own = words(text.encode("utf-8").translate(lower))
-                codes = np.fromiter((known.setdefault(w, len(known)) for w in own), dtype=np.int64, count=len(own))
+                own = text.encode("utf-8").translate(lower).split()  # at the six ASCII white-space characters
+                codes = np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))
                 tokens += [codes, np.ones(1, np.int64)]
                 lengths.append(len(own) + 1)
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
@@ -185,15 +189,22 @@ class Block:
     u: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        start = int(np.searchsorted(self.keys, _key(START)))
+        start = self.start = int(np.flatnonzero(self.keys == _key(START))[0])
         first = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.start = start
         self.v = np.r_[start, self.w[:-1]]
         self.v[first] = start
         self.u = np.r_[start, self.v[:-1]]
         self.u[first] = start
         self.learnt = np.repeat(~self.held, self.lengths)
 
+    def in_order(self, ids: np.ndarray) -> np.ndarray:
+        """Number the words anew in the order of their ids, so that ids ascend where codes do; returns that order."""
+        order = np.argsort(ids, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys, self.w, self.v, self.u, self.start = self.keys[order], place[self.w], place[self.v], place[self.u], int(place[self.start])
+        return order
+
     def words(self) -> np.ndarray:
         """How often training documents hold each word; the start mark as often as it is a history."""
         n = np.bincount(self.w[self.learnt], minlength=len(self.keys))
@@ -273,6 +284,7 @@ def _count_histories(asked: list[tuple[int, list[np.ndarray]]], discounts: np.nd
     and for unseen n-grams with a seen history how many of its n-grams have counts 1 to TRUSTED and the lower
     probabilities of all its n-grams. Of a hot history each bucket has a part, whose sums come apart.
     """
+    asked = [(block, [arrays[0], np.cumsum(arrays[1]), *arrays[2:]]) for block, arrays in asked]  # the second word's ids ascend and come as steps
     *words, n, lower_count, lower_total, history_seen, hot, out, _ = (np.concatenate(x) for x in zip(*(arrays for _, arrays in asked), strict=True))
     lower = np.where(n > 0, _discounted(lower_count, discounts) / lower_total, 0.0)
     order, starts = _groups(*words)
@@ -317,14 +329,15 @@ def _exchange(blocks: DataFrame, answers: list[DataFrame], ask: Callable, count:
         return pd.DataFrame([(kind, level, block, bucket, body) for kind, block, body in count(given, bucket)], columns=["kind", "level", "block", "bucket", "body"])
 
     asked = _with_answers(blocks, answers).applyInPandas(questions, QUESTIONS)
-    return durable(asked.groupBy("bucket").applyInPandas(answer, ANSWERS))
+    return durable_by(asked.groupBy("bucket").applyInPandas(answer, ANSWERS), "block")
 
 
 def _with_answers(blocks: DataFrame, answers: list[DataFrame]):
     """Each block together with what the tables have answered it so far."""
-    had = blocks.sparkSession.createDataFrame([], ANSWERS)
-    for one in answers:
-        had = had.unionByName(one.where("kind = 'answer'"))
+    own = [one.where("kind = 'answer'") for one in answers] or [blocks.sparkSession.createDataFrame([], ANSWERS)]
+    had = own[0]
+    for one in own[1:]:
+        had = had.unionByName(one)
     return blocks.groupBy("block").cogroup(had.groupBy("block"))
 
 
@@ -366,10 +379,12 @@ class Model:
         return np.where(count > 0, _discounted(count, self.discounts[1]) / (self.tokens + self.left_words), self.unknown)
 
     def words_of(self, block: Block, had: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and counts of the block's words, which are numbered anew in the order of the ids."""
         ids, counts = np.zeros(len(block.keys), dtype=np.int64), np.zeros(len(block.keys), dtype=np.int64)
         for at, number, count in _answers(had, 1, _mixed(block.keys) % self.buckets):
             ids[at], counts[at] = number, count
-        return ids, counts
+        order = block.in_order(ids)
+        return ids[order], counts[order]
 
     # longer ones
 
@@ -449,7 +464,7 @@ def fit(blocks: DataFrame, buckets: int | None = None, most_hot: int = MOST_HOT,
         bucket, hot = model.bucket_of([ids[v], ids[w]], counts[v])
         total = np.full(len(v), model.tokens + int(model.left_words))
         columns = [ids[v], ids[w], n, np.where(n > 0, counts[w], 0), total, np.minimum(counts[v], 1), hot, out]
-        return ((b, [*part, np.zeros(1, dtype=np.int64)]) for b, part in _dealt(bucket, *columns))
+        return ((b, [part[0], _steps(part[1]), *part[2:], np.zeros(1, dtype=np.int64)]) for b, part in _dealt(bucket, *columns))
 
     bigrams = _exchange(blocks, [words], ask_bigrams, lambda asked, _: _count_histories(asked, model.discounts[1]), 2, buckets)
     _learn(model, 2, bigrams)
@@ -462,7 +477,8 @@ def fit(blocks: DataFrame, buckets: int | None = None, most_hot: int = MOST_HOT,
         columns = [*grams.words, grams.n, np.where(seen, grams.lower_count, 0), np.where(seen, grams.lower_total, 1).astype(np.int64), np.minimum(grams.history_count, 1), hot, out, grams.known]
         for b, part in _dealt(bucket, *columns):
             asked = ~part[-1]
-            yield b, [*(x[asked] for x in part[:-1]), np.array([(~asked).sum()])]
+            first, second, *rest = (x[asked] for x in part[:-1])
+            yield b, [first, _steps(second), *rest, np.array([(~asked).sum()])]
 
     trigrams = _exchange(blocks, [words, bigrams], ask_trigrams, lambda asked, _: _count_histories(asked, model.discounts[2]), 3, buckets)
     _learn(model, 3, trigrams)
@@ -481,6 +497,7 @@ class Trigrams:
     lower_total: np.ndarray
     known: np.ndarray  # its history is seen once, here, and no held-out document asks for it: the count is 1
     which: np.ndarray  # each token's trigram
+    word_counts: np.ndarray  # of the block's words, as they are numbered now
 
 
 def trigrams_of(model: Model, block: Block, had: pd.DataFrame) -> Trigrams:
@@ -495,7 +512,7 @@ def trigrams_of(model: Model, block: Block, had: pd.DataFrame) -> Trigrams:
     pair = which[at]
     return Trigrams(
         [ids[block.u[at]], ids[block.v[at]], ids[block.w[at]]], n, history_count[at], lower[pair], pair_counts[pair], totals[pair],
-        (n > 0) & (history_count[at] == 1) & (asked[at] == 0), token_trigram,
+        (n > 0) & (history_count[at] == 1) & (asked[at] == 0), token_trigram, counts,
     )
 
 
@@ -531,8 +548,8 @@ def score_blocks(blocks: DataFrame, model: Model, answers: list[DataFrame], base
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
         row = own.iloc[0]
         block = _block(row)
-        _, counts = model.words_of(block, had)
         grams = trigrams_of(model, block, had)
+        counts = grams.word_counts
         _, p, _, _ = model.probability(3, had, grams.words, grams.history_count, grams.lower, grams.known)
         simple = np.log10((counts + base) / (model.tokens + base * (model.distinct + 1)))
         ends = np.r_[0, np.cumsum(block.lengths)[:-1]]
