@@ -18,7 +18,7 @@ from evidara.session import durable
 
 # fixed values: element names of the HTML standard by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object xmp".split())
+RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -39,8 +39,6 @@ CLOSES = {"li": (frozenset(["li"]), _LIST), "dt": (frozenset("dt dd".split()), f
 #: Block elements that end an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - frozenset("br html head body title td th tr tbody thead tfoot caption option optgroup li dd dt legend summary".split())
 HEADINGS = frozenset("header masthead".split())
-#: Open elements beyond which paths grow no longer, so that a page of nested tags stays linear in its length.
-DEEPEST = 48
 SECTIONS = frozenset("article main section div nav header footer aside body form ul ol table dialog menu fieldset".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z))", re.S)
@@ -51,21 +49,27 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Element:
-    """An open element: its name, its place in the page as a path of names with class and id, and whether it is beside the article by its own marks."""
+    """An open element: its name, its token, and whether it is beside the article or in its main part by marks."""
 
     name: str
-    path: str
+    label: str
     side: int  # 0: no, 1: by the words of its class or id, 2: by what it is
     main: bool
+    token: int = 0  # names the place in the page: labels and numbers among like siblings, from the root down
+    chosen: bool = False  # in the element that the template takes for the article
+    chars: int = 0
+    link_chars: int = 0
+    children: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
 class Block:
-    """A run of text of one block: the path it stands in, whether it is beside or in the main part by marks, and how much of it is link text."""
+    """A run of text of one block: the token of the element it stands in, how it is marked, and how much of it is link text."""
 
-    path: str
+    token: int
     side: bool
     main: bool
+    chosen: bool
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
 
@@ -74,7 +78,7 @@ class Block:
 
 
 def _element(name: str, attributes: str, above: Element) -> Element:
-    """The element that a start tag opens; its path is only its own label yet.
+    """The element that a start tag opens, without its token yet.
 
     What is beside the article stays so further down, but an article or main element within something that only its
     class called beside is the main part after all.
@@ -100,31 +104,47 @@ def _element(name: str, attributes: str, above: Element) -> Element:
     return Element(name, label, max(side, inherited), (above.main or main) and not max(side, inherited))
 
 
-def parse(page: str) -> tuple[list[str], list[Block]]:
-    """The page's tokens (paths of its start tags, in order) and its blocks of text in page order."""
-    stack = [Element("", "", 0, False)]
-    tokens: list[str] = []
+ROOT = 0
+
+
+def parse(page: str, article: int | None = None) -> tuple[list[tuple[int, int, int, int, bool]], list[Block]]:
+    """The page's tag tokens and its blocks of text in page order.
+
+    A tag token is (token, token of the element around, characters of text within, those in links, marked as main).
+    Text beside the article by its marks is not counted. Blocks within the element with token ``article`` are chosen.
+    """
+    stack = [Element("", "", 0, False, ROOT)]
+    tokens: list[tuple[int, int, int, int, bool]] = []
     blocks: list[Block] = []
     current: Block | None = None
     links = 0
+    endless: set[str] = set()
 
     def text(raw: str) -> None:
         nonlocal current
         if raw:
             top = stack[-1]
             if current is None or current.side != bool(top.side):
-                current = Block(top.path, bool(top.side), top.main)
+                current = Block(top.token, bool(top.side), top.main, top.chosen)
                 blocks.append(current)
             decoded = entities.unescape(raw)
             current.parts.append(decoded)
-            if links:
-                current.link_chars += len("".join(decoded.split()))
+            if not top.side:
+                chars = len("".join(decoded.split()))
+                top.chars += chars
+                if links:
+                    top.link_chars += chars
+                    current.link_chars += chars
 
     def close(upto: int) -> None:
         nonlocal links
-        for element in stack[upto:]:
+        while len(stack) > upto:
+            element = stack.pop()
             links -= element.name == "a"
-        del stack[upto:]
+            stack[-1].chars += element.chars
+            stack[-1].link_chars += element.link_chars
+            if element.token != stack[-1].token:
+                tokens.append((element.token, stack[-1].token, element.chars, element.link_chars, element.name in ("article", "main") and element.main))
 
     at, end = 0, len(page)
     while at < end:
@@ -168,20 +188,29 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                     break
         above = stack[-1]
         element = _element(name, tag[3], above)
-        inside = (name in BLOCKS or element.side != above.side) and name != "br" and len(stack) <= DEEPEST
-        element.path = f"{above.path}/{element.path}" if inside else above.path
-        if inside:
-            tokens.append(element.path)
+        if (name in BLOCKS or element.side != above.side) and name != "br":
+            number = above.children[element.label] = above.children.get(element.label, 0) + 1
+            element.token = _mix(above.token, element.label, number)
+        else:
+            element.token, element.children = above.token, above.children  # inline: its text stands in the block around
+        element.chosen = above.chosen or element.token == article
         if name in VOID:
             continue
         if bool(element.side) != bool(above.side):
             current = None
         if name in RAW:
-            finish = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = finish.end() if finish else end
+            finish = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            if finish:
+                at = finish.end()
+            elif name in ("script", "style"):
+                break
+            else:
+                endless.add(name)  # nothing ends it: the tag alone is left out
             continue
         links += name == "a"
         stack.append(element)
+    close(1)
+    tokens.append((ROOT, ROOT, stack[0].chars, stack[0].link_chars, False))
     return tokens, blocks
 
 
@@ -190,77 +219,133 @@ def _mix(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-TOKENS = "host string, kind string, token string, vector long, chars long, link_chars long"
-TEMPLATE = "kind string, token string, class_id long, slot_chars long, link_chars long"
+TOKENS = "host string, kind string, token long, above long, vector long, chars long, link_chars long, main long"
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """One row for each different token of a page: tags by their path, and texts by their content within their path.
+    """One row for each different token of a page: tags by their place, and texts by their content and place.
 
     ``vector`` hashes the page and the token's count there; its sum over a host's pages is equal for tokens with equal
-    occurrence vectors. ``chars`` is what text the page has in this slot.
+    occurrence vectors.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for row, host, page in zip(batch["row"], batch["host"], batch["html"], strict=True):
-                tokens, blocks = parse(page)
-                counts: dict[tuple[str, str], list[int]] = {("tag", ""): [1, 0, 0]}
-                for token in tokens:
-                    counts.setdefault(("tag", token), [0, 0, 0])[0] += 1
+                tags, blocks = parse(page)
+                one = _mix(row, 1)
+                rows += [(host, "tag", token, above, one, chars, links, int(main)) for token, above, chars, links, main in tags]
+                texts: dict[int, list[int]] = {}
                 for block in blocks:
-                    text = block.text()
-                    if text and not block.side:
-                        slot = counts.setdefault(("tag", block.path), [0, 0, 0])
-                        slot[1] += len(text)
-                        slot[2] += block.link_chars
-                        if not block.main:
-                            counts.setdefault(("text", text_token(block.path, text)), [0, 0, 0])[0] += 1
-                rows += [(host, kind, token, _mix(row, n), chars, links) for (kind, token), (n, chars, links) in counts.items()]
+                    if not block.side and (text := block.text()):
+                        found = texts.setdefault(text_token(block.token, text), [block.token, 0, len("".join(text.split())), block.link_chars])
+                        found[1] += 1
+                rows += [(host, "text", token, above, _mix(row, n), n * chars, links, 0) for token, (above, n, chars, links) in texts.items()]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TOKENS.split(", ")])
 
     return pages.select("row", "host", "html").mapInPandas(read, TOKENS)
 
 
-def text_token(path: str, text: str) -> str:
-    return f"{path}\x00{_mix(text):x}"
+def text_token(token: int, text: str) -> int:
+    return _mix(token, "text", text)
 
 
-def templates(tokens: DataFrame, min_pages: int = 4, share: float = 0.6) -> DataFrame:
-    """The template of each host: (host, kind, token, class_id, slot_chars, link_chars, pages).
+def equivalence_classes(tokens: DataFrame, min_pages: int = 4, share: float = 0.6) -> DataFrame:
+    """The tokens of the valid equivalence classes of each host: (host, kind, token, above, class_id, chars, link_chars, main, pages).
 
     Tokens with equal occurrence vectors over all pages of a host form an equivalence class. Vectors are summed up as
-    hashes, before and after the shuffle, so no host's pages ever meet in one task. A class is valid if it occurs on at
-    least min_pages and on the given share of the host's pages, so a template is no larger than a few pages. A tag token
-    carries its path; as the path above occurs wherever the token does, classes nest as their paths do. Text tokens of
-    valid classes belong to the template; all other text fills its slots.
+    hashes, before and after the shuffle, so no host's pages ever meet in one task. A class is valid if it is large and
+    frequent: of two tokens or more, on at least min_pages and on the given share of the host's pages. A passage that
+    many pages share stands in paragraphs whose vectors differ from its own, so alone it makes no class.
     """
     vectors = tokens.groupBy("host", "kind", "token").agg(
-        F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("slot_chars"), F.sum("link_chars").alias("link_chars")
+        F.first("above").alias("above"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"),
+        F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.sum("main").alias("main"),
     )
-    hosts = vectors.where("kind = 'tag' and token = ''").select("host", F.col("pages").alias("host_pages"))
-    valid = vectors.join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("host_pages")))
-    return valid.select("host", "kind", "token", F.xxhash64("host", "vector").alias("class_id"), "slot_chars", "link_chars", "pages")
+    hosts = vectors.where(f"kind = 'tag' and token = {ROOT}").select("host", F.col("pages").alias("host_pages"))
+    frequent = vectors.join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("host_pages")))
+    classed = durable(frequent.withColumn("class_id", F.xxhash64("host", "vector")).drop("vector", "host_pages"))
+    large = classed.groupBy("host", "class_id").agg(F.count("*").alias("size")).where("size > 1").select("host", "class_id")
+    return classed.join(large, ["host", "class_id"])
 
 
-def main_text(page: str, template: dict[tuple[str, str], tuple[int, int]]) -> str:
-    """The page's main text: what fills the template's slots, menus left out.
+@dataclass
+class Template:
+    """What a host's valid classes say: the texts that belong to the template, and the element whose slots hold the article."""
 
-    Where the page marks its article, the text is what stands in it, less what is beside by its own marks. Elsewhere
-    it is all text that neither belongs to the template nor fills a slot which on this host holds mostly links.
+    texts: frozenset[int] = frozenset()
+    article: int | None = None
+    links: frozenset[int] = frozenset()  # elements whose slots hold mostly links
+    nesting: dict[int, int] = field(default_factory=dict)  # each class and the one whose slot it stands in
+
+
+def nest(rows: list[dict], share: float = 0.6) -> Template:
+    """Nest a host's valid classes and find the slots that the article fills.
+
+    A class stands in a slot of the class to which the element around its first token belongs. Classes that hang in no
+    slot of another, up to the class of the root, are given up. Text tokens of the others belong to the template; what
+    else the pages hold fills slots. The article is the innermost element of the template whose slots take at least the
+    given share of all that fills slots; where a marked article or main element takes as much, that one.
     """
-    _, blocks = parse(page)
-    found = [(b, t) for b in blocks if not b.side and (t := b.text())]
-    if any(b.main for b, _ in found):
-        return " ".join(t for b, t in found if b.main)
-    kept = []
-    for block, text in found:
-        chars, links = template.get(("tag", block.path), (len(text), block.link_chars))
-        if ("text", text_token(block.path, text)) in template or 2 * links > chars:
-            continue
-        kept.append(text)
-    return " ".join(kept)
+    tags = {r["token"]: r for r in rows if r["kind"] == "tag"}
+    if ROOT not in tags:
+        return Template()
+    of_class = {r["token"]: r["class_id"] for r in tags.values()}
+    nesting: dict[int, int] = {}
+    for r in sorted(rows, key=lambda r: (-r["pages"], r["kind"], r["token"])):
+        around = of_class.get(r["above"])
+        if around is not None and around != r["class_id"]:
+            nesting.setdefault(r["class_id"], around)
+
+    def hangs(class_id: int) -> bool:
+        seen: set[int] = set()
+        while class_id != of_class[ROOT]:
+            if class_id in seen or class_id not in nesting:
+                return False
+            seen.add(class_id)
+            class_id = nesting[class_id]
+        return True
+
+    nested = {c for c in {r["class_id"] for r in rows} if hangs(c)}
+    tags = {t: r for t, r in tags.items() if r["class_id"] in nested}
+    texts = [r for r in rows if r["kind"] == "text" and r["class_id"] in nested]
+    fill = {t: r["chars"] - r["link_chars"] for t, r in tags.items()}
+    for r in texts:
+        at = r["above"]
+        while at in tags:
+            fill[at] -= r["chars"] - r["link_chars"]
+            if at == ROOT:
+                break
+            at = tags[at]["above"]
+
+    def depth(token: int) -> int:
+        steps = 0
+        while token != ROOT and token in tags:
+            token, steps = tags[token]["above"], steps + 1
+        return steps
+
+    holding = [t for t in tags if t != ROOT and fill[ROOT] > 0 and fill[t] >= share * fill[ROOT]]
+    marked = [t for t in holding if 2 * tags[t]["main"] > tags[t]["pages"]]
+    article = min(marked, key=lambda t: (depth(t), t)) if marked else max(holding, key=lambda t: (depth(t), fill[t], t), default=None)
+    links = frozenset(t for t, r in tags.items() if 2 * r["link_chars"] > r["chars"])
+    return Template(frozenset(r["token"] for r in texts), article, links, {c: nesting[c] for c in nested if c in nesting})
+
+
+def main_text(page: str, template: Template) -> str:
+    """The page's main text: what fills the slots of its host's template within the article.
+
+    Template texts, and what its own marks call beside the article (menus, forms, comments), are left out. On a page
+    without the template's article, or of a host without template, the page's own article or main element is taken, and
+    where there is none either, all text that neither belongs to the template nor fills slots of links.
+    """
+    _, blocks = parse(page, template.article)
+    found = [(b, t) for b in blocks if not b.side and (t := b.text()) and text_token(b.token, t) not in template.texts]
+    for mark in ("chosen", "main"):
+        own = [t for b, t in found if getattr(b, mark)]
+        if own:
+            return " ".join(own)
+    return " ".join(t for b, t in found if b.token not in template.links and 2 * b.link_chars <= len(t))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -276,10 +361,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
     numbered = source.withColumn("row", F.monotonically_increasing_id())
-    found = durable(templates(page_tokens(numbered)))
-    one = F.struct("kind", "token", "class_id", "slot_chars", "link_chars")
+    found = durable(equivalence_classes(page_tokens(numbered)))
+    one = F.struct("kind", "token", "above", "class_id", "chars", "link_chars", "main", "pages")
     by_host = found.groupBy("host").agg(F.collect_list(one).alias("template"))  # no more than a few pages' tokens each
-    size = found.agg(F.sum(F.length("token") + 64)).first()[0] or 0
+    size = 64 * found.count()
     if size <= broadcast_bytes:
         met = source.join(F.broadcast(by_host), "host", "left")
     else:
@@ -289,14 +374,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         )
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
+        known: dict[str, Template] = {}
         for batch in batches:
             texts = []
             for host, page, template in zip(batch["host"], batch["html"], batch["template"], strict=True):
                 if host not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[host] = {(t["kind"], t["token"]): (t["slot_chars"], t["link_chars"]) for t in (template if template is not None else ())}
+                    known[host] = nest(list(template) if template is not None else [])
                 texts.append(main_text(page, known[host]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

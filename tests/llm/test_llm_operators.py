@@ -433,14 +433,54 @@ def test_html_extraction(spark):
     for i, (url, _, text) in enumerate(PAGES):
         assert (got[i]["url"], got[i]["text"], got[i]["n_chars"]) == (url, text, len(text))
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
-    # without marks the template of the host tells what stands on every page
-    bare = [(i, f"http://b.example/{i}", f"<div><div>Welcome to this place</div><div><a href=a>one</a> <a href=b>two</a></div><div>Article number {i} with words</div></div>") for i in range(8)]
-    frame = spark.createDataFrame(bare, "page_id long, url string, html string")
+    # hosts without marks: the template tells what stands on every page, whatever the order of the cases
     for limit in (32 << 20, 0):
+        frame = spark.createDataFrame([(i, f"http://b.example/{i}", bare_page(i)) for i in range(8)], "page_id long, url string, html string")
         got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(frame, broadcast_bytes=limit).collect()}
-        assert got == {i: f"Article number {i} with words" for i in range(8)}
-    classes = html_extract.templates(html_extract.page_tokens(frame.withColumn("row", F.col("page_id")).withColumn("host", F.lit("b"))))
-    assert classes.where("kind = 'text'").count() == 1 + 1
+        assert got == {i: bare_text(i) for i in range(8)}
+
+
+SHARED = "A passage that authors like to repeat."
+
+
+def bare_text(i):
+    return f"Title {i} Article number {i} with many words of its own and no link. " + (f"{SHARED} " if i % 4 else f"Another one {i}. ") + " ".join(f"Part {k} of {i}." for k in range(i % 3 + 1))
+
+
+def bare_page(i):
+    parts = "".join(f"<div>Part {k} of {i}.</div>" for k in range(i % 3 + 1))
+    shared = SHARED if i % 4 else f"Another one {i}."
+    return (
+        f"<div><div>Welcome to this place</div><div><a href=a>one {i}</a> <a href=b>two</a></div><div>By the way {i}</div>"
+        f"<div><h1>Title {i}</h1><div>Article number {i} with many words of its own and no link.</div><div>{shared}</div>{parts}</div><div>Read on {i}</div></div>"
+    )
+
+
+def test_classes_decide_what_is_template(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"http://b.example/{i}", bare_page(i)) for i in range(8)], "row long, host string, html string").withColumn("host", F.lit("b"))
+    rows = [r.asDict() for r in html_extract.equivalence_classes(html_extract.page_tokens(frame)).collect()]
+    template = html_extract.nest(rows)
+    shared = [b for b in html_extract.parse(bare_page(1))[1] if b.text() == SHARED][0]
+    # on three of four pages, yet no part of the template: its vector is that of no element around it
+    assert html_extract.text_token(shared.token, SHARED) not in template.texts and len(template.texts) >= 1
+    assert html_extract.main_text(bare_page(3), template) == bare_text(3)
+    # without its classes the same page comes out with all that stands beside the article
+    assert "By the way" in html_extract.main_text(bare_page(3), html_extract.nest([]))
+    assert "By the way" in html_extract.main_text(bare_page(3), html_extract.nest([r | {"class_id": i} for i, r in enumerate(rows) if r["kind"] == "tag" and r["token"]]))
+
+
+def test_html_marks_can_be_stripped(spark):
+    def page(i, marked):
+        names = ("nav", "article", "footer", ' class="ad"') if marked else ("div", "div", "div", "")
+        body = "".join(f"<p>Paragraph {k} of article {i} says something.</p>" for k in range(2 + i % 4))
+        return f"<html><body><{names[0]}><ul><li><a href=x>go {i}</a></li></ul></{names[0]}><div{names[3]}>Buy {i} now</div><{names[1]}><h1>Head {i}</h1>{body}</{names[1]}><{names[2]}>Foot {i}</{names[2]}></body></html>"
+
+    texts = []
+    for marked in (True, False):
+        frame = spark.createDataFrame([(i, f"http://c.example/{i}", page(i, marked)) for i in range(10)], "page_id long, url string, html string")
+        texts.append({r["page_id"]: r["text"] for r in html_extract.extract_pages(frame).collect()})
+    assert texts[0] == texts[1] and texts[0][1] == "Head 1 " + " ".join(f"Paragraph {k} of article 1 says something." for k in range(3))
+    assert html_extract.main_text("<div>" * 20000 + "deep <noscript> open" + "</div>" * 20000, html_extract.Template()) == "deep open"
 
 
 def test_url_filter(spark):
