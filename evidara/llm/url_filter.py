@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import LOWER, UPPER
+from evidara.session import durable
 
 #: (verdict, host, path): the contract's fixed rules.
 RULES = (
@@ -17,6 +18,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 LABEL = "verdict="
+#: Token sets with more than one open URL in so many are looked up by broadcast.
+LARGE_SETS = 1000
 
 
 def url_host(url: Column) -> Column:
@@ -60,8 +63,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -
     """Association rules tokens -> verdict from (tokens, label) rows, as (rule_id, antecedent, label, confidence, support).
 
     FP-growth keeps combinations that at least min_support of the labelled URLs share, so there are few whatever the
-    input's size. Of the rules only those that conclude a verdict stay. A rule is dropped if one with fewer tokens, all
-    of them among its own, concludes the same with at least its confidence.
+    input's size. Of the rules only those that conclude a verdict stay; prune() thins them out.
     """
     items = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit(LABEL), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -72,6 +74,20 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -
     )
 
 
+def prune(mined: DataFrame) -> DataFrame:
+    """The rules without those to which a shorter one adds up: fewer tokens, all of them among the rule's, the same verdict, at least its confidence.
+
+    A shorter rule also has at least the support, so no verdict changes but where rules of equal confidence disagree.
+    Rules meet under the rarest token of the shorter one.
+    """
+    rules = durable(mined)
+    short = rule_index(rules).select(F.col("antecedent").alias("fewer"), F.col("label").alias("same"), F.col("confidence").alias("sure"), "token")
+    long = rules.where(F.size("antecedent") > 1).select("rule_id", "antecedent", "label", "confidence", F.explode("antecedent").alias("token"))
+    within = (F.size("fewer") < F.size("antecedent")) & F.forall("fewer", lambda t: F.array_contains("antecedent", t))
+    spare = long.join(short, "token").where((F.col("label") == F.col("same")) & (F.col("sure") >= F.col("confidence")) & within).select("rule_id").distinct()
+    return rules.join(spare, "rule_id", "left_anti")
+
+
 def rule_index(mined: DataFrame) -> DataFrame:
     """The rules as an inverted index with one entry each: under that of its tokens which the fewest rules name.
 
@@ -91,29 +107,34 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = 0.01, min_con
     those under its tokens, keeps the rules all of whose tokens it has, and follows the most confident (ties: larger support, more tokens, then the
     verdict in code point order). Without any it gets ``default``.
 
-    URLs are judged once for each different token set, so a host with a third of all pages costs no more than its
-    different URLs. A null URL or one without :// has empty host and path and gets the default. With no labelled URL
-    nothing is mined. Repeated rows each get their verdict; extra columns are left out.
+    URLs are judged once for each different token set. Sets that more than one URL in LARGE_SETS has are fewer than
+    LARGE_SETS and go to all tasks, so a host with a third of all pages doesn't meet its verdict in one task; URLs that a
+    given rule judges look nothing up. A null URL or one without :// has empty host and path and gets the default. With
+    no labelled URL nothing is mined. Repeated rows each get their verdict, very long URLs are taken whole; extra
+    columns, whatever their names, are left out; an empty table gives no rows.
     """
     url, host, path = F.coalesce(F.col(url_col), F.lit("")), F.col("host"), F.col("path")
     parsed = pages.select(F.col(id_col).alias("page_id"), url.alias("url")).withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     given = parsed.withColumn("given", matching_rule(host, path, rules)).withColumn("tokens", F.array_sort(url_tokens(F.col("url"), host, path)))
-    given = given.withColumn("judged", F.col("given").isNotNull()).withColumn("key", F.xxhash64("tokens"))
-    labelled = given.where("judged").select("tokens", F.col("given.verdict").alias("label"))
+    given = given.withColumn("is_open", F.col("given").isNull() & (host != ""))
+    result = lambda rows, mined: rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce(F.col("given.verdict"), mined, F.lit(default)).alias("verdict"))
+    labelled = given.where("given is not null").select("tokens", F.col("given.verdict").alias("label"))
     if labelled.isEmpty():
-        mined = None
-    else:
-        mined = mine_rules(labelled, min_support, min_confidence)
-    open_urls = given.where(~F.col("judged") & (host != ""))
-    if mined is None:
-        verdicts = open_urls.select("tokens").distinct().withColumn("mined", F.lit(default))
-    else:
-        different = open_urls.select("key", "tokens").distinct()
-        met = different.select("key", "tokens", F.explode("tokens").alias("token")).join(rule_index(mined), "token")
-        full = met.where(F.forall("antecedent", lambda t: F.array_contains("tokens", t)))
-        best = full.groupBy("key", "tokens").agg(F.min_by("label", F.struct(-F.col("confidence"), -F.col("support"), -F.col("needed"), "label")).alias("mined"))
-        verdicts = best.select("tokens", "mined")
-    # open URLs look their token set up; judged ones need no look-up but pass through the same join
-    joined = given.join(verdicts, ["tokens"], "left")
-    verdict = F.coalesce(F.col("given.verdict"), F.col("mined"), F.lit(default))
-    return joined.select("page_id", "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"))
+        return result(given, F.lit(default))
+    open_urls = given.where("is_open")
+    mined = prune(mine_rules(labelled, min_support, min_confidence))
+    different = durable(open_urls.groupBy("tokens").agg(F.count("*").alias("n")))
+    verdicts = durable(set_verdicts(different, mined))
+    rows = verdicts.agg(F.sum("n")).first()[0] or 0
+    is_large = F.col("n") * LARGE_SETS > rows
+    large, small = F.broadcast(verdicts.where(is_large).drop("n")), verdicts.where(~is_large).drop("n")
+    often = result(open_urls.join(large, "tokens"), F.col("mined"))
+    seldom = result(open_urls.join(large, "tokens", "left_anti").join(small, "tokens", "left"), F.col("mined"))
+    return result(given.where(~F.col("is_open")), F.lit(default)).unionByName(often).unionByName(seldom)
+
+
+def set_verdicts(different: DataFrame, mined: DataFrame) -> DataFrame:
+    """Of (tokens, n) rows those that satisfy a rule, with the verdict of the most confident one as ``mined``."""
+    met = different.select("tokens", "n", F.explode("tokens").alias("token")).join(rule_index(mined), "token")
+    full = met.where(F.forall("antecedent", lambda t: F.array_contains("tokens", t)))
+    return full.groupBy("tokens", "n").agg(F.min_by("label", F.struct(-F.col("confidence"), -F.col("support"), -F.col("needed"), "label")).alias("mined"))

@@ -504,3 +504,35 @@ def test_url_filter(spark):
         assert got[i]["verdict"] == best[2] if best else got[i]["verdict"] in ("allow", "block")
     assert got[6]["verdict"] == "block" and got[8]["verdict"] == "allow" and len(got) == len(urls) + 1
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_mined_verdicts_equal_brute_force(spark):
+    rng = random.Random(6)
+    tokens = ["a", "b", "c", "d", "e"]
+    labelled = []
+    for _ in range(120):
+        own = sorted(t for t in tokens if rng.random() < 0.5)
+        labelled.append((own, "block" if "a" in own and rng.random() < 0.9 or {"b", "c"} <= set(own) else "allow"))
+    frame = spark.createDataFrame(labelled, "tokens array<string>, label string")
+    support, confidence = 0.05, 0.7
+
+    def subsets(items):
+        return [tuple(x for i, x in enumerate(items) if k >> i & 1) for k in range(1, 1 << len(items))]
+
+    rules = {}
+    for left in subsets(tokens):
+        having = [y for own, y in labelled if set(left) <= set(own)]
+        for y in ("allow", "block"):
+            n = having.count(y)
+            if n and n / len(labelled) >= support and n / len(having) >= confidence:
+                rules[(left, y)] = (n / len(having), n / len(labelled))
+    mined = url_filter.mine_rules(frame, support, confidence)
+    assert {(tuple(r["antecedent"]), r["label"]) for r in mined.collect()} == set(rules)
+    kept = {(a, y): v for (a, y), v in rules.items() if not any(y == z and set(b) < set(a) and w[0] >= v[0] for (b, z), w in rules.items())}
+    pruned = url_filter.prune(mined)
+    assert {(tuple(r["antecedent"]), r["label"]) for r in pruned.collect()} == set(kept) and len(kept) < len(rules)
+    different = [list(x) for x in subsets(tokens)]
+    got = {tuple(r["tokens"]): r["mined"] for r in url_filter.set_verdicts(spark.createDataFrame([(x, 1) for x in different], "tokens array<string>, n long"), pruned).collect()}
+    for own in map(tuple, different):
+        fits = [(-c, -s, -len(a), y) for (a, y), (c, s) in kept.items() if set(a) <= set(own)]
+        assert got.get(own) == (min(fits)[3] if fits else None)
