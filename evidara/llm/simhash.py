@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from evidara.llm.common import LOWER, UPPER, whole
 from evidara.llm.components import connected_components
 from evidara.llm.exact_dedup import keep_rows
+from evidara.llm.fingerprint import shingle_hashes
 from evidara.session import durable, shuffle_partitions
 
 BITS = 64
@@ -275,8 +276,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, budget: int = 2, id
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The wider fingerprint: so many tries of 32 bits each, and so many more bits that confirm what a trie finds.
-TABLES, TABLE_BITS, CHECK_BITS, TABLE_BUDGET = 10, 32, 128, 3
+#: The wider fingerprint: so many tries of 32 bits each, and so many more bits that judge what a trie finds.
+TABLES, TABLE_BITS, CHECK_BITS, TABLE_BUDGET = 16, 32, 256, 3
+#: A group of equal trie keys is hot with more than this and more than one in HOT_SHARE of all fingerprints; its first is a leader.
+HOT_GROUP, HOT_SHARE = 1 << 10, 256
 
 
 def expected_share(similarity: float) -> float:
@@ -287,75 +290,170 @@ def expected_share(similarity: float) -> float:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row, by links of at least the given similarity of shingle sets.
 
-    At a similarity of 0.8 about 15 % of SimHash bits differ, too many for one trie. The fingerprint is therefore 448
-    bits wide: ten tries of 32 bits, each joined with itself at a budget of 3 differing bits, and 128 bits that confirm
-    a pair: it is linked if no more of these differ than the similarity lets expect plus one standard deviation. A pair
-    at 0.8 is met in one of the ten tries with probability 0.96, at 0.85 with 0.995.
-
-    In each trie a pair within the budget agrees in one of four 8-bit blocks, so each document goes to four subtrees;
-    a batch sends on only a spanning forest of its links. Equal fingerprints are merged before. Nulls, repeated rows,
-    empty tables and extra columns are as in near_duplicates; texts without words form one group.
+    At a similarity of 0.8 about 15 % of SimHash bits differ, too many for one trie. The fingerprint is therefore 768
+    bits wide: 16 tries of 32 bits, each joined with itself at a budget of 3 differing bits, and 256 bits that judge a
+    pair. By the binomial law a pair at 0.8 meets in one of the tries with probability 0.993 and passes the judgement
+    with 0.994. A pair is sure where so few of the 256 bits differ that one in 400 pairs just below the similarity would
+    do that; a pair that passes but is not sure is confirmed by the exact similarity of its shingle sets, in a join.
+
+    In each trie a pair within the budget agrees in one of four 8-bit blocks, so each document goes to four subtrees,
+    and large subtrees are dealt out once more. A batch sends on a spanning forest of its sure pairs, and of the others
+    those between different trees. Equal fingerprints are merged before. Where very many fingerprints share a trie key,
+    the first of them is a leader: every fingerprint is compared with the few leaders, and those surely alike are linked
+    to it and left out of the tries. Nulls, repeated rows, empty tables and extra columns are as in near_duplicates;
+    texts without words form one group.
     """
     rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
     names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "component").select("doc_id", "component_id")
 
 
-def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, sha, component) for every row; the hash of the text tells rows without id, or of one id, apart."""
-    words = (TABLES * TABLE_BITS + CHECK_BITS) // BITS
-    share = expected_share(similarity)
-    most = int(CHECK_BITS * share + (CHECK_BITS * share * (1 - share)) ** 0.5)
+def _tables(fps: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The trie keys (in the upper halves of 64 bits) and the judging words of fingerprints."""
+    raw = np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(len(fps), -1)
+    cut = TABLES * TABLE_BITS // 8
+    return raw[:, :cut].copy().view(">u4").astype(np.uint64) << np.uint64(32), raw[:, cut:].copy().view(np.uint64)
 
-    @F.pandas_udf(T.BinaryType())
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words)])
 
-    own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(whole(text_col), "utf-8"), 256).alias("sha"), fingerprint(whole(text_col)).alias("fp")))
-    different = own.select("fp").distinct().withColumn("node", F.xxhash64("fp"))
-    orders = _orders(TABLE_BITS, 1, 4)
+def _leaders(different: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and judging words of the first fingerprint of each hot group; at most TABLES * HOT_SHARE of them, mostly none."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                tables, _ = _tables(batch["fp"])
+                for t in range(TABLES):
+                    yield pd.DataFrame({"trie": t, "key": tables[:, t].view(np.int64), "node": batch["node"]})
+
+    limit = max(HOT_GROUP, different.count() // HOT_SHARE)
+    hot = different.mapInPandas(keys, "trie int, key long, node long").groupBy("trie", "key").agg(F.count("*").alias("n"), F.min("node").alias("node")).where(F.col("n") > limit)
+    rows = different.join(F.broadcast(hot.select("node").distinct()), "node").orderBy("node").collect()  # as many at most
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros((0, CHECK_BITS // BITS), np.uint64)
+    return np.array([r["node"] for r in rows], dtype=np.int64), _tables(pd.Series([bytes(r["fp"]) for r in rows]))[1]
+
+
+def similar_links(different: DataFrame, similarity: float, group_limit: int = 1 << 14) -> DataFrame:
+    """(a, b, sure): pairs of nodes of (fp, node) that are surely similar, or may be."""
+    share = expected_share(similarity)
+    spread = (CHECK_BITS * share * (1 - share)) ** 0.5
+    most, sure = int(CHECK_BITS * share + 2.5 * spread), int(CHECK_BITS * share - 2.8 * spread)
+    first, second = _orders(TABLE_BITS, 1, 4), [list(range(8)) + [8 + b for b in order] for order in _orders(24, 1, 4)]
+    leader_nodes, leader_words = _leaders(different)
+
+    def followed(words: np.ndarray) -> np.ndarray:
+        """For each fingerprint the place of the first leader that it is surely like, or -1."""
+        out = np.full(len(words), -1)
+        for i in range(len(leader_nodes)):
+            close = np.bitwise_count(words ^ leader_words[i]).sum(axis=1) <= sure
+            out[close & (out < 0)] = i
+        return out
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at = followed(_tables(batch["fp"])[1])
+                led = at >= 0
+                yield pd.DataFrame({"a": batch["node"].to_numpy()[led], "b": leader_nodes[at[led]], "sure": True})
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            raw = np.frombuffer(b"".join(batch["fp"]), dtype=np.uint8).reshape(len(batch), -1)
-            tables = raw[:, : TABLES * TABLE_BITS // 8].copy().view(">u4").astype(np.uint64)
-            check = [bytes(x) for x in raw[:, TABLES * TABLE_BITS // 8 :]]
-            for t in range(TABLES):
-                for i, order in enumerate(orders):
-                    key = _reorder(tables[:, t] << np.uint64(32), order)
-                    yield pd.DataFrame({"trie": t * len(orders) + i, "head": (key >> np.uint64(56)).astype(np.int64), "key": key.view(np.int64), "node": batch["node"], "check": check})
+            tables, words = _tables(batch["fp"])
+            free = (followed(words) < 0) | np.isin(batch["node"].to_numpy(), leader_nodes)
+            check = [x.tobytes() for x in words[free]]
+            for t in range(TABLES if free.any() else 0):
+                for i, order in enumerate(first):
+                    key = _reorder(tables[free, t], order)
+                    yield pd.DataFrame({"trie": t * len(first) + i, "head": (key >> np.uint64(56)).astype(np.int64), "key": key.view(np.int64), "node": batch["node"].to_numpy()[free], "check": check, "depth": 8})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = batch["key"].to_numpy().view(np.uint64)
+            for i, order in enumerate(second):
+                key = _reorder(keys, order)
+                yield batch[["node", "check"]].assign(trie=batch["trie"] * len(second) + i + TABLES * len(first), head=(key >> np.uint64(50)).astype(np.int64), key=key.view(np.int64), depth=14)[["trie", "head", "key", "node", "check", "depth"]]
 
     def linked(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, part in rows.groupby("trie", sort=False):
+        for (_, depth), part in rows.groupby(["trie", "depth"], sort=False):
             keys = part["key"].to_numpy().view(np.uint64)
             by_key = np.argsort(keys, kind="stable")
             keys, nodes = keys[by_key], part["node"].to_numpy()[by_key]
             check = np.frombuffer(b"".join(part["check"]), dtype=np.uint64).reshape(len(part), -1)[by_key]
-            root = np.arange(len(keys))
-            for a, b in trie_links(keys, TABLE_BITS // 4, TABLE_BUDGET, TABLE_BITS, spanning=False):
-                open_ = root[a] != root[b]
-                a, b = a[open_], b[open_]
-                close = np.bitwise_count(check[a] ^ check[b]).sum(axis=1) <= most
-                root = _join(root, a[close], b[close])
-            own_root = np.flatnonzero(root != np.arange(len(keys)))
-            if len(own_root):
-                yield pd.DataFrame({"a": nodes[own_root], "b": nodes[root[own_root]]})
-
-    dealt = different.select("fp", "node").mapInPandas(deal, "trie int, head long, key long, node long, check binary")
-    wide = dealt.repartition(shuffle_partitions(docs.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
-    edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long").distinct()
-    parts = connected_components(edges)
-    grouped = different.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return own.join(grouped, "fp").select("doc_id", "sha", "component")
+            root, doubtful = np.arange(len(keys)), []
+            for a, b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False):
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                differing = np.bitwise_count(check[a] ^ check[b]).sum(axis=1)
+                root = _join(root, a[differing <= sure], b[differing <= sure])
+                maybe = (differing > sure) & (differing <= most)
+                doubtful.append((a[maybe], b[maybe]))
+            own = np.flatnonzero(root != np.arange(len(keys)))
+            if len(own):
+                yield pd.DataFrame({"a": nodes[own], "b": nodes[root[own]], "sure": True})
+            a, b = (np.concatenate(x) for x in zip(*doubtful, strict=True)) if doubtful else (own[:0], own[:0])
+            apart = root[a] != root[b]
+            if apart.any():
+                yield pd.DataFrame({"a": np.minimum(nodes[a[apart]], nodes[b[apart]]), "b": np.maximum(nodes[a[apart]], nodes[b[apart]]), "sure": False})
+
+    schema = "trie int, head long, key long, node long, check binary, depth int"
+    dealt = different.select("fp", "node").mapInPandas(deal, schema)
+    sizes = dealt.groupBy("trie", "head").agg(F.count("*").alias("n")).where(F.col("n") > group_limit)
+    large = {(r["trie"], r["head"]) for r in sizes.select("trie", "head").collect()}  # of TABLES * 4 * 256 heads
+
+    def parted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = np.fromiter(((t, h) in large for t, h in zip(batch["trie"], batch["head"], strict=True)), dtype=bool, count=len(batch)) if large else np.zeros(len(batch), dtype=bool)
+            yield batch[~split]
+            if split.any():
+                yield from again(iter([batch[split]]))
+
+    wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(different.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
+    edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, sure boolean")
+    if len(leader_nodes):
+        edges = edges.unionByName(different.select("fp", "node").mapInPandas(follow, "a long, b long, sure boolean"))
+    return edges.where("a <> b").distinct()
+
+
+def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sha, component) for every row; the hash of the text tells rows without id, or of one id, apart."""
+    words = (TABLES * TABLE_BITS + CHECK_BITS) // BITS
+
+    @F.pandas_udf(T.BinaryType())
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words)])
+
+    text = whole(text_col)
+    own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), fingerprint(text).alias("fp")).withColumn("node", F.xxhash64("fp")))
+    different = durable(own.groupBy("node").agg(F.first("fp").alias("fp"), F.min("sha").alias("sha")))
+    links = durable(similar_links(different, similarity))
+    trees = durable(connected_components(links.where("sure").select("a", "b")))
+    tree_of = lambda side: trees.select(F.col("node").alias(side), F.col("component").alias(f"tree_{side}"))
+    named = links.where("not sure").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
+    asked = durable(named.select("a", "b", F.coalesce("tree_a", "a").alias("tree_a"), F.coalesce("tree_b", "b").alias("tree_b")).where("tree_a <> tree_b"))
+
+    # the shingle sets of the nodes asked about, one text for each node
+    wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(different.select("node", "sha"), "node")
+    hashes = F.array_distinct(shingle_hashes(F.translate(text, UPPER, LOWER), shingle_words))
+    texts = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).join(wanted, "sha").select("node", hashes.alias("shingles")).dropDuplicates(["node"])
+    sets = durable(texts)
+    pairs = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
+    common = F.size(F.array_intersect("one", "other"))
+    confirmed = pairs.where(common >= similarity * (F.size("one") + F.size("other") - common)).select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))
+    groves = connected_components(confirmed)
+
+    by_tree = different.select("node").join(trees, "node", "left").select("node", F.coalesce("component", "node").alias("tree"))
+    by_grove = by_tree.join(groves.select(F.col("node").alias("tree"), F.col("component").alias("grove")), "tree", "left").select("node", F.coalesce("grove", "tree").alias("component"))
+    return own.join(by_grove, "node").select("doc_id", "sha", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of similar ones, the one with the smallest id, with all its columns.
 
     A row without id stays only where no row of its group has one. Rows of one id, or without id, are told apart by
-    their texts; of rows with the same id and text one stays.
+    their texts; of rows with the same id and text one stays. Null texts count as empty; texts without words are one
+    group; very long texts are read whole. Extra columns stay, whatever their names; an empty table stays empty.
     """
     rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "sha")).alias("first"))

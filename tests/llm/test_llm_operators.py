@@ -165,6 +165,44 @@ def test_similar_documents(spark, nothing):
     assert simhash.similar_documents(nothing).count() == 0
 
 
+def test_similar_documents_around_the_threshold(spark):
+    rng = random.Random(3)
+    docs, wanted, other = [], [], []
+    for similarity in (0.5, 0.6, 0.7, 0.75, 0.8, 0.83, 0.86, 0.9):
+        for _ in range(25):
+            base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(400)]
+            n, changed = 396, list(base)
+            tail = round(n * (1 - similarity) / (1 + similarity))  # so many shingles of either text are its own
+            changed[400 - max(tail, 1) :] = [rng.choice(WORDS) + str(rng.randint(1000, 1999)) for _ in range(max(tail, 1))]
+            sets = [{tuple(t[i : i + 5]) for i in range(n)} for t in (base, changed)]
+            exact = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+            (wanted if exact >= 0.8 else other).append(len(docs))
+            docs += [" ".join(base), " ".join(changed)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    assert sum(got[i + 1] == i for i in wanted) >= 0.95 * len(wanted)
+    assert all(got[i + 1] == i + 1 for i in other)
+
+
+def test_hot_groups_and_large_subtrees_of_near_copies(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(300)]
+    texts = []
+    for i in range(120):
+        own = list(base)
+        own[rng.randint(0, 299)] = f"changed{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(300)) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "HOT_GROUP", 10)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    assert [got[i] for i in range(140)] == [0] * 120 + list(range(120, 140))
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (5,))
+    monkeypatch.setattr(simhash, "HOT_GROUP", 1 << 10)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
+    assert [got[i] for i in range(140)] == [0] * 120 + list(range(120, 140))
+
+
 def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(200)) for _ in range(7)]
