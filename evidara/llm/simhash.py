@@ -42,13 +42,13 @@ def _majorities(texts: pd.Series, shingle_words: int, words: int) -> np.ndarray:
             continue
         count = max(1, len(found) - shingle_words + 1)
         shingles = map(b" ".join, zip(*(found[i:] for i in range(shingle_words)), strict=False)) if len(found) >= shingle_words else [b" ".join(found)]
-        ones = np.zeros((words, BITS), dtype=np.int64)
+        ones = np.zeros(words * BITS, dtype=np.int64)
         hashes = np.fromiter((digest(x, SEED) for x in shingles), dtype=np.uint64, count=count)
-        for start in range(0, count, 4096):
-            part = hashes[start : start + 4096]
-            for i in range(words):
-                ones[i] += np.unpackbits((_mixed(part, i) if i else part).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[at] = np.packbits(2 * ones > count, axis=1).view(">u8")[:, 0]
+        for start in range(0, count, 255):  # so many ones fit in a byte
+            part = hashes[start : start + 255]
+            wide = np.stack([_mixed(part, i) if i else part for i in range(words)], axis=1).astype(">u8")
+            ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+        out[at] = np.packbits(2 * ones > count).view(">u8")
     return out
 
 
