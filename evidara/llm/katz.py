@@ -25,7 +25,7 @@ TRUSTED = 5
 #: Additive constant of the base score.
 BASE = 0.1
 #: Tokens of a block, and the tokens for which the table gets one more bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 1_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 #: A history is dealt over all buckets if it holds more than one in so many of the training tokens; there are fewer of them than this.
 MOST_HOT = 200_000
 #: Marks that no word can be, since words hold no white space.
@@ -60,16 +60,18 @@ def good_turing(counts_of_counts: dict[int, int], trusted: int = TRUSTED) -> dic
 
 
 def to_bytes(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string; integers by planes of bytes, as their high bytes are mostly alike."""
+    """Arrays as one compressed string; integers by planes of bytes, as their high bytes are mostly alike, and only the planes in use."""
     import zstandard
 
     parts = []
     for array in arrays:
         if array.dtype.kind == "f":
-            kind, raw = b"f", array.astype("<f8").tobytes()
+            width, raw = 9, array.astype("<f8").tobytes()
         else:
-            kind, raw = b"i", np.ascontiguousarray(array.astype("<i8").view(np.uint8).reshape(len(array), 8).T).tobytes()
-        parts += [kind, len(array).to_bytes(8, "little"), raw]
+            array = array.astype("<i8")
+            width = 8 if len(array) and array.min() < 0 else (int(array.max()).bit_length() + 7) // 8 if len(array) else 0
+            raw = b"".join(plane.tobytes() for plane in array.view(np.uint8).reshape(-1, 8).T[:width])
+        parts += [bytes([width]), len(array).to_bytes(8, "little"), raw]
     return zstandard.compress(b"".join(parts), 3)
 
 
@@ -78,10 +80,17 @@ def from_bytes(packed: bytes) -> list[np.ndarray]:
 
     raw, at, out = zstandard.decompress(bytes(packed)), 0, []
     while at < len(raw):
-        kind, n = raw[at : at + 1], int.from_bytes(raw[at + 1 : at + 9], "little")
-        body = np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=at + 9)
-        out.append(body.view("<f8") if kind == b"f" else np.ascontiguousarray(body.reshape(8, n).T).view("<i8")[:, 0])
-        at += 9 + 8 * n
+        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        at += 9
+        if width == 9:
+            out.append(np.frombuffer(raw, dtype="<f8", count=n, offset=at))
+            at += 8 * n
+            continue
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        for i in range(width):
+            wide[:, i] = np.frombuffer(raw, dtype=np.uint8, count=n, offset=at + i * n)
+        out.append(wide.view("<i8")[:, 0])
+        at += width * n
     return out
 
 
