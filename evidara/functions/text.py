@@ -17,3 +17,38 @@ def occurrences(haystack: Column, needle: Column) -> Column:
     shrunk = F.length(F.replace(haystack, needle, F.lit("")))
     count = (F.length(haystack) - shrunk) / F.length(needle)
     return F.when(F.length(needle) > 0, F.coalesce(count.cast("long"), F.lit(0))).otherwise(F.lit(0).cast("long"))
+
+
+def ellipsis_parts(quote: Column) -> tuple[Column, Column]:
+    """What stands before the first three dots and after the last; null for both unless each side holds something."""
+    parts = F.split(normalize_ws(quote), r"\.\.\.")
+    head, tail = F.trim(F.get(parts, F.lit(0))), F.trim(F.element_at(parts, -1))
+    both = (F.size(parts) > 1) & (head != "") & (tail != "")
+    return F.when(both, head), F.when(both, tail)
+
+
+def holds_quote(page: Column, quote: Column) -> Column:
+    """Whether a page, white space normalised, holds the quote, or first its part before three dots and later the one after."""
+    text, plain = normalize_ws(page), normalize_ws(quote)
+    head, tail = ellipsis_parts(quote)
+    at = F.instr(text, head)
+    after = F.substring(text, at + F.length(head), F.length(text))
+    there = F.when(head.isNull(), F.contains(text, plain)).otherwise((at > 0) & F.contains(after, tail))
+    return F.coalesce((F.length(page) > 0) & (F.length(quote) > 0) & there, F.lit(False))
+
+
+def slug(title: Column) -> Column:
+    """Lower case, without signs, words joined by single dashes."""
+    bare = F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9_\s-]", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[\s_-]+", "-"), "^-+|-+$", "")
+
+
+def slug_title(name: Column) -> Column:
+    """The words of a slug with capitals."""
+    return F.initcap(F.regexp_replace(name, "[-_]+", " "))
+
+
+def csv_field(value: Column) -> Column:
+    """Quoted where it holds a comma, a quotation mark or a line break, with quotation marks doubled."""
+    doubled = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(F.rlike(value, F.lit('[,"\n\r]')), doubled).otherwise(value)

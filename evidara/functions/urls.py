@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidara.functions.text import ellipsis_parts, normalize_ws
+
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
@@ -22,14 +24,40 @@ def without_slash(url: Column) -> Column:
     return F.regexp_replace(url, "/+$", "")
 
 
+def fragment(url: Column) -> Column:
+    return F.regexp_extract(url, "#(.*)$", 1)
+
+
+def _percent(text: Column) -> Column:
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def fragment_directive(quote: Column, longest: int = 300, words: int = 8) -> Column:
+    """What makes a browser scroll to the quote: the quote itself, or where it begins and where it ends.
+
+    The latter for quotes with three dots between two parts, and for quotes of more than ``longest`` characters, which
+    are given by their first and last words.
+    """
+    plain = normalize_ws(quote)
+    head, tail = ellipsis_parts(quote)
+    each = F.split(plain, " ")
+    ends = F.concat(_percent(F.array_join(F.slice(each, 1, words), " ")), F.lit(","), _percent(F.array_join(F.slice(each, F.greatest(F.size(each) - words + 1, F.lit(1)), F.lit(words)), " ")))
+    inner = F.when(head.isNotNull(), F.concat(_percent(head), F.lit(","), _percent(tail))).when(F.length(plain) <= longest, _percent(plain)).otherwise(ends)
+    return F.concat(F.lit("text="), inner)
+
+
 def text_fragment(url: Column, quote: Column) -> Column:
-    """The URL that makes a browser scroll to the quote: percent-encoded, with the dash encoded too."""
-    encoded = F.replace(F.replace(F.url_encode(quote), F.lit("+"), F.lit("%20")), F.lit("-"), F.lit("%2D"))
-    return F.concat(without_fragment(url), F.lit("#:~:text="), encoded)
+    """The URL with the directive to scroll to the quote; null without a quote, or where the URL has a fragment already."""
+    free = (F.length(quote) > 0) & (F.length(url) > 0) & (fragment(url) == "")
+    return F.when(free, F.concat(F.regexp_replace(url, "#$", ""), F.lit("#:~:"), fragment_directive(quote)))
+
+
+# fixed values: single path segments that name a listing
+LISTINGS = ("events", "event", "news", "blog", "calendar", "press", "media", "updates", "whats-on")
 
 
 def is_weak(url: Column) -> Column:
-    """A page that only points to a site or a listing: no path, or a listing noun as last segment and no fragment."""
-    last = F.regexp_extract(without_slash(path(url)), "([^/]*)$", 1)
-    listing = F.lower(last).isin("events", "news", "blog", "index", "home", "archive", "press", "media", "calendar")
-    return (without_slash(path(url)) == "") | (listing & ~F.contains(url, F.lit("#")))
+    """A page that only points to a site or a listing: no fragment, and the root or one listing noun as its whole path."""
+    segments = F.filter(F.split(path(F.trim(url)), "/"), lambda x: x != "")
+    listing = (F.size(segments) == 1) & F.lower(F.get(segments, F.lit(0))).isin(*LISTINGS)
+    return (fragment(F.trim(url)) == "") & (path(F.trim(url)).isin("", "/") | listing)

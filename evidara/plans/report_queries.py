@@ -161,8 +161,8 @@ def proof_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query(r"""
-    with p as (select page_id, url, regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') as path from pages)
-    select page_id, path = '' or (lower(regexp_extract(path, '([^/]*)$', 1)) in ('events', 'news', 'blog', 'index', 'home', 'archive', 'press', 'media', 'calendar') and not contains(url, '#')) as weak from p""")
+    with p as (select page_id, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages)
+    select page_id, not regexp_matches(url, '#.') and (path in ('', '/') or regexp_matches(lower(path), '^/*(events?|news|blog|calendar|press|media|updates|whats-on)/*$')) as weak from p""")
 def weak_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", is_weak(F.col("url")).alias("weak"))
 
