@@ -52,3 +52,26 @@ def csv_field(value: Column) -> Column:
     """Quoted where it holds a comma, a quotation mark or a line break, with quotation marks doubled."""
     doubled = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(F.rlike(value, F.lit('[,"\n\r]')), doubled).otherwise(value)
+
+
+def hue(name: Column) -> Column:
+    """A steady colour for a tag: the 32-bit shift hash of its characters (h * 31 + c), without sign, by 360."""
+    codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long"))
+    wrapped = lambda h: F.pmod(h + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return (F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrapped(h * 31 + c))) % 360).cast("int")
+
+
+def clock(time: Column) -> Column:
+    """A time of day as read aloud: 12 hours, minutes only where there are any, AM or PM."""
+    return F.when(F.minute(time) == 0, F.date_format(time, "h a")).otherwise(F.date_format(time, "h:mm a"))
+
+
+def slug_keywords(name: Column, stop: tuple[str, ...]) -> Column:
+    """The different words of a slug that are longer than two letters and no stop words."""
+    return F.array_distinct(F.filter(F.split(F.lower(name), r"[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
+
+
+def cjk_share(text: Column) -> Column:
+    """The share of characters in the CJK blocks (kana, unified ideographs, hangul); 0 for an empty text."""
+    n = F.length(text)
+    return F.when(n > 0, F.regexp_count(text, F.lit("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7af]")) / n).otherwise(F.lit(0.0))

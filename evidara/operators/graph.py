@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidara.session import durable, shuffle_partitions
+
 
 def canonical_edges(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """Different undirected edges, the lesser end first; loops and half-open ones left out."""
@@ -18,12 +20,25 @@ def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
     return touching.select(F.explode(F.array("source", "target", F.lit(node))).alias("node")).distinct()
 
 
-def reveal_rank(nodes: DataFrame, order: list[Column]) -> DataFrame:
-    """nodes with t from 0 (first in order) to 1 (last) and reveal = 1 + 3t; a single node has t = 0.
+def global_rank(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """rows with ``rank`` from 0 in the given order, and their number, without any task that sees all rows.
 
-    A global rank: meant for the nodes of one picture, not for unbounded tables.
+    Rows are range-partitioned by the order and ranked in their range; the ranges' sizes, one row each, give the
+    offsets. The order should end in a tie-breaker.
     """
-    rank = F.row_number().over(Window.orderBy(*order)) - 1
-    last = F.count("*").over(Window.partitionBy()) - 1
-    ranked = nodes.withColumn("t", F.when(last > 0, rank / last).otherwise(F.lit(0.0)))
-    return ranked.withColumn("reveal", 1 + 3 * F.col("t"))
+    spark = rows.sparkSession
+    part = durable(rows.repartitionByRange(shuffle_partitions(spark), *order).withColumn("range_part", F.spark_partition_id()))
+    sizes = sorted((r["range_part"], r["count"]) for r in part.groupBy("range_part").count().collect())  # one row for each partition
+    offsets, total = [], 0
+    for number, size in sizes:
+        offsets.append((number, total))
+        total += size
+    before = F.broadcast(spark.createDataFrame(offsets, "range_part int, range_before long"))
+    local = F.row_number().over(Window.partitionBy("range_part").orderBy(*order)) - 1
+    return part.withColumn("rank", local).join(before, "range_part").withColumn("rank", F.col("rank") + F.col("range_before")).drop("range_part", "range_before"), total
+
+
+def reveal_rank(nodes: DataFrame, order: list[Column]) -> DataFrame:
+    """nodes with t from 0 (first in order) to 1 (last) and reveal = 1 + 3t; a single node has t = 0."""
+    ranked, total = global_rank(nodes, order)
+    return ranked.withColumn("t", F.col("rank") / F.lit(float(max(total - 1, 1)))).withColumn("reveal", 1 + 3 * F.col("t")).drop("rank")

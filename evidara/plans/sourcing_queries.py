@@ -124,3 +124,82 @@ def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     parts = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
     return edges.join(customers, "o_custkey", "left_semi").join(parts, "l_partkey", "left_semi").groupBy("o_custkey", "l_partkey").agg(F.count("*").alias("n"))
+
+
+@registry.query("""
+    select p_partkey, (abs(list_reduce(list_prepend(0::bigint, list_transform(string_split(p_brand || p_type, ''), lambda c: unicode(c)::bigint)),
+        lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) % 360)::int as hue from part""")
+def tag_hue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", texts.hue(F.concat("p_brand", "p_type")).alias("hue"))
+
+
+@registry.query("select event_id, case when minute(ts) = 0 then strftime(ts, '%-I %p') else strftime(ts, '%-I:%M %p') end as clock from events")
+def event_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", texts.clock(F.col("ts")).alias("clock"))
+
+
+@registry.query(r"""
+    with w as (select p_partkey, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) as w from part)
+    select p_partkey, count(distinct w) filter (length(w) > 2 and w not in ('the', 'and', 'for')) as n, string_agg(distinct w, ',' order by w) filter (length(w) > 2 and w not in ('the', 'and', 'for')) as keywords from w group by 1""")
+def slug_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = texts.slug_keywords(F.col("p_name"), ("the", "and", "for"))
+    found = table(spark, sf_dir, "part").select("p_partkey", words.alias("words"))
+    return found.select("p_partkey", F.size("words").cast("long").alias("n"), F.when(F.size("words") > 0, F.array_join(F.array_sort("words"), ",")).alias("keywords"))
+
+
+@registry.query("""
+    select n_name, count(*) as n from customer join nation on n_nationkey = c_nationkey group by 1 order by n desc, n_name limit 12""")
+def top_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve countries with most customers; the limit is the report's."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey").select("n_name", "n").orderBy(F.desc("n"), "n_name").limit(12)  # 25 nations
+
+
+@registry.query("""
+    select case when o_orderstatus in ('F', 'O') then 'settled' else o_orderstatus end as status, count(*) as n, min(o_orderdate)::date as first_day, max(o_orderdate)::date as last_day from orders group by 1""")
+def status_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by status, where two of them make one group."""
+    status = F.when(F.col("o_orderstatus").isin("F", "O"), "settled").otherwise(F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"))
+
+
+@registry.query("""
+    select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1""")
+def first_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first find of each type for each user."""
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id", "value")).alias("first"))
+    return first.select("user_id", "event_type", "first.event_id", "first.value")
+
+
+@registry.query("""
+    with kinds as (select distinct event_type from events), users as (select distinct user_id from events)
+    select user_id, string_agg(event_type, ',' order by event_type) as missing from users, kinds where (user_id, event_type) not in (select user_id, event_type from events) group by 1""")
+def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all types each user lacks; users who have all are left out."""
+    events = table(spark, sf_dir, "events")
+    kinds = F.broadcast(events.agg(F.collect_set("event_type").alias("kinds")))  # one row: the few event types
+    lacking = events.groupBy("user_id").agg(F.collect_set("event_type").alias("own")).join(kinds).select("user_id", F.array_sort(F.array_except("kinds", "own")).alias("missing"))
+    return lacking.where(F.size("missing") > 0).select("user_id", F.array_join("missing", ",").alias("missing"))
+
+
+@registry.query("""
+    with new as (select page_id, regexp_replace(url, '#.*$', '') as u, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as h from pages),
+    by_url as (select u, min(page_id) as seen from new where page_id % 2 = 0 group by 1), by_host as (select h, min(page_id) as seen from new where page_id % 2 = 0 group by 1)
+    select page_id, coalesce(a.seen, b.seen) as accessed, case when a.seen is not null then 'url' when b.seen is not null then 'host' else 'new' end as carried_by
+    from new left join by_url a using (u) left join by_host b on b.h = new.h""")
+def citation_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an earlier list of citations, the even pages, knows of each citation: by its URL, else by its host, else nothing.
+
+    Both look-ups are equi-joins on pre-aggregated keys.
+    """
+    new = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"), F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"))
+    prior = new.where("page_id % 2 = 0")
+    by = lambda key, name: prior.groupBy(key).agg(F.min("page_id").alias(name))
+    met = new.join(by("u", "by_url"), "u", "left").join(by("h", "by_host"), "h", "left")
+    how = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_host").isNotNull(), "host").otherwise("new")
+    return met.select("page_id", F.coalesce("by_url", "by_host").alias("accessed"), how.alias("carried_by"))
+
+
+@registry.query(r"""select doc_id, length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) > 0.3 * length(text) and length(text) > 0 as is_cjk from documents""")
+def cjk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (texts.cjk_share(F.col("text")) > 0.3).alias("is_cjk"))
