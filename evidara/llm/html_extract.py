@@ -251,7 +251,7 @@ def text_token(token: int, text: str) -> int:
     return _mix(token, "text", text)
 
 
-def equivalence_classes(tokens: DataFrame, min_pages: int = 4, share: float = 0.6) -> DataFrame:
+def equivalence_classes(pages: DataFrame, min_pages: int = 4, share: float = 0.6) -> DataFrame:
     """The tokens of the valid equivalence classes of each host: (host, kind, token, above, class_id, chars, link_chars, main, pages).
 
     Tokens with equal occurrence vectors over all pages of a host form an equivalence class. Vectors are summed up as
@@ -259,11 +259,11 @@ def equivalence_classes(tokens: DataFrame, min_pages: int = 4, share: float = 0.
     frequent: of two tokens or more, on at least min_pages and on the given share of the host's pages. A passage that
     many pages share stands in paragraphs whose vectors differ from its own, so alone it makes no class.
     """
-    vectors = tokens.groupBy("host", "kind", "token").agg(
+    vectors = page_tokens(pages).groupBy("host", "kind", "token").agg(
         F.first("above").alias("above"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("pages"),
         F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), F.sum("main").alias("main"),
     )
-    hosts = vectors.where(f"kind = 'tag' and token = {ROOT}").select("host", F.col("pages").alias("host_pages"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))  # of the urls alone, so pages are parsed once
     frequent = vectors.join(hosts, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= share * F.col("host_pages")))
     classed = durable(frequent.withColumn("class_id", F.xxhash64("host", "vector")).drop("vector", "host_pages"))
     large = classed.groupBy("host", "class_id").agg(F.count("*").alias("size")).where("size > 1").select("host", "class_id")
@@ -361,7 +361,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
     numbered = source.withColumn("row", F.monotonically_increasing_id())
-    found = durable(equivalence_classes(page_tokens(numbered)))
+    found = durable(equivalence_classes(numbered))
     one = F.struct("kind", "token", "above", "class_id", "chars", "link_chars", "main", "pages")
     by_host = found.groupBy("host").agg(F.collect_list(one).alias("template"))  # no more than a few pages' tokens each
     size = 64 * found.count()

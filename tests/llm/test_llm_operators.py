@@ -496,7 +496,7 @@ def bare_page(i):
 
 def test_classes_decide_what_is_template(spark, monkeypatch):
     frame = spark.createDataFrame([(i, f"http://b.example/{i}", bare_page(i)) for i in range(8)], "row long, host string, html string").withColumn("host", F.lit("b"))
-    rows = [r.asDict() for r in html_extract.equivalence_classes(html_extract.page_tokens(frame)).collect()]
+    rows = [r.asDict() for r in html_extract.equivalence_classes(frame).collect()]
     template = html_extract.nest(rows)
     shared = [b for b in html_extract.parse(bare_page(1))[1] if b.text() == SHARED][0]
     # on three of four pages, yet no part of the template: its vector is that of no element around it
