@@ -9,6 +9,7 @@ from evidara.functions import text as texts
 from evidara.operators import sourcing
 from evidara.plans.registry import Registry
 from evidara.session import table
+from evidara.sinks import exports
 
 registry = Registry()
 QUERIES, ORACLES = registry.queries, registry.oracles
@@ -203,3 +204,14 @@ def citation_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(r"""select doc_id, length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) > 0.3 * length(text) and length(text) > 0 as is_cjk from documents""")
 def cjk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (texts.cjk_share(F.col("text")) > 0.3).alias("is_cjk"))
+
+
+@registry.query(r"""
+    with o as (select o_orderkey, o_orderdate::date as d, 'Order; ' || o_orderpriority || ', status ' || o_orderstatus as title from orders)
+    select o_orderkey, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || left(sha256(o_orderkey || '|' || strftime(d, '%Y%m%d') || '|' || title), 32), 'DTSTART;VALUE=DATE:' || strftime(d, '%Y%m%d'),
+        'DTEND;VALUE=DATE:' || strftime(d + 1, '%Y%m%d'), 'SUMMARY:' || replace(replace(title, ',', '\,'), ';', '\;'), 'END:VEVENT') as vevent from o""")
+def ics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an all-day calendar entry; the titles are too short to be folded."""
+    title = F.concat(F.lit("Order; "), "o_orderpriority", F.lit(", status "), "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), title.alias("title"))
+    return exports.ics_events(orders, "o_orderkey", "day", "title")
