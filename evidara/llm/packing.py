@@ -17,53 +17,28 @@ from evidara.llm.common import global_prefix, whole
 LENGTH = 2048
 #: Lengths are rounded up to this many tokens for the patterns, which bounds the linear program whatever the input.
 UNIT = 8
-#: Chunks whose ids one Python worker remembers at most.
-CACHE = 300_000
 #: Columns that are generated at most; stopping early costs padding, never rows.
 COLUMNS = 4000
 
 _encoders: dict[str, object] = {}
 
 
-def chunk_encoder(vocabulary: str):
-    """text -> its ids as little-endian 32-bit words, remembered from chunk to chunk in this Python worker.
+def text_encoder(vocabulary: str):
+    """text -> its ids as little-endian 32-bit words, set up once in each Python worker.
 
-    The vocabulary is a rank file; its ids are those of the tokenizer file of the same name. A blank before a word
-    belongs to that word, so where no two white-space characters meet, the text's ids are those of its blank-separated
-    chunks one after the other. Other texts are encoded in one go.
+    The vocabulary is a rank file; its ids are those of the tokenizer file of the same name.
     """
-    if vocabulary in _encoders:
-        return _encoders[vocabulary]
-    import base64
+    if vocabulary not in _encoders:
+        import base64
 
-    import public_tokenizers
-    import tiktoken
+        import public_tokenizers
+        import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def packed(text: str) -> bytes:
-        return np.array(encode(text), dtype="<u4").tobytes()
-
-    class Chunks(dict):
-        def __missing__(self, chunk: str) -> bytes:
-            ids = packed(" " + chunk)
-            if len(self) < CACHE and len(chunk) < 64:
-                self[chunk] = ids
-            return ids
-
-    chunk_ids = Chunks().__getitem__
-    meeting = re.compile(r"\s\s|^\s|\s$").search
-
-    def encode_text(text: str) -> bytes:
-        if meeting(text):
-            return packed(text)
-        first, _, rest = text.partition(" ")
-        return packed(first) + (b"".join(map(chunk_ids, rest.split(" "))) if rest else b"")
-
-    _encoders[vocabulary] = encode_text
-    return encode_text
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        _encoders[vocabulary] = lambda text: encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    return _encoders[vocabulary]
 
 
 def added_tokens(tokenizer_file: str) -> dict[str, int]:
@@ -80,8 +55,9 @@ def with_added(encode, added: dict[str, int]):
     ids = {token: np.array([number], dtype="<u4").tobytes() for token, number in added.items()}
 
     def encode_text(text: str) -> bytes:
-        parts = split(text)
-        return encode(text) if len(parts) == 1 else b"".join(ids[part] if i % 2 else encode(part) for i, part in enumerate(parts) if part)
+        if not any(token in text for token in added):
+            return encode(text)
+        return b"".join(ids[part] if i % 2 else encode(part) for i, part in enumerate(split(text)) if part)
 
     return encode_text
 
@@ -93,7 +69,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENG
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = with_added(chunk_encoder(vocabulary), added or {})
+        encode = with_added(text_encoder(vocabulary), added or {})
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
