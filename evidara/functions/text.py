@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_ws(text: Column) -> Column:
     """Every run of Unicode white space becomes one space, ends trimmed, and no space stands beside a parenthesis' inner edge."""
     spaced = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
