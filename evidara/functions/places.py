@@ -31,4 +31,4 @@ def section(lat: Column, lon: Column) -> Column:
 
 def fading(age_days: Column, years: int = 2) -> Column:
     """How far an entry has faded on the map, 0 to 1; fully where its age is not known."""
-    return F.coalesce(F.least(F.greatest(age_days / (365.0 * years), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    return F.when(age_days.isNull(), 1.0).otherwise(F.least(F.greatest(age_days / (365.0 * years), F.lit(0.0)), F.lit(1.0)))
