@@ -82,3 +82,14 @@ def cjk_share(text: Column) -> Column:
     """The share of characters in the CJK blocks (kana, unified ideographs, hangul); 0 for an empty text."""
     n = F.length(text)
     return F.when(n > 0, F.regexp_count(text, F.lit("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7af]")) / n).otherwise(F.lit(0.0))
+
+
+def whole_sentences(text: Column, limit: int) -> Column:
+    """The text's first sentences, each closed by a full stop, as long as what precedes one and itself don't exceed the limit."""
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def add(state: Column, sentence: Column) -> Column:
+        fits = state["open"] & (F.length(state["text"]) + F.length(sentence) <= limit)
+        return F.struct(F.when(fits, F.concat(state["text"], sentence, F.lit(". "))).otherwise(state["text"]).alias("text"), fits.alias("open"))
+
+    return F.trim(F.aggregate(F.split(text, r"\n |\. "), start, add, lambda s: s["text"]))

@@ -61,3 +61,25 @@ def is_weak(url: Column) -> Column:
     segments = F.filter(F.split(path(F.trim(url)), "/"), lambda x: x != "")
     listing = (F.size(segments) == 1) & F.lower(F.get(segments, F.lit(0))).isin(*LISTINGS)
     return (fragment(F.trim(url)) == "") & (path(F.trim(url)).isin("", "/") | listing)
+
+
+def video_id(url: Column) -> Column:
+    """The video that a link of the video site names: in its path for short hosts, embeddings and shorts, else in v=; null for other links."""
+    on_site, place = F.contains(host(url), F.lit("youtube.com")), path(url)
+    of_watch = F.nullif(F.regexp_extract(url, r"[?&]v=([^&#]+)", 1), F.lit(""))
+    return (
+        F.when(host(url) == "youtu.be", F.ltrim(place, F.lit("/")))
+        .when(on_site & (place == "/watch"), of_watch)
+        .when(on_site & place.rlike("^/(?:embed|shorts)/"), F.substring_index(place, "/", -1))
+    )
+
+
+def encyclopedia_page(url: Column) -> Column:
+    """Struct (lang, title) of an encyclopedia article by its URL; null for any other URL."""
+    name = F.regexp_extract(path(url), "/wiki/(.+)$", 1)
+    title = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return F.when(F.contains(host(url), F.lit("wikipedia.org")) & (name != ""), F.struct(F.substring_index(host(url), ".", 1).alias("lang"), title.alias("title")))
+
+
+def is_sitemap(url: Column) -> Column:
+    return F.contains(F.lower(path(url)), F.lit("sitemap"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.functions import contacts, dates, edits, html, passages, places
+from evidara.functions import contacts, dates, edits, html, passages, places, urls
+from evidara.functions import text as texts
 from evidara.operators import footnotes, graph, links
 from evidara.plans.registry import Registry
 from evidara.session import table
+from evidara.sources import feeds
 
 registry = Registry()
 QUERIES, ORACLES = registry.queries, registry.oracles
@@ -222,3 +224,49 @@ def closest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.concat(F.left("text", F.lit(60)), F.lit(" otherwise"))
     found = passages.closest()(F.col("text"), changed)
     return table(spark, sf_dir, "benchmark").select("item_id", found.alias("f")).select("item_id", "f.passage", F.round("f.ratio", 6).alias("ratio"))
+
+
+@registry.query("""
+    select o_orderkey, o_orderdate::date as date, 'Order & ' || o_orderkey as title, case when o_orderkey % 2 = 0 then 'https://f.example/' else 'urn:' end || o_orderkey as link from orders""")
+def latest_feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest entry of one feed for each order, RSS or Atom, with an older entry and one without a date."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    rfc, iso = lambda d: F.date_format(d, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), lambda d: F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    title = F.concat(F.lit("<title><![CDATA[Order & "), key, F.lit("]]></title>"))
+    rss = F.concat(F.lit("<rss><channel><item><title>old</title><pubDate>"), rfc(F.date_sub(day, 3)), F.lit("</pubDate></item><item>"), title, F.lit("<link>https://f.example/"), key, F.lit("</link><pubDate>"), rfc(day), F.lit("</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title>undated</title></entry><entry>"), title, F.lit("<id>urn:"), key, F.lit("</id><published>2000-01-01</published><updated>"), iso(day), F.lit("</updated></entry></feed>"))
+    raw = table(spark, sf_dir, "orders").select(key, F.when(key % 2 == 0, rss).otherwise(atom).alias("text"))
+    return feeds.latest_item(feeds.feed_items(raw), "o_orderkey")
+
+
+@registry.query("""
+    with e as (select o_orderkey, o_orderdate::date as d, case when o_orderkey % 2 = 0 then o_orderdate::date + 2 end as last from orders), m as (select min(d) + 30 as day from e)
+    select o_orderkey, d as date, last as end_date from e, m where coalesce(last, d) >= day and d <= day + 60""")
+def coming_calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the sixty days after the thirtieth day of the orders, read from calendar text."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    orders = table(spark, sf_dir, "orders")
+    end = F.when(key % 2 == 0, F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(day, 3), "yyyyMMdd"), F.lit("\r\n"))).otherwise("")
+    text = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:"), F.date_format(day, "yyyyMMdd"), F.lit("\r\n"), end, F.lit("SUMMARY:Or\r\n der\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    events = feeds.calendar_events(orders.select(key, text.alias("text")))
+    first = F.broadcast(orders.agg(F.date_add(F.min("o_orderdate").cast("date"), 30).alias("as_of")))  # one row
+    return feeds.coming_events(events.join(first), F.col("as_of"), 60).select("o_orderkey", "date", "end_date")
+
+
+@registry.query("""
+    select p_partkey, case when p_partkey % 5 < 3 then 'v' || p_partkey end as video, case when p_partkey % 5 = 3 then 'fr' end as lang, case when p_partkey % 5 = 3 then 'Été ' || p_partkey end as title, p_partkey % 5 = 4 as sitemap from part""")
+def named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links name by their form alone: videos, encyclopedia articles and sitemaps."""
+    forms = ("https://youtu.be/v%d?t=1", "https://www.youtube.com/watch?t=1&v=v%d&x", "https://m.youtube.com/shorts/v%d", "https://fr.wikipedia.org/wiki/%%C3%%89t%%C3%%A9%%20%d#a", "https://a.org/Sitemap-%d.xml")
+    url = F.element_at(F.array(*(F.format_string(f, "p_partkey") for f in forms)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    page = urls.encyclopedia_page(url)
+    return table(spark, sf_dir, "part").select("p_partkey", urls.video_id(url).alias("video"), page["lang"].alias("lang"), page["title"].alias("title"), urls.is_sitemap(url).alias("sitemap"))
+
+
+@registry.query("""
+    with s as (select p_partkey, p_name || ' a. ' as one, p_brand || ' b. ' as two from part)
+    select p_partkey, trim(case when length(one) - 2 > 40 then '' when length(one) + length(two) - 2 > 40 then one else one || two end) as summary from s""")
+def sentence_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sentences of a made-up text up to forty characters; the third one never fits."""
+    text = F.concat("p_name", F.lit(" a. "), "p_brand", F.lit(" b. "), F.repeat(F.lit("x"), 41))
+    return table(spark, sf_dir, "part").select("p_partkey", texts.whole_sentences(text, 40).alias("summary"))

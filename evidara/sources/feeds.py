@@ -42,8 +42,36 @@ def feed_items(feeds: DataFrame, text: str = "text") -> DataFrame:
     items = F.concat(_elements(F.col(text), "item"), _elements(F.col(text), "entry"))
     keep = [c for c in feeds.columns if c != text]
     each = feeds.withColumn("item", F.explode(items))
-    link = F.coalesce(_inner(F.col("item"), "link"), F.nullif(F.regexp_extract("item", r"(?is)<link[^>]*href=\"([^\"]*)\"", 1), F.lit("")))
-    return each.select(*keep, any_date(_inner(F.col("item"), "pubDate", "published", "updated", "dc:date")).alias("date"), _inner(F.col("item"), "title").alias("title"), link.alias("link"))
+    link = F.coalesce(_inner(F.col("item"), "link"), F.nullif(F.regexp_extract("item", r"(?is)<link[^>]*href=\"([^\"]*)\"", 1), F.lit("")), _inner(F.col("item"), "id"))
+    return each.select(*keep, any_date(_inner(F.col("item"), "pubDate", "dc:date", "updated", "published")).alias("date"), _inner(F.col("item"), "title").alias("title"), link.alias("link"))
+
+
+def latest_item(items: DataFrame, *keys: str) -> DataFrame:
+    """The item with the latest date of each feed; of equal dates the one whose title, then link, comes last. Items without a date don't count."""
+    best = F.max(F.struct("date", "title", "link")).alias("best")
+    return items.where("date is not null").groupBy(*keys).agg(best).select(*keys, "best.*")
+
+
+def latest_past_event(events: DataFrame, as_of: Column, *keys: str) -> DataFrame:
+    """The last event of each calendar that is not later than as_of."""
+    best = F.max(F.struct("date", "title", "url", "uid")).alias("best")
+    return events.where(F.col("date") <= as_of).groupBy(*keys).agg(best).select(*keys, "best.*")
+
+
+def coming_events(events: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Events that are not over on as_of and begin within so many days of it."""
+    return events.where((F.coalesce("end_date", "date") >= as_of) & (F.col("date") <= F.date_add(as_of, days)))
+
+
+# fixed values: content types of feeds, and how their bodies begin
+FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json", "application/xml", "text/xml", "text/rss+xml", "text/atom+xml")
+FEED_BEGINNINGS = r"^\s*(?:<\?xml|<rss|<feed|\{\"version\": ?\"https://jsonfeed\.org)"
+
+
+def looks_like_feed(content_type: Column, body: Column) -> Column:
+    """By the content type, else by how the body begins."""
+    named = F.exists(F.array(*map(F.lit, FEED_TYPES)), lambda t: F.contains(F.lower(F.coalesce(content_type, F.lit(""))), t))
+    return named | F.coalesce(F.left(body, F.lit(512)).rlike(FEED_BEGINNINGS), F.lit(False))
 
 
 def sitemap_urls(sitemaps: DataFrame, text: str = "text") -> DataFrame:
