@@ -145,3 +145,21 @@ def test_edits(value):
     assert value(edits.set_checked(F.col("t"), as_of()), t="no front") == "no front"
     assert value(edits.add_feed(F.col("t"), F.lit(None).cast("string")), t=text) == text
     assert value(edits.set_checked(F.col("t"), as_of()), t=None) is None
+
+
+def test_feed_marks(value):
+    from evidara.sources import feeds
+
+    marks = {("text/xml; charset=utf-8", "x"): True, ("text/html", "  <?xml version"): True, ("text/html", "<html>"): False, (None, '{"version": "https://jsonfeed.org/1"}'): True, (None, None): False}
+    for (kind, body), wanted in marks.items():
+        assert value(feeds.looks_like_feed(F.lit(kind).cast("string"), F.lit(body).cast("string"))) is wanted
+
+
+def test_events_and_items(spark):
+    from evidara.sources import feeds
+
+    events = spark.createDataFrame([("a", day("2024-01-01"), None, "x", "", ""), ("a", day("2024-01-30"), day("2024-02-02"), "y", "", ""), ("a", day("2024-03-30"), None, "z", "", "")], "k string, date date, end_date date, title string, url string, uid string")
+    assert [r["title"] for r in feeds.latest_past_event(events, as_of(), "k").collect()] == ["y"]
+    assert [r["title"] for r in feeds.coming_events(events, as_of(), 30).collect()] == ["y"]
+    items = spark.createDataFrame([("a", None, "t", "l"), ("b", day("2024-01-01"), "t", None)], "k string, date date, title string, link string")
+    assert [r["k"] for r in feeds.latest_item(items, "k").collect()] == ["b"]
