@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.llm import bitsliced, exact_dedup, filter_audit, fingerprint, html_extract, katz, mixing, packing, sharding, simhash, toxicity, url_filter
+from evidara.llm import bitsliced, exact_dedup, filter_audit, fingerprint, html_extract, katz, langid, mixing, packing, sharding, simhash, toxicity, url_filter
 from evidara.session import table
 
 QUERIES: dict = {}
@@ -127,6 +127,15 @@ ORACLES["op13_filter_audit"] = r"""
 """
 
 
+@_register
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learnt = langid.fit(docs.where(langid.learning_row(F.col("doc_id"))))
+    told = langid.identify_documents(docs, learnt)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 @_register
 def op12_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
