@@ -33,8 +33,8 @@ def block_hashes(text: Column) -> Column:
     """Hashes of successive blocks of a text's bytes; a text has about one more for each factor GROWTH of its size."""
 
     def cut(raw: Column) -> Column:
-        longer = F.ceil(F.log(F.octet_length(raw) / FIRST_BLOCK) / F.log(F.lit(float(GROWTH)))) + 1
-        end = lambda i: (FIRST_BLOCK * F.pow(F.lit(float(GROWTH)), i)).cast("int")
+        longer = F.ceil(F.log(F.octet_length(raw) / FIRST_BLOCK) / F.log(F.lit(float(GROWTH))))
+        end = lambda i: F.least(FIRST_BLOCK * F.pow(F.lit(float(GROWTH)), i), F.lit(float((1 << 31) - 1))).cast("int")
         begin = lambda i: F.when(i == 0, 0).otherwise(end(i - 1))
         last = F.when(F.octet_length(raw) > FIRST_BLOCK, longer).otherwise(0).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, begin(i) + 1, end(i) - begin(i))))
