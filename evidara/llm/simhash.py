@@ -23,10 +23,11 @@ SEED = 42
 FRONTIER = 1 << 20
 
 
-def _majorities(texts: pd.Series, shingle_words: int, words: int) -> np.ndarray:
+def _majorities(texts: pd.Series, shingle_words: int, words: int, distinct: bool = False) -> np.ndarray:
     """For each text ``words`` 64-bit majorities over its shingles' hashes; zeros without words.
 
     The first takes the hashes as they are, further ones take them mixed anew, so that all bits are independent.
+    Repeated shingles count each, or once if ``distinct``, so that the bits follow the similarity of sets.
     """
     import re
 
@@ -44,6 +45,9 @@ def _majorities(texts: pd.Series, shingle_words: int, words: int) -> np.ndarray:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(shingle_words)), strict=False)) if len(found) >= shingle_words else [b" ".join(found)]
         ones = np.zeros(words * BITS, dtype=np.int64)
         hashes = np.fromiter((digest(x, SEED) for x in shingles), dtype=np.uint64, count=count)
+        if distinct:
+            hashes = np.unique(hashes)
+            count = len(hashes)
         for start in range(0, count, 255):  # so many ones fit in a byte
             part = hashes[start : start + 255]
             wide = np.stack([_mixed(part, i) if i else part for i in range(words)], axis=1).astype(">u8")
@@ -108,16 +112,42 @@ def _products(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) ->
             yield a[once], b[once]
 
 
-def trie_links(keys: np.ndarray, depth: int, budget: int, width: int = BITS, spanning: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _unlike(a: np.ndarray, b: np.ndarray, colours: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a position of a and one of b of unlike colours, some at a time; where both are the same run, each pair once."""
+    same_run = a[0] == b[0]
+    each, n = np.unique(colours[a], return_counts=True)
+    large = each[n >= 64]
+    for colour in large:  # a large colour never meets itself
+        yield from _meshed(a[colours[a] == colour], b[colours[b] != colour], None, same_run)
+    yield from _meshed(a[~np.isin(colours[a], large)], b, colours, same_run)
+
+
+def _meshed(a: np.ndarray, b: np.ndarray, colours: np.ndarray | None, same_run: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, FRONTIER // max(len(b), 1))
+    for start in range(0, len(a) if len(b) else 0, step):
+        part = a[start : start + step]
+        one, other = np.repeat(part, len(b)), np.tile(b, len(part))
+        keep = one < other if same_run else np.ones(len(one), bool)
+        if colours is not None:
+            keep &= colours[one] != colours[other]
+        yield one[keep], other[keep]
+
+
+def trie_links(keys: np.ndarray, depth: int, budget: int, width: int = BITS, spanning: bool = True, colours: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions of sorted keys that agree in their first ``depth`` bits and differ in at most ``budget`` others.
 
     Keys are ``width`` bits, from the highest down. A trie node is a run of the sorted keys. Pairs of nodes are
     traversed together from the subtrees at ``depth``: a pair splits into the pairs of its children, a pair of unlike
     children spends one unit of the budget, and pairs over budget are pruned. A pair whose remaining bits cannot exceed
     the budget is taken whole. With ``spanning`` each key of one node is then linked to the first of the other only,
-    which keeps them connected; otherwise all their pairs come.
+    which keeps them connected; otherwise all their pairs come. Keys of equal ``colours``, sorted within equal keys, are
+    connected already: their pairs are left out, and pairs of nodes that hold one colour alone are pruned, so a large
+    group of one colour costs no more than its nodes.
     """
     n = len(keys)
+    if colours is not None:
+        changes = np.r_[np.flatnonzero(colours[1:] != colours[:-1]) + 1, n]
+        change = changes[np.searchsorted(changes, np.arange(n), side="right")]
     top = keys >> np.uint64(BITS - depth) if depth else np.zeros(n, np.uint64)
     starts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     ends = np.r_[starts[1:], n]
@@ -126,6 +156,9 @@ def trie_links(keys: np.ndarray, depth: int, budget: int, width: int = BITS, spa
     ones_before: dict[int, np.ndarray] = {}
     while work:
         level, al, ah, bl, bh, spent = work.pop()
+        if colours is not None:
+            plain = (colours[al] == colours[bl]) & (change[al] >= ah) & (change[bl] >= bh)
+            al, ah, bl, bh, spent = (x[~plain] for x in (al, ah, bl, bh, spent))
         if not len(al):
             continue
         if len(al) > FRONTIER:
@@ -137,8 +170,17 @@ def trie_links(keys: np.ndarray, depth: int, budget: int, width: int = BITS, spa
             if spanning:
                 yield from _products(al[near], ah[near], bl[near], bl[near] + 1)
                 yield from _products(al[near], al[near] + 1, bl[near], bh[near])
-            else:
+            elif colours is None:
                 yield from _products(al[near], ah[near], bl[near], bh[near])
+            else:
+                crowded = near & ((ah - al) * (bh - bl) > 4096)
+                for i in np.flatnonzero(crowded):
+                    yield from _unlike(np.arange(al[i], ah[i]), np.arange(bl[i], bh[i]), colours)
+                few = near & ~crowded
+                if few.any():
+                    for a, b in _products(al[few], ah[few], bl[few], bh[few]):
+                        unlike = colours[a] != colours[b]
+                        yield a[unlike], b[unlike]
             al, ah, bl, bh, spent = (x[~near] for x in (al, ah, bl, bh, spent))
         single = (ah - al == 1) & (bh - bl == 1) & (al != bl)
         if single.any():
@@ -278,8 +320,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, budget: int = 2, id
 
 #: The wider fingerprint: so many tries of 32 bits each, and so many more bits that judge what a trie finds.
 TABLES, TABLE_BITS, CHECK_BITS, TABLE_BUDGET = 16, 32, 256, 3
-#: A group of equal trie keys is hot with more than this and more than one in HOT_SHARE of all fingerprints; its first is a leader.
-HOT_GROUP, HOT_SHARE = 1 << 10, 256
+#: Fingerprints that share a trie key are compared with the first of them beforehand if there are more of them than this.
+HOT_GROUP = 1 << 10
+#: Up to so many of these first ones (with their bits, 128 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LEADERS = 1 << 18
 
 
 def expected_share(similarity: float) -> float:
@@ -299,8 +343,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     In each trie a pair within the budget agrees in one of four 8-bit blocks, so each document goes to four subtrees,
     and large subtrees are dealt out once more. A batch sends on a spanning forest of its sure pairs, and of the others
     those between different trees. Equal fingerprints are merged before. Where very many fingerprints share a trie key,
-    the first of them is a leader: every fingerprint is compared with the few leaders, and those surely alike are linked
-    to it and left out of the tries. Nulls, repeated rows, empty tables and extra columns are as in near_duplicates;
+    those surely like the first of them are linked to it beforehand; the groups so linked are colours. All stay in
+    the tries, but pairs of one colour are not met again, which loses no link and spares a hot group its square. Nulls, repeated rows, empty tables and extra columns are as in near_duplicates;
     texts without words form one group.
     """
     rows = _similar_rows(docs, similarity, shingle_words, id_col, text_col)
@@ -315,8 +359,16 @@ def _tables(fps: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, :cut].copy().view(">u4").astype(np.uint64) << np.uint64(32), raw[:, cut:].copy().view(np.uint64)
 
 
-def _leaders(different: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and judging words of the first fingerprint of each hot group; at most TABLES * HOT_SHARE of them, mostly none."""
+def _limits(similarity: float) -> tuple[int, int]:
+    """Of the judging bits, how many may differ in a pair that is looked at, and in one that is surely similar."""
+    share = expected_share(similarity)
+    spread = (CHECK_BITS * share * (1 - share)) ** 0.5
+    return int(CHECK_BITS * share + 2.5 * spread), int(CHECK_BITS * share - 2.8 * spread)
+
+
+def hot_links(different: DataFrame, similarity: float, hot_group: int | None = None) -> DataFrame:
+    """(a, b): fingerprints that share a trie key with more than ``hot_group`` others and are surely like the first of these."""
+    _, sure = _limits(similarity)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -325,64 +377,56 @@ def _leaders(different: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for t in range(TABLES):
                     yield pd.DataFrame({"trie": t, "key": tables[:, t].view(np.int64), "node": batch["node"]})
 
-    limit = max(HOT_GROUP, different.count() // HOT_SHARE)
-    hot = different.mapInPandas(keys, "trie int, key long, node long").groupBy("trie", "key").agg(F.count("*").alias("n"), F.min("node").alias("node")).where(F.col("n") > limit)
-    rows = different.join(F.broadcast(hot.select("node").distinct()), "node").orderBy("node").collect()  # as many at most
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros((0, CHECK_BITS // BITS), np.uint64)
-    return np.array([r["node"] for r in rows], dtype=np.int64), _tables(pd.Series([bytes(r["fp"]) for r in rows]))[1]
+    keyed = different.mapInPandas(keys, "trie int, key long, node long")
+    hot = durable(keyed.groupBy("trie", "key").agg(F.count("*").alias("n"), F.min("node").alias("b")).where(F.col("n") > (HOT_GROUP if hot_group is None else hot_group)).drop("n"))
+    few = hot.count() <= BROADCAST_LEADERS
+    small = lambda df: F.broadcast(df) if few else df
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        if not len(one):
+            return pd.Series([], dtype=bool)
+        return pd.Series(np.bitwise_count(_tables(one)[1] ^ _tables(other)[1]).sum(axis=1) <= sure)
+
+    members = keyed.join(small(hot), ["trie", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    leaders = different.join(small(hot.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("fp").alias("other"))
+    return members.join(different.select(F.col("node").alias("a"), F.col("fp").alias("one")), "a").join(small(leaders), "b").where(alike("one", "other")).select("a", "b")
 
 
 def similar_links(different: DataFrame, similarity: float, group_limit: int = 1 << 14) -> DataFrame:
     """(a, b, sure): pairs of nodes of (fp, node) that are surely similar, or may be."""
-    share = expected_share(similarity)
-    spread = (CHECK_BITS * share * (1 - share)) ** 0.5
-    most, sure = int(CHECK_BITS * share + 2.5 * spread), int(CHECK_BITS * share - 2.8 * spread)
+    most, sure = _limits(similarity)
     first, second = _orders(TABLE_BITS, 1, 4), [list(range(8)) + [8 + b for b in order] for order in _orders(24, 1, 4)]
-    leader_nodes, leader_words = _leaders(different)
-
-    def followed(words: np.ndarray) -> np.ndarray:
-        """For each fingerprint the place of the first leader that it is surely like, or -1."""
-        out = np.full(len(words), -1)
-        for i in range(len(leader_nodes)):
-            close = np.bitwise_count(words ^ leader_words[i]).sum(axis=1) <= sure
-            out[close & (out < 0)] = i
-        return out
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                at = followed(_tables(batch["fp"])[1])
-                led = at >= 0
-                yield pd.DataFrame({"a": batch["node"].to_numpy()[led], "b": leader_nodes[at[led]], "sure": True})
+    hot = durable(hot_links(different, similarity))
+    colours = durable(connected_components(hot))
+    coloured = durable(different.select("fp", "node").join(colours, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("colour")))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             tables, words = _tables(batch["fp"])
-            free = (followed(words) < 0) | np.isin(batch["node"].to_numpy(), leader_nodes)
-            check = [x.tobytes() for x in words[free]]
-            for t in range(TABLES if free.any() else 0):
+            check = [x.tobytes() for x in words]
+            for t in range(TABLES):
                 for i, order in enumerate(first):
-                    key = _reorder(tables[free, t], order)
-                    yield pd.DataFrame({"trie": t * len(first) + i, "head": (key >> np.uint64(56)).astype(np.int64), "key": key.view(np.int64), "node": batch["node"].to_numpy()[free], "check": check, "depth": 8})
+                    key = _reorder(tables[:, t], order)
+                    yield pd.DataFrame({"trie": t * len(first) + i, "head": (key >> np.uint64(56)).astype(np.int64), "key": key.view(np.int64), "node": batch["node"], "colour": batch["colour"], "check": check, "depth": 8})
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys = batch["key"].to_numpy().view(np.uint64)
             for i, order in enumerate(second):
                 key = _reorder(keys, order)
-                yield batch[["node", "check"]].assign(trie=batch["trie"] * len(second) + i + TABLES * len(first), head=(key >> np.uint64(50)).astype(np.int64), key=key.view(np.int64), depth=14)[["trie", "head", "key", "node", "check", "depth"]]
+                yield batch[["node", "colour", "check"]].assign(trie=batch["trie"] * len(second) + i + TABLES * len(first), head=(key >> np.uint64(50)).astype(np.int64), key=key.view(np.int64), depth=14)[["trie", "head", "key", "node", "colour", "check", "depth"]]
 
     def linked(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for (_, depth), part in rows.groupby(["trie", "depth"], sort=False):
-            keys = part["key"].to_numpy().view(np.uint64)
-            by_key = np.argsort(keys, kind="stable")
-            keys, nodes = keys[by_key], part["node"].to_numpy()[by_key]
+            keys, colour = part["key"].to_numpy().view(np.uint64), part["colour"].to_numpy()
+            by_key = np.lexsort((colour, keys))
+            keys, nodes, colour = keys[by_key], part["node"].to_numpy()[by_key], colour[by_key]
             check = np.frombuffer(b"".join(part["check"]), dtype=np.uint64).reshape(len(part), -1)[by_key]
             root, doubtful = np.arange(len(keys)), []
-            for a, b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False):
+            for a, b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False, colours=colour):
                 apart = root[a] != root[b]
                 a, b = a[apart], b[apart]
                 differing = np.bitwise_count(check[a] ^ check[b]).sum(axis=1)
@@ -397,8 +441,8 @@ def similar_links(different: DataFrame, similarity: float, group_limit: int = 1
             if apart.any():
                 yield pd.DataFrame({"a": np.minimum(nodes[a[apart]], nodes[b[apart]]), "b": np.maximum(nodes[a[apart]], nodes[b[apart]]), "sure": False})
 
-    schema = "trie int, head long, key long, node long, check binary, depth int"
-    dealt = different.select("fp", "node").mapInPandas(deal, schema)
+    schema = "trie int, head long, key long, node long, colour long, check binary, depth int"
+    dealt = coloured.mapInPandas(deal, schema)
     sizes = dealt.groupBy("trie", "head").agg(F.count("*").alias("n")).where(F.col("n") > group_limit)
     large = {(r["trie"], r["head"]) for r in sizes.select("trie", "head").collect()}  # of TABLES * 4 * 256 heads
 
@@ -411,9 +455,7 @@ def similar_links(different: DataFrame, similarity: float, group_limit: int = 1
 
     wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(different.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
     edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, sure boolean")
-    if len(leader_nodes):
-        edges = edges.unionByName(different.select("fp", "node").mapInPandas(follow, "a long, b long, sure boolean"))
-    return edges.where("a <> b").distinct()
+    return edges.unionByName(hot.withColumn("sure", F.lit(True))).where("a <> b").distinct()
 
 
 def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -422,7 +464,7 @@ def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col
 
     @F.pandas_udf(T.BinaryType())
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words)])
+        return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words, distinct=True)])
 
     text = whole(text_col)
     own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), fingerprint(text).alias("fp")).withColumn("node", F.xxhash64("fp")))
