@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.llm.common import WORD, global_prefix, whole
+from evidara.llm.exact_dedup import unused
 from evidara.session import durable
 
 WEIGHTS = (5, 2, 1)
@@ -69,20 +70,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 def repeat_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, whole; at a source's edge one is cut to the words still missing.
 
-    Columns are those of docs; ``n_chars``, where present, follows a cut. Documents of no words are dropped, since the mix takes none of theirs.
+    Columns are those of docs, whatever their names; ``n_chars``, where present, follows a cut. Documents of no words,
+    null texts among them, are dropped, since the mix takes none of theirs; null sources are a source, null ids an id.
+    Rows that repeat id, source and text come as often as the mix takes them together, to the word; an empty table stays empty.
     """
+    names = {}
+    for wish in ("mix_hash", "mix_number", "mix_words", "mix_id", "mix_source", "mix_text", "mix_size", "mix_taken", "mix_rows"):
+        names[wish[4:]] = unused([*docs.columns, *names.values()], wish)
+    col = lambda name: F.col(names[name])
     taken = mix(docs, source_col=source_col, id_col=id_col, text_col=text_col, **parameters).where(F.col("taken") > 0)
-    # rows that repeat id, source and text share evenly what the mix takes of them
-    keyed = docs.withColumn("_hash", F.xxhash64(whole(text_col)))
-    shares = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text_hash"), F.col("size").alias("_size")).agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-    joined = keyed.join(shares, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text_hash")))
-    copies = F.expr("cast(_taken div (_size * _rows) as int)")
-    rest = F.expr("(_taken div _rows) % _size")
-    pieces = F.concat(F.array_repeat(F.col("_size"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    each = joined.withColumn("_words", F.explode(pieces))
+    shares = taken.groupBy(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("text_hash").alias(names["text"]), F.col("size").alias(names["size"])).agg(F.sum("taken").alias(names["taken"]), F.count("*").alias(names["rows"]))
+    keyed = docs.withColumn(names["hash"], F.xxhash64(whole(text_col)))
+    alike = Window.partitionBy(id_col, source_col, names["hash"]).orderBy(F.lit(0))
+    keyed = keyed.withColumn(names["number"], F.row_number().over(alike))
+    joined = keyed.join(shares, F.col(id_col).eqNullSafe(col("id")) & F.col(source_col).eqNullSafe(col("source")) & (col("hash") == col("text")))
+    whole_copies, rest = F.expr(f"{names['taken']} div {names['size']}"), col("taken") % col("size")
+    copies = F.floor(whole_copies / col("rows")) + F.when(col("number") <= whole_copies % col("rows"), 1).otherwise(0)
+    cut_here = (rest > 0) & (col("number") == 1)
+    pieces = F.concat(F.array_repeat(col("size"), copies.cast("int")), F.when(cut_here, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    each = joined.withColumn(names["words"], F.explode(pieces))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + SPACE_AFTER), F.lit(0))
-    cut = F.when(F.col("_words") == F.col("_size"), F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
-    out = each.withColumn(text_col, cut)
+    is_whole = col("words") == col("size")
+    out = each.withColumn(text_col, F.when(is_whole, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), col("words").cast("int")), "")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(F.length(text_col)))
+        out = out.withColumn("n_chars", F.when(is_whole, F.col("n_chars")).otherwise(F.length(text_col)))
     return out.select(*docs.columns)
