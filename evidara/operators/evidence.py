@@ -5,35 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.text import normalize_ws, occurrences
+from evidara.functions.text import ellipsis_parts, let, normalize_ws, occurrences
 
 #: Words of a quote by which its pages are looked up before the text itself is compared.
 PROBE_WORDS = 3
+#: Up to so many quotes are looked up by every page at once.
+INLINE_PROBES = 10_000
 CONTEXT_CHARS = 150
 
 
-def quote_pages(claims: DataFrame, pages: DataFrame, claim_key: str, page_key: str, quote: str = "quote", text: str = "text") -> DataFrame:
-    """(claim, page, hits) for every page that holds the quote, white space normalised on both sides.
+def _runs(words: Column) -> Column:
+    """A hash of each run of PROBE_WORDS words."""
+
+    def hashed(held: Column) -> Column:
+        firsts = F.slice(held, F.lit(1), F.greatest(F.size(held) - PROBE_WORDS + 1, F.lit(0)))
+        return F.transform(firsts, lambda w, i: F.xxhash64(w, *[F.get(held, i + n) for n in range(1, PROBE_WORDS)]))
+
+    return let(words, hashed)
+
+
+def quote_hits(claims: DataFrame, pages: DataFrame, claim_key: str, page_key: str, quote: str = "quote", text: str = "text") -> DataFrame:
+    """(claim, page, text, quote, head, tail) for every page that holds the quote, white space normalised on both sides.
 
-    A page can only hold a quote if it holds the quote's longest inner words, so claims meet pages in an equi-join on a
-    run of PROBE_WORDS words that stands inside the quote (its first and last words may be cut in the page), and only
-    those pairs are compared as texts. Quotes too short for such a run, of which there should be few, take a nested
-    comparison of their own.
+    A quote with three dots stands in a page that holds the part before them (``head``) and later the part after the last
+    ones (``tail``). A page can only hold a quote if it holds a run of PROBE_WORDS words from inside its first part
+    (the outer words may be cut in the page), so pages look up the hashes of their runs among those of the quotes, and
+    only pairs so met are compared as texts. With up to INLINE_PROBES quotes the look-up is done before runs become
+    rows, so a page is read once and only its hits are multiplied; more quotes are met in an equi-join. Quotes whose
+    first part is too short for such a run, of which there should be few, are compared with all pages.
     """
-    quotes = claims.select(F.col(claim_key).alias("claim"), normalize_ws(F.col(quote)).alias("quote")).where("quote <> ''")
+    head, tail = ellipsis_parts(F.col("quote"))
+    quotes = claims.select(F.col(claim_key).alias("claim"), normalize_ws(F.col(quote)).alias("quote")).where("quote <> ''").select("*", head.alias("head"), tail.alias("tail"))
     texts = pages.select(F.col(page_key).alias("page"), normalize_ws(F.col(text)).alias("text"))
-    words = F.split("quote", " ")
-    probed = quotes.withColumn("probe", F.when(F.size(words) >= PROBE_WORDS + 2, F.xxhash64(F.slice(words, 2, PROBE_WORDS))))
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - PROBE_WORDS), lambda i: F.xxhash64(F.slice(F.col("words"), i + 1, PROBE_WORDS)))
+    words = F.split(F.coalesce("head", "quote"), " ")
+    probed = quotes.withColumn("probe", F.when(F.size(words) >= PROBE_WORDS + 2, F.get(_runs(F.slice(words, 2, PROBE_WORDS)), F.lit(0))))
     long = probed.where("probe is not null")
-    met = (
-        texts.withColumn("words", F.split("text", " ")).where(F.size("words") >= PROBE_WORDS).select("page", F.explode(F.array_distinct(runs)).alias("probe"))
-        .join(long.select("claim", "probe"), "probe").select("page", "claim").distinct()
-    )
-    compared = met.join(texts, "page").join(long.select("claim", "quote"), "claim")
-    short = texts.join(probed.where("probe is null").select("claim", "quote"), F.contains(F.col("text"), F.col("quote"))).select("claim", "page", "text", "quote")
-    every = compared.select("claim", "page", "text", "quote").unionByName(short)
-    return every.where(F.contains("text", "quote")).select("claim", "page", occurrences(F.col("text"), F.col("quote")).alias("hits"))
+    own = _runs(F.split("text", " "))
+    if long.count() <= INLINE_PROBES:
+        probes = F.broadcast(long.agg(F.collect_set("probe").alias("probes")))  # one row
+        met = texts.join(probes).select("page", "text", F.explode(F.array_intersect(own, "probes")).alias("probe")).join(F.broadcast(long), "probe")
+    else:
+        pairs = texts.select("page", F.explode(F.array_distinct(own)).alias("probe")).join(long.select("claim", "probe"), "probe").select("page", "claim").distinct()
+        met = pairs.join(texts, "page").join(long, "claim")
+    short = texts.join(probed.where("probe is null"), F.contains(F.col("text"), F.coalesce("head", "quote")))
+    columns = ["claim", "page", "text", "quote", "head", "tail"]
+    every = met.select(*columns).unionByName(short.select(*columns))
+    after = F.substring(F.col("text"), F.instr("text", F.col("head")) + F.length("head"), F.length("text"))
+    return every.where(F.when(F.col("head").isNull(), F.contains("text", "quote")).otherwise(F.contains("text", "head") & F.contains(after, F.col("tail"))))
+
+
+def quote_pages(claims: DataFrame, pages: DataFrame, claim_key: str, page_key: str, quote: str = "quote", text: str = "text") -> DataFrame:
+    """(claim, page, hits) for every page that holds the quote; a quote with three dots counts once a page."""
+    found = quote_hits(claims, pages, claim_key, page_key, quote, text)
+    hits = F.when(F.col("head").isNull(), occurrences(F.col("text"), F.col("quote"))).otherwise(F.lit(1).cast("long"))
+    return found.select("claim", "page", hits.alias("hits"))
 
 
 def verdicts(claims: DataFrame, found: DataFrame, claim_key: str) -> DataFrame:

@@ -48,10 +48,8 @@ def quote_verify_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     x as (select item_id, doc_id, quote, substr(body, greatest(pos - 150, 1)::bigint, least(pos - 1, 150)::bigint) as prefix, substr(body, pos + length(quote), 150) as suffix from c)
     select item_id, doc_id, prefix, suffix, sha256(prefix || quote || suffix) as sha256 from x""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), normalize_ws(F.col("text")).alias("quote"))
-    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), normalize_ws(F.col("text")).alias("body"))
-    met = _found(spark, sf_dir).join(quotes, "claim").join(bodies, "page")
-    return met.select(F.col("claim").alias("item_id"), F.col("page").alias("doc_id"), evidence.context(F.col("body"), F.col("quote")).alias("c")).select("item_id", "doc_id", "c.*")
+    met = evidence.quote_hits(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", quote="text")
+    return met.select(F.col("claim").alias("item_id"), F.col("page").alias("doc_id"), evidence.context(F.col("text"), F.col("quote")).alias("c")).select("item_id", "doc_id", "c.*")
 
 
 @registry.query(f"""
@@ -170,17 +168,9 @@ def citation_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     d as (select doc_id, {_QUOTE} as body from documents)
     select item_id, doc_id from q join d on contains(body, head) and contains(substr(body, strpos(body, head) + length(head)), tail)""")
 def ellipsis_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes shortened to their first and last five words: both must follow each other in the page.
-
-    Pages are found by the shortened quote's head, an equi-join on a run of its words.
-    """
-    quote = normalize_ws(F.col("text"))
-    words = F.split(quote, " ")
-    short = table(spark, sf_dir, "benchmark").where(F.size(words) >= 10).select("item_id", F.array_join(F.slice(words, 1, 5), " ").alias("head"), F.array_join(F.slice(words, -5, 5), " ").alias("tail"))
-    documents = table(spark, sf_dir, "documents")
-    heads = evidence.quote_pages(short, documents, "item_id", "doc_id", quote="head").select(F.col("claim").alias("item_id"), F.col("page").alias("doc_id"))
-    met = heads.join(short, "item_id").join(documents.select("doc_id", normalize_ws(F.col("text")).alias("body")), "doc_id")
-    after = F.substring(F.col("body"), F.instr("body", F.col("head")) + F.length("head"), F.length("body"))
-    return met.where(F.contains(after, F.col("tail"))).select("item_id", "doc_id")
-
-
+    """Quotes shortened to their first and last five words, with three dots between: both must follow each other in the page."""
+    words = F.split(normalize_ws(F.col("text")), " ")
+    dotted = F.concat_ws(" ... ", F.array_join(F.slice(words, 1, 5), " "), F.array_join(F.slice(words, -5, 5), " "))
+    short = table(spark, sf_dir, "benchmark").where(F.size(words) >= 10).select("item_id", dotted.alias("quote"))
+    found = evidence.quote_pages(short, table(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return found.select(F.col("claim").alias("item_id"), F.col("page").alias("doc_id"))

@@ -189,17 +189,3 @@ def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.array_join(F.slice(lines, F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), "\n")
     hits = table(spark, sf_dir, "documents").where(F.contains(F.col("text"), F.lit("that the"))).select("doc_id", "text", F.posexplode(lines).alias("at", "line"))
     return hits.where(F.contains(F.col("line"), F.lit("that the"))).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line", near.alias("context"))
-
-
-@registry.query(r"""
-    with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as word from documents), n as (select count(*) as total from documents),
-    df as (select word, count(*) as docs from w group by 1), k as (select word from df, n where docs <= 0.4 * total and docs >= 3),
-    tags as (select p_partkey as tag, string_split(p_name, ' ')[1] as word from part)
-    select doc_id, count(*) as hits from w join k using (word) group by 1 having count(*) >= 3""")
-def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least three keywords that neither most documents nor hardly any have."""
-    documents = table(spark, sf_dir, "documents")
-    words = documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))).alias("word"))
-    total = documents.agg(F.count("*").alias("total"))
-    frequent = words.groupBy("word").agg(F.count("*").alias("docs")).join(F.broadcast(total), F.col("docs") <= 0.4 * F.col("total")).where("docs >= 3").select("word")  # one row
-    return words.join(frequent, "word").groupBy("doc_id").agg(F.count("*").alias("hits")).where("hits >= 3")

@@ -183,24 +183,6 @@ def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lacking.where(F.size("missing") > 0).select("user_id", F.array_join("missing", ",").alias("missing"))
 
 
-@registry.query("""
-    with new as (select page_id, regexp_replace(url, '#.*$', '') as u, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as h from pages),
-    by_url as (select u, min(page_id) as seen from new where page_id % 2 = 0 group by 1), by_host as (select h, min(page_id) as seen from new where page_id % 2 = 0 group by 1)
-    select page_id, coalesce(a.seen, b.seen) as accessed, case when a.seen is not null then 'url' when b.seen is not null then 'host' else 'new' end as carried_by
-    from new left join by_url a using (u) left join by_host b on b.h = new.h""")
-def citation_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an earlier list of citations, the even pages, knows of each citation: by its URL, else by its host, else nothing.
-
-    Both look-ups are equi-joins on pre-aggregated keys.
-    """
-    new = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("u"), F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"))
-    prior = new.where("page_id % 2 = 0")
-    by = lambda key, name: prior.groupBy(key).agg(F.min("page_id").alias(name))
-    met = new.join(by("u", "by_url"), "u", "left").join(by("h", "by_host"), "h", "left")
-    how = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_host").isNotNull(), "host").otherwise("new")
-    return met.select("page_id", F.coalesce("by_url", "by_host").alias("accessed"), how.alias("carried_by"))
-
-
 @registry.query(r"""select doc_id, length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) > 0.3 * length(text) and length(text) > 0 as is_cjk from documents""")
 def cjk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (texts.cjk_share(F.col("text")) > 0.3).alias("is_cjk"))

@@ -72,12 +72,13 @@ def ics_events(df: DataFrame, key: str, date: str, title: str, end_date: str | N
     return df.select(key, F.array_join(lines, "\r\n").alias("vevent"))
 
 
-def citation_json(claims: DataFrame, url: str = "url", title: str = "title", quote: str = "quote", status: str = "status", accessed: str = "accessed") -> DataFrame:
-    """(url, citation): CSL-JSON for each URL, with its first title and its quotes as evidence, in order."""
-    evidence = F.array_sort(F.collect_set(F.struct(F.lit("quote").alias("type"), F.col(quote).alias("quote"), F.col(status).alias("status"))))
-    grouped = claims.groupBy(url).agg(F.min(F.nullif(F.col(title), F.lit(""))).alias("title"), F.max(accessed).alias("accessed"), evidence.alias("evidence"))
-    parts = F.array(F.array(F.year("accessed"), F.month("accessed"), F.dayofmonth("accessed")))
-    citation = F.struct(
-        F.left(F.md5(F.col(url)), F.lit(8)).alias("id"), F.lit("webpage").alias("type"), F.col(url).alias("URL"), "title", F.struct(parts.alias("date-parts")).alias("accessed"), "evidence"
-    )
-    return grouped.select(url, F.to_json(citation).alias("citation"))
+def citation_json(citations: DataFrame) -> DataFrame:
+    """(url, citation): CSL-JSON of each row of ``citations.merge_citations``; what is missing is left out."""
+    evidence = F.transform("evidence", lambda e: F.struct(e["type"].alias("type"), e["quote"].alias("quote"), e["status"].alias("status"), e["last_verified"].alias("last-verified"), e["verified_by"].alias("verified-by"), e["context"].alias("context")))
+    citation = F.struct("id", "type", F.col("url").alias("URL"), "title", "accessed", "archive", "archive_location", F.col("url_status").alias("url-status"), evidence.alias("evidence"))
+    return citations.select("url", F.to_json(citation).alias("citation"))
+
+
+def citation_list(citations: DataFrame, folder: str) -> None:
+    """Write the citations as JSON lines, sorted by URL over all files."""
+    citation_json(citations).orderBy("url").select("citation").write.mode("overwrite").text(folder)

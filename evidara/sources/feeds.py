@@ -28,22 +28,34 @@ def calendar_events(calendars: DataFrame, text: str = "text") -> DataFrame:
     return parts.select(*keep, start.alias("date"), F.when(last > start, last).alias("end_date"), plain(field("SUMMARY")).alias("title"), field("URL").alias("url"), field("UID").alias("uid")).where("date is not null")
 
 
-def _elements(xml: Column, name: str) -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>"), F.lit(1))
+_ITEM = "array<struct<title string, link string, pubDate string, date string>>"
+_ENTRY = "array<struct<title string, link array<struct<_href string>>, id string, updated string, published string>>"
+_MARK = "array<struct<loc string, lastmod string>>"
+#: Feeds of both kinds and sitemaps of both kinds, by their elements' local names. Items lie in the channel, or beside it.
+XML = f"channel struct<item {_ITEM}>, item {_ITEM}, entry {_ENTRY}, url {_MARK}, sitemap {_MARK}, malformed string"
+#: Of a sitemap index so many children count.
+INDEX_CHILDREN = 5
 
 
-def _inner(xml: Column, *names: str) -> Column:
-    found = [F.nullif(F.regexp_extract(xml, rf"(?is)<{n}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1), F.lit("")) for n in names]
-    return F.coalesce(*found)
+def read_xml(text: Column) -> Column:
+    """The parts of a feed or sitemap; ``malformed`` holds what is no XML. Prefixes of names don't matter."""
+    return F.from_xml(F.trim(text), XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "malformed"})
+
+
+def _list(column: Column, kind: str) -> Column:
+    return F.coalesce(column, F.array().cast(kind))
 
 
 def feed_items(feeds: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each item of an RSS or entry of an Atom feed: date, title, link."""
-    items = F.concat(_elements(F.col(text), "item"), _elements(F.col(text), "entry"))
+    """One row for each item of an RSS or entry of an Atom feed: date, title, link. Text that is no XML has none."""
     keep = [c for c in feeds.columns if c != text]
-    each = feeds.withColumn("item", F.explode(items))
-    link = F.coalesce(_inner(F.col("item"), "link"), F.nullif(F.regexp_extract("item", r"(?is)<link[^>]*href=\"([^\"]*)\"", 1), F.lit("")), _inner(F.col("item"), "id"))
-    return each.select(*keep, any_date(_inner(F.col("item"), "pubDate", "dc:date", "updated", "published")).alias("date"), _inner(F.col("item"), "title").alias("title"), link.alias("link"))
+    xml = F.col("_xml")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    items = F.transform(F.concat(_list(xml["channel"]["item"], _ITEM), _list(xml["item"], _ITEM)), lambda i: F.struct(F.coalesce(some(i["pubDate"]), some(i["date"])).alias("date"), some(i["title"]).alias("title"), some(i["link"]).alias("link")))
+    href = lambda e: F.get(F.filter(F.transform(_list(e["link"], "array<struct<_href string>>"), lambda link: some(link["_href"])), lambda h: h.isNotNull()), F.lit(0))
+    entries = F.transform(_list(xml["entry"], _ENTRY), lambda e: F.struct(F.coalesce(some(e["updated"]), some(e["published"])).alias("date"), some(e["title"]).alias("title"), F.coalesce(href(e), some(e["id"])).alias("link")))
+    each = feeds.withColumn("_xml", read_xml(F.col(text))).select(*keep, F.explode(F.concat(items, entries)).alias("_item"))
+    return each.select(*keep, any_date(F.col("_item.date")).alias("date"), F.col("_item.title").alias("title"), F.col("_item.link").alias("link"))
 
 
 def latest_item(items: DataFrame, *keys: str) -> DataFrame:
@@ -77,5 +89,12 @@ def looks_like_feed(content_type: Column, body: Column) -> Column:
 def sitemap_urls(sitemaps: DataFrame, text: str = "text") -> DataFrame:
     """One row for each url of a sitemap: loc and lastmod."""
     keep = [c for c in sitemaps.columns if c != text]
-    each = sitemaps.withColumn("entry", F.explode(_elements(F.col(text), "url")))
-    return each.select(*keep, F.trim(_inner(F.col("entry"), "loc")).alias("loc"), any_date(_inner(F.col("entry"), "lastmod")).alias("lastmod"))
+    each = sitemaps.select(*keep, F.explode(read_xml(F.col(text))["url"]).alias("_url"))
+    return each.select(*keep, F.trim("_url.loc").alias("loc"), any_date(F.col("_url.lastmod")).alias("lastmod"))
+
+
+def sitemap_lastmod(text: Column) -> Column:
+    """The latest lastmod of a sitemap's urls, or of the first INDEX_CHILDREN children of a sitemap index; null without any."""
+    xml = read_xml(text)
+    marks = F.coalesce(F.slice(xml["sitemap"], 1, INDEX_CHILDREN), xml["url"])
+    return F.array_max(F.transform(marks, lambda m: any_date(F.trim(m["lastmod"]))))
