@@ -40,16 +40,20 @@ def quote_hits(claims: DataFrame, pages: DataFrame, claim_key: str, page_key: st
     words = F.split(F.coalesce("head", "quote"), " ")
     probed = quotes.withColumn("probe", F.when(F.size(words) >= PROBE_WORDS + 2, F.get(_runs(F.slice(words, 2, PROBE_WORDS)), F.lit(0))))
     long = probed.where("probe is not null")
-    own = _runs(F.split("text", " "))
-    if long.count() <= INLINE_PROBES:
+    n_long, n_short = probed.agg(F.count("probe"), F.count_if(F.col("probe").isNull())).first()
+    if n_long <= INLINE_PROBES:
         probes = F.broadcast(long.agg(F.collect_set("probe").alias("probes")))  # one row
-        met = texts.join(probes).select("page", "text", F.explode(F.array_intersect(own, "probes")).alias("probe")).join(F.broadcast(long), "probe")
+        read = pages.select(F.col(page_key).alias("page"), let(normalize_ws(F.col(text)), lambda t: F.struct(t.alias("text"), _runs(F.split(t, " ")).alias("runs"))).alias("read"))
+        held = read.join(probes).select("page", "read.text", F.array_intersect("read.runs", "probes").alias("held")).where(F.size("held") > 0)
+        met = held.select("page", "text", F.explode("held").alias("probe")).join(F.broadcast(long), "probe")
     else:
-        pairs = texts.select("page", F.explode(F.array_distinct(own)).alias("probe")).join(long.select("claim", "probe"), "probe").select("page", "claim").distinct()
+        pairs = texts.select("page", F.explode(F.array_distinct(_runs(F.split("text", " ")))).alias("probe")).join(long.select("claim", "probe"), "probe").select("page", "claim").distinct()
         met = pairs.join(texts, "page").join(long, "claim")
-    short = texts.join(probed.where("probe is null"), F.contains(F.col("text"), F.coalesce("head", "quote")))
     columns = ["claim", "page", "text", "quote", "head", "tail"]
-    every = met.select(*columns).unionByName(short.select(*columns))
+    every = met.select(*columns)
+    if n_short:
+        short = texts.join(probed.where("probe is null"), F.contains(F.col("text"), F.coalesce("head", "quote")))
+        every = every.unionByName(short.select(*columns))
     after = F.substring(F.col("text"), F.instr("text", F.col("head")) + F.length("head"), F.length("text"))
     return every.where(F.when(F.col("head").isNull(), F.contains("text", "quote")).otherwise(F.contains("text", "head") & F.contains(after, F.col("tail"))))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.functions.text import slug_keywords
+from evidara.session import durable
 
 #: Characters of keywords looked for in one pass; the driver and each task hold no more of them.
 KEYWORD_CHARS = 4 << 20
+#: A task sends on its finds when they have so many characters.
+BATCH_CHARS = 16 << 20
 #: Lines that are shown of a document's hits.
 SHOWN = 3
 # fixed values: words that are no keywords
@@ -23,7 +26,6 @@ STOP_WORDS = (
 )
 
 _WORD = re.compile(r"\w+")
-HITS = "doc long, keyword string, lines array<int>, shown array<string>"
 
 
 def topic_keywords(slug: Column, body: Column, chars: int = 600) -> Column:
@@ -36,25 +38,28 @@ def topic_keywords(slug: Column, body: Column, chars: int = 600) -> Column:
 class Matcher:
     """Finds keywords in a line where a word begins and ends with them.
 
-    Keywords are filed under their first word, so a line is read once however many keywords there are. A keyword without a
-    letter, digit or low line is never found.
+    Keywords that are one word are looked up among the line's words; others are filed under their first word and compared
+    where it stands. A line is read once however many keywords there are. A keyword without a letter, digit or low
+    line is never found.
     """
 
     def __init__(self, keywords: list[str]):
+        self.plain = {k for k in keywords if _WORD.fullmatch(k)}
         self.by_word: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for keyword in keywords:
-            if word := _WORD.search(keyword):
+            if keyword not in self.plain and (word := _WORD.search(keyword)):
                 self.by_word[word[0]].append((keyword, word.start()))
 
     def found(self, line: str) -> set[str]:
         lower = line.lower()
-        out = set()
-        for word in _WORD.finditer(lower):
-            for keyword, lead in self.by_word.get(word[0], ()):
-                start = word.start() - lead
-                end = start + len(keyword)
-                if start >= 0 and lower.startswith(keyword, start) and _edge(lower, start) and _edge(lower, end):
-                    out.add(keyword)
+        words = set(_WORD.findall(lower))
+        out = words & self.plain
+        if not self.by_word.keys().isdisjoint(words):
+            for word in _WORD.finditer(lower):
+                for keyword, lead in self.by_word.get(word[0], ()):
+                    start = word.start() - lead
+                    if start >= 0 and lower.startswith(keyword, start) and _edge(lower, start) and _edge(lower, start + len(keyword)):
+                        out.add(keyword)
         return out
 
 
@@ -64,55 +69,87 @@ def _edge(text: str, at: int) -> bool:
     return inside(at - 1) != inside(at)
 
 
-def keyword_hits(docs: DataFrame, keywords: DataFrame, id_col: str, text_col: str, keyword_chars: int = KEYWORD_CHARS) -> DataFrame:
-    """(doc, keyword, lines, shown): the numbers of the lines that hold each keyword, and the first of these lines.
+def _passes(known: DataFrame, by: str, chars: int) -> Iterator[list]:
+    """The (tag, keyword) rows, those of one value of ``by`` together, in as many lists as the keywords have ``chars``."""
+    n = max(1, -(-(known.agg(F.sum(F.length("keyword"))).first()[0] or 0) // chars))
+    for i in range(n):
+        yield known.where(F.pmod(F.xxhash64(by), F.lit(n)) == i).collect()
 
-    Documents are read once for every ``keyword_chars`` of keywords, whole, in Arrow batches. Null texts have no lines.
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def keyword_shares(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyword_chars: int = KEYWORD_CHARS) -> DataFrame:
+    """(keyword, share): of all documents, the share that holds each ``keyword`` that any holds.
+
+    Documents are read once for every ``keyword_chars`` of keywords, whole, in Arrow batches.
     """
     spark = docs.sparkSession
-    names = keywords.select(F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct()
-    passes = max(1, -(-(names.agg(F.sum(F.length("keyword"))).first()[0] or 0) // keyword_chars))
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
-    out = spark.createDataFrame([], HITS)
-    for i in range(passes):
-        part = spark.sparkContext.broadcast(sorted(r[0] for r in names.where(F.pmod(F.xxhash64("keyword"), F.lit(passes)) == i).collect()))
+    source, total = _texts(docs, id_col, text_col), max(docs.count(), 1)
+    out = spark.createDataFrame([], "keyword string, docs long")
+    for rows in _passes(keywords.select(F.lower("keyword").alias("keyword")).distinct(), "keyword", keyword_chars):
+        part = spark.sparkContext.broadcast([r["keyword"] for r in rows])
 
-        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(part.value)
+        def count(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
+            matcher, docs_with = Matcher(part.value), Counter()
             for batch in batches:
-                rows = []
-                for doc, text in zip(batch["doc"], batch["text"]):
-                    lines, shown = defaultdict(list), defaultdict(list)
-                    for number, line in enumerate(text.splitlines(), 1):
-                        for keyword in matcher.found(line):
-                            lines[keyword].append(number)
-                            if len(shown[keyword]) < SHOWN:
-                                shown[keyword].append(line.strip())
-                    rows += [(None if pd.isna(doc) else int(doc), k, lines[k], shown[k]) for k in lines]
-                yield pd.DataFrame(rows, columns=["doc", "keyword", "lines", "shown"]).astype({"doc": "Int64"})
-
-        out = out.unionByName(source.mapInPandas(search, HITS))
-    return out
+                for text in batch["text"]:
+                    docs_with.update(set().union(*map(matcher.found, text.splitlines())))
+            if docs_with:
+                yield pd.DataFrame({"keyword": list(docs_with), "docs": list(docs_with.values())})
 
+        out = out.unionByName(source.mapInPandas(count, out.schema).groupBy("keyword").agg(F.sum("docs").alias("docs")))
+    return out.select("keyword", (F.col("docs") / total).alias("share"))
 
-def keyword_shares(hits: DataFrame, total: int) -> DataFrame:
-    """(keyword, share): of all documents, the share that holds the keyword."""
-    return hits.groupBy("keyword").agg((F.count_distinct("doc") / F.lit(max(total, 1))).alias("share"))
 
+def suggest_tags(docs: DataFrame, tags: DataFrame, tagged: DataFrame | None = None, threshold: int = 1, max_share: float = 0.4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, keyword_chars: int = KEYWORD_CHARS) -> DataFrame:
+    """(tag, doc, hits, first, shown, more): documents with at least ``threshold`` lines that hold a keyword of the tag.
 
-def suggest_tags(docs: DataFrame, tags: DataFrame, tagged: DataFrame | None = None, threshold: int = 1, max_share: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(tag, doc, hits, shown, more): documents with at least ``threshold`` lines that hold a keyword of the tag.
-
-    ``tags`` are (tag, keyword). Keywords that more than ``max_share`` of the documents hold tell nothing and are dropped. Documents
-    that ``tagged`` (tag, doc) lists are left out. A line counts once for a tag, whichever of its keywords it
-    holds; the first lines are shown and the others counted. Documents are told apart by their ids.
+    ``tags`` are (tag, keyword). Keywords that more than ``max_share`` of the documents hold tell nothing and are dropped;
+    for that the documents are read once before. Documents that ``tagged`` (tag, doc) lists are left out. A line counts once for a
+    tag, whichever of its keywords it holds; ``first`` numbers the first SHOWN lines and ``shown`` has their texts
+    (none unless ``with_text``), the others are counted. A document's lines
+    are counted where it lies, so nothing but suggestions is shuffled. Null texts have no lines; rows that repeat an id count each.
     """
-    known = tags.select("tag", F.lower("keyword").alias("keyword")).distinct()
-    hits = keyword_hits(docs, known, id_col, text_col)
-    dull = keyword_shares(hits, docs.select(id_col).distinct().count()).where(F.col("share") > max_share).select("keyword")
-    telling = hits.join(dull, "keyword", "left_anti").join(known, "keyword")
-    numbered = telling.groupBy("tag", "doc").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"), F.array_sort(F.flatten(F.collect_set(F.arrays_zip(F.slice("lines", 1, SHOWN).alias("line"), F.col("shown").alias("text"))))).alias("shown"))
-    out = numbered.select("tag", "doc", F.size("lines").alias("hits"), F.slice(F.array_distinct("shown"), 1, SHOWN)["text"].alias("shown")).where(F.col("hits") >= threshold)
+    spark = docs.sparkSession
+    known = durable(tags.select("tag", F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct())
+    dull = keyword_shares(docs, known, id_col, text_col, keyword_chars).where(F.col("share") > max_share).select("keyword")
+    telling, source, kind = durable(known.join(dull, "keyword", "left_anti")), _texts(docs, id_col, text_col), tags.schema["tag"].dataType.simpleString()
+    schema = f"tag {kind}, doc long, hits int, first array<int>, shown array<string>"
+    out = spark.createDataFrame([], schema)
+    for rows in _passes(telling, "tag", keyword_chars):
+        by_keyword = defaultdict(list)
+        for row in rows:
+            by_keyword[row["keyword"]].append(row["tag"])
+        part = spark.sparkContext.broadcast(dict(by_keyword))
+
+        def rows_of(found: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(found, columns=["tag", "doc", "hits", "first", "shown"]).astype({"doc": "Int64"})
+
+        def search(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
+            tags_of = part.value
+            matcher = Matcher(list(tags_of))
+            for batch in batches:
+                found, size = [], 0
+                for doc, text in zip(batch["doc"], batch["text"]):
+                    hits, first, shown = Counter(), defaultdict(list), defaultdict(list)
+                    for number, line in enumerate(text.splitlines(), 1):
+                        for tag in {t for keyword in matcher.found(line) for t in tags_of[keyword]}:
+                            hits[tag] += 1
+                            if hits[tag] <= SHOWN:
+                                first[tag].append(number)
+                                if with_text:
+                                    shown[tag].append(line.strip())
+                                    size += len(line)
+                    found += [(tag, None if pd.isna(doc) else int(doc), n, first[tag], shown[tag]) for tag, n in hits.items() if n >= threshold]
+                    if size + 64 * len(found) > BATCH_CHARS:
+                        yield rows_of(found)
+                        found, size = [], 0
+                if found:
+                    yield rows_of(found)
+
+        out = out.unionByName(source.mapInPandas(search, schema))
     if tagged is not None:
         out = out.join(tagged.select("tag", "doc").distinct(), ["tag", "doc"], "left_anti")
-    return out.withColumn("more", F.greatest(F.col("hits") - SHOWN, F.lit(0)))
+    return out.select("tag", "doc", "hits", "first", "shown", F.greatest(F.col("hits") - SHOWN, F.lit(0)).alias("more"))

@@ -107,21 +107,20 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(f"""
     with {_TAGS}, hits as (select tag, doc, n from words join tags using (keyword) join shares using (keyword) where share <= 0.4 group by 1, 2, 3),
     counted as (select tag, doc, count(*) as hits, list(n order by n)[1:3] as first from hits group by 1, 2)
-    select tag, doc, hits::int as hits, (select string_agg(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), ' / ' order by n) from lines l where l.doc = c.doc and l.n in (select unnest(first))) as shown, greatest(hits - 3, 0)::int as more
+    select tag, doc, hits::int as hits, array_to_string(first, ',') as first, greatest(hits - 3, 0)::int as more
     from counted c where hits >= 2 and doc % 7 <> tag % 7""")
 def tag_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least two lines on a topic that aren't tagged with it; the words of the passages play the topics."""
+    """Documents with at least two lines on a topic that aren't tagged with it, and the first of these lines; the words of the passages play the topics."""
     tags, documents = _topics(spark, sf_dir), table(spark, sf_dir, "documents")
-    suggested = tagging.suggest_tags(documents, tags, threshold=2)
-    return suggested.where("doc % 7 <> tag % 7").select("tag", "doc", "hits", F.array_join("shown", " / ").alias("shown"), "more")
+    suggested = tagging.suggest_tags(documents, tags, threshold=2, with_text=False)
+    return suggested.where("doc % 7 <> tag % 7").select("tag", "doc", "hits", F.array_join("first", ",").alias("first"), "more")
 
 
 @registry.query(f"with {_TAGS} select keyword, share from shares where share > 0.4")
 def dull_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords that more than two fifths of all documents hold."""
     documents = table(spark, sf_dir, "documents")
-    hits = tagging.keyword_hits(documents, _topics(spark, sf_dir), "doc_id", "text")
-    return tagging.keyword_shares(hits, documents.count()).where("share > 0.4")
+    return tagging.keyword_shares(documents, _topics(spark, sf_dir)).where("share > 0.4")
 
 
 @registry.query(r"""

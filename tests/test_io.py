@@ -7,6 +7,7 @@ import random
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidara.operators import citations, tagging
@@ -170,8 +171,10 @@ def test_tags_equal_brute_force(spark):
     keywords = spark.createDataFrame(tags, "tag string, keyword string")
     got = {(r["tag"], r["doc"]): (r["hits"], r["shown"], r["more"]) for r in tagging.suggest_tags(frame, keywords, tagged).collect()}
     assert got == want and max(share.values()) > 0.4
-    parts = tagging.keyword_hits(frame, keywords, "doc_id", "text", keyword_chars=8)
-    assert sorted(map(str, parts.collect())) == sorted(map(str, tagging.keyword_hits(frame, keywords, "doc_id", "text").collect()))
+    parts = tagging.suggest_tags(frame, keywords, tagged, keyword_chars=8)
+    assert {(r["tag"], r["doc"]): (r["hits"], r["shown"], r["more"]) for r in parts.collect()} == want
+    shares = {r["keyword"]: r["share"] for r in tagging.keyword_shares(frame, keywords).collect()}
+    assert shares == pytest.approx({k.lower(): v for k, v in share.items() if v})
     assert spark.sql("select 'deliberative-democracy-of' as s, 'On **Mini publics** and **the of**' as b").select(tagging.topic_keywords(F.col("s"), F.col("b")).alias("k")).first()["k"] == ["deliberative", "democracy", "mini", "publics"]
 
 
