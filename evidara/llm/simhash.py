@@ -324,6 +324,10 @@ TABLES, TABLE_BITS, CHECK_BITS, TABLE_BUDGET = 16, 32, 256, 3
 HOT_GROUP = 1 << 10
 #: Up to so many of these first ones (with their bits, 128 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_LEADERS = 1 << 18
+#: In each pass of the tries a fingerprint asks for so many doubtful partners in a subtree; the last pass has no bound.
+PASSES = (4, 32, None)
+#: Pairs whose bits are compared at once.
+COMPARED = 1 << 18
 
 
 def expected_share(similarity: float) -> float:
@@ -341,7 +345,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     do that; a pair that passes but is not sure is confirmed by the exact similarity of its shingle sets, in a join.
 
     In each trie a pair within the budget agrees in one of four 8-bit blocks, so each document goes to four subtrees,
-    and large subtrees are dealt out once more. A batch sends on a spanning forest of its sure pairs, and of the others
+    and large subtrees are dealt out once more. The first passes ask for a few doubtful partners of each node and subtree,
+    the nearest; nodes with more take part in another pass, in which groups joined meanwhile are not met again, and
+    the last pass has no bound, so every doubtful pair between different groups is confirmed. A batch sends on a spanning forest of its sure pairs, and of the others
     those between different trees. Equal fingerprints are merged before. Where very many fingerprints share a trie key,
     those surely like the first of them are linked to it beforehand; the groups so linked are colours. All stay in
     the tries, but pairs of one colour are not met again, which loses no link and spares a hot group its square. Nulls, repeated rows, empty tables and extra columns are as in near_duplicates;
@@ -366,6 +372,16 @@ def _limits(similarity: float) -> tuple[int, int]:
     return int(CHECK_BITS * share + 2.5 * spread), int(CHECK_BITS * share - 2.8 * spread)
 
 
+def _place_of(values: np.ndarray) -> np.ndarray:
+    """For each value how many equal ones stand before it."""
+    order = np.argsort(values, kind="stable")
+    starts = np.r_[True, values[order][1:] != values[order][:-1]]
+    place = np.arange(len(values))
+    out = np.empty(len(values), np.int64)
+    out[order] = place - np.maximum.accumulate(np.where(starts, place, 0))
+    return out
+
+
 def hot_links(different: DataFrame, similarity: float, hot_group: int | None = None) -> DataFrame:
     """(a, b): fingerprints that share a trie key with more than ``hot_group`` others and are surely like the first of these."""
     _, sure = _limits(similarity)
@@ -393,14 +409,14 @@ def hot_links(different: DataFrame, similarity: float, hot_group: int | None = N
     return members.join(different.select(F.col("node").alias("a"), F.col("fp").alias("one")), "a").join(small(leaders), "b").where(alike("one", "other")).select("a", "b")
 
 
-def similar_links(different: DataFrame, similarity: float, group_limit: int = 1 << 14) -> DataFrame:
-    """(a, b, sure): pairs of nodes of (fp, node) that are surely similar, or may be."""
+def similar_links(coloured: DataFrame, similarity: float, partners: int | None = None, group_limit: int = 1 << 14) -> DataFrame:
+    """(a, b, kind): pairs of nodes of (fp, node, colour) that are surely similar (``sure``), or may be (``doubtful``).
+
+    Pairs of one colour are left out. With ``partners`` a doubtful pair is held back where both its nodes have that many
+    others in the subtree; both are then named in a row of kind ``again``, so that another pass over these nodes finds it.
+    """
     most, sure = _limits(similarity)
     first, second = _orders(TABLE_BITS, 1, 4), [list(range(8)) + [8 + b for b in order] for order in _orders(24, 1, 4)]
-    hot = durable(hot_links(different, similarity))
-    colours = durable(connected_components(hot))
-    coloured = durable(different.select("fp", "node").join(colours, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("colour")))
-
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
@@ -425,21 +441,41 @@ def similar_links(different: DataFrame, similarity: float, group_limit: int = 1
             by_key = np.lexsort((colour, keys))
             keys, nodes, colour = keys[by_key], part["node"].to_numpy()[by_key], colour[by_key]
             check = np.frombuffer(b"".join(part["check"]), dtype=np.uint64).reshape(len(part), -1)[by_key]
-            root, doubtful = np.arange(len(keys)), []
-            for a, b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False, colours=colour):
-                apart = root[a] != root[b]
-                a, b = a[apart], b[apart]
-                differing = np.bitwise_count(check[a] ^ check[b]).sum(axis=1)
-                root = _join(root, a[differing <= sure], b[differing <= sure])
-                maybe = (differing > sure) & (differing <= most)
-                doubtful.append((a[maybe], b[maybe]))
+            root, doubtful, taken, again_nodes = np.arange(len(keys)), [], np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            for found_a, found_b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False, colours=colour):
+                for start in range(0, len(found_a), COMPARED):
+                    a, b = found_a[start : start + COMPARED], found_b[start : start + COMPARED]
+                    apart = root[a] != root[b]
+                    a, b = a[apart], b[apart]
+                    differing = np.bitwise_count(check[a] ^ check[b]).sum(axis=1)
+                    root = _join(root, a[differing <= sure], b[differing <= sure])
+                    maybe = (differing > sure) & (differing <= most) & (root[a] != root[b])
+                    a, b = a[maybe], b[maybe]
+                    if partners is not None and len(a):
+                        nearest = np.argsort(differing[maybe], kind="stable")
+                        a, b = a[nearest], b[nearest]
+                        open_ = (taken[a] + _place_of(a) < partners) | (taken[b] + _place_of(b) < partners)
+                        again_nodes[a[~open_]] = again_nodes[b[~open_]] = True
+                        a, b = a[open_], b[open_]
+                        np.add.at(taken, a, 1)
+                        np.add.at(taken, b, 1)
+                    if len(a):
+                        doubtful.append((a, b))
+                    if sum(len(x) for x, _ in doubtful) > 4 * COMPARED:
+                        yield pairs_of(nodes, root, doubtful)
+                        doubtful = []
             own = np.flatnonzero(root != np.arange(len(keys)))
             if len(own):
-                yield pd.DataFrame({"a": nodes[own], "b": nodes[root[own]], "sure": True})
-            a, b = (np.concatenate(x) for x in zip(*doubtful, strict=True)) if doubtful else (own[:0], own[:0])
-            apart = root[a] != root[b]
-            if apart.any():
-                yield pd.DataFrame({"a": np.minimum(nodes[a[apart]], nodes[b[apart]]), "b": np.maximum(nodes[a[apart]], nodes[b[apart]]), "sure": False})
+                yield pd.DataFrame({"a": nodes[own], "b": nodes[root[own]], "kind": "sure"})
+            if doubtful:
+                yield pairs_of(nodes, root, doubtful)
+            if again_nodes.any():
+                yield pd.DataFrame({"a": nodes[again_nodes], "b": nodes[again_nodes], "kind": "again"})
+
+    def pairs_of(nodes: np.ndarray, root: np.ndarray, doubtful: list) -> pd.DataFrame:
+        a, b = (np.concatenate(x) for x in zip(*doubtful, strict=True))
+        apart = root[a] != root[b]
+        return pd.DataFrame({"a": np.minimum(nodes[a[apart]], nodes[b[apart]]), "b": np.maximum(nodes[a[apart]], nodes[b[apart]]), "kind": "doubtful"})
 
     schema = "trie int, head long, key long, node long, colour long, check binary, depth int"
     dealt = coloured.mapInPandas(deal, schema)
@@ -453,9 +489,9 @@ def similar_links(different: DataFrame, similarity: float, group_limit: int = 1
             if split.any():
                 yield from again(iter([batch[split]]))
 
-    wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(different.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
-    edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, sure boolean")
-    return edges.unionByName(hot.withColumn("sure", F.lit(True))).where("a <> b").distinct()
+    wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(coloured.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
+    edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, kind string")
+    return edges.where("a <> b or kind = 'again'").distinct()
 
 
 def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -469,25 +505,33 @@ def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col
     text = whole(text_col)
     own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), fingerprint(text).alias("fp")).withColumn("node", F.xxhash64("fp")))
     different = durable(own.groupBy("node").agg(F.first("fp").alias("fp"), F.min("sha").alias("sha")))
-    links = durable(similar_links(different, similarity))
-    trees = durable(connected_components(links.where("sure").select("a", "b")))
-    tree_of = lambda side: trees.select(F.col("node").alias(side), F.col("component").alias(f"tree_{side}"))
-    named = links.where("not sure").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
-    asked = durable(named.select("a", "b", F.coalesce("tree_a", "a").alias("tree_a"), F.coalesce("tree_b", "b").alias("tree_b")).where("tree_a <> tree_b"))
-
-    # the shingle sets of the nodes asked about, one text for each node
-    wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(different.select("node", "sha"), "node")
     hashes = F.array_distinct(shingle_hashes(F.translate(text, UPPER, LOWER), shingle_words))
-    texts = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).join(wanted, "sha").select("node", hashes.alias("shingles")).dropDuplicates(["node"])
-    sets = durable(texts)
-    pairs = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
-    common = F.size(F.array_intersect("one", "other"))
-    confirmed = pairs.where(common >= similarity * (F.size("one") + F.size("other") - common)).select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))
-    groves = connected_components(confirmed)
-
-    by_tree = different.select("node").join(trees, "node", "left").select("node", F.coalesce("component", "node").alias("tree"))
-    by_grove = by_tree.join(groves.select(F.col("node").alias("tree"), F.col("component").alias("grove")), "tree", "left").select("node", F.coalesce("grove", "tree").alias("component"))
-    return own.join(by_grove, "node").select("doc_id", "sha", "component")
+    edges, pending = durable(hot_links(different, similarity)), different
+    for partners in PASSES:
+        colours = durable(connected_components(edges))
+        coloured = durable(pending.select("fp", "node").join(colours, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("colour")))
+        links = durable(similar_links(coloured, similarity, partners))
+        edges = durable(edges.unionByName(links.where("kind = 'sure'").select("a", "b")))
+        trees = durable(connected_components(edges))
+        tree_of = lambda side: trees.select(F.col("node").alias(side), F.col("component").alias(f"tree_{side}"))  # noqa: B023, E731
+        named = links.where("kind = 'doubtful'").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
+        asked = durable(named.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")).select("a", "b"))
+
+        # the shingle sets of the nodes asked about, one text for each node
+        wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(different.select("node", "sha"), "node")
+        texts = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).join(wanted, "sha").select("node", hashes.alias("shingles")).dropDuplicates(["node"])
+        sets = durable(texts)
+        pairs = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
+        common = F.size(F.array_intersect("one", "other"))
+        confirmed = pairs.where(common >= similarity * (F.size("one") + F.size("other") - common)).select("a", "b")
+        edges = durable(edges.unionByName(confirmed))
+        again = durable(links.where("kind = 'again'").select(F.col("a").alias("node")).distinct())
+        if again.isEmpty():
+            break
+        pending = durable(different.join(again, "node", "left_semi"))
+    groups = connected_components(edges)
+    by_group = different.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return own.join(by_group, "node").select("doc_id", "sha", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

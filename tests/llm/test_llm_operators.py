@@ -197,7 +197,7 @@ def test_hot_groups_and_large_subtrees_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_GROUP", 10)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
     assert [got[i] for i in range(140)] == [0] * 120 + list(range(120, 140))
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (5,))
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (None, 5))
     monkeypatch.setattr(simhash, "HOT_GROUP", 1 << 10)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame).collect()}
     assert [got[i] for i in range(140)] == [0] * 120 + list(range(120, 140))

@@ -95,10 +95,11 @@ def test_a_hot_group_loses_no_link_to_its_neighbours(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _ = similar_sets(texts)
     found = []
-    for limit in (1 << 10, 10):
+    for limit, passes in ((1 << 10, (None,)), (10, (1, 2, None)), (1 << 10, (1, None))):
         monkeypatch.setattr(simhash, "HOT_GROUP", limit)
+        monkeypatch.setattr(simhash, "PASSES", passes)
         found.append({r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()})
-    assert found[0] == found[1]
+    assert found[0] == found[1] == found[2]
     assert sum(found[0][i] == want[i] for i in range(len(texts))) >= 0.98 * len(texts)
 
 
