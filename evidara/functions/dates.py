@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidara.functions.urls import path
 from evidara.sources.feeds import any_date
 
 # fixed values: English months, whole or by their first letters, and the years looked for
@@ -34,8 +35,12 @@ def _past(days: Column, as_of: Column) -> Column:
 
 def url_date(url: Column, as_of: Column) -> Column:
     """The day that the path gives as /year/month/day, else the first of the month of /year/month; from 2000 on, not later than as_of."""
-    full = F.regexp_extract(url, r"/(\d{4}/\d{1,2}/\d{1,2})(?:[/?#]|$)", 1)
-    month = F.regexp_extract(url, r"/(\d{4}/\d{1,2})(?:[/?#]|$)", 1)
+    steps = F.split(path(url), "/")
+    numbers = lambda *widths: F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.forall(F.array(*(F.coalesce(F.get(steps, i + n).rlike(f"^[0-9]{{{w}}}$"), F.lit(False)) for n, w in enumerate(widths))), lambda fits: fits)),
+        lambda i: F.array_join(F.slice(steps, i + 1, F.lit(len(widths))), "/"),
+    )
+    full, month = F.get(numbers("4", "1,2", "1,2"), F.lit(0)), F.get(numbers("4", "1,2"), F.lit(0))
     day = F.coalesce(_day(full, "yyyy/M/d"), _day(F.concat(month, F.lit("/1")), "yyyy/M/d"))
     return F.when((F.year(day) >= 2000) & (day <= as_of), day)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidara.functions.text import ellipsis_parts, normalize_ws
+from evidara.functions.text import ellipsis_parts, let, normalize_ws
 
 
 def host(url: Column) -> Column:
@@ -28,6 +28,31 @@ def fragment(url: Column) -> Column:
     return F.regexp_extract(url, "#(.*)$", 1)
 
 
+def _walked(place: Column) -> Column:
+    """A path with its dot steps taken and empty inner steps left out; what ends in a dot step ends in a slash."""
+    steps = F.split(place, "/")
+    inner = F.filter(steps, lambda s, i: (s != "") | (i == 0) | (i == F.size(steps) - 1))
+    walk = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    end = F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return let(F.concat(F.aggregate(F.slice(inner, F.lit(2), F.size(inner)), F.array(F.lit("")), walk), end), lambda all_: F.when(F.size(all_) == 1, F.lit("/")).otherwise(F.array_join(all_, "/")))
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """The absolute URL that a reference on the page base means; null where either is."""
+    origin = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    own = F.regexp_extract(ref, "^[^?#]*", 0)
+    rest = F.substring(ref, F.length(own) + 1, F.length(ref))
+    return (
+        F.when(ref.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*:", 0), ref))
+        .when(ref == "", without_fragment(base))
+        .when(ref.startswith("#"), F.concat(without_fragment(base), ref))
+        .when(ref.startswith("?"), F.concat(origin, path(base), ref))
+        .when(ref.startswith("/"), F.concat(origin, _walked(own), rest))
+        .otherwise(F.concat(origin, _walked(F.concat(F.regexp_replace(path(base), "[^/]*$", ""), F.when(path(base) == "", "/").otherwise(""), own)), rest))
+    )
+
+
 def _percent(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 

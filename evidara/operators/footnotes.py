@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: the forms of a definition, a link, a quoted phrase and a stated reason
-DEFINITION = r"^\[\^([^\]]+)\]:\s*(.*)$"
-LINK = r"\[([^\]]*)\]\(((?:[^()]|\([^()]*\))+)\)"
-QUOTED = r'["“](.+?)["”]'
-REASON = r"<!--\s*unquoted:\s*([\w-]+):\s*(.+?)\s*-->"
+# a link: its words in brackets, its target in parentheses, which may hold pairs of parentheses themselves
+LINK = r"\[([^\]]*)\]\(([^()]+(?:\([^()]*\)[^()]*)*)\)"
+
+
+def _label(line: Column) -> Column:
+    """What stands between [^ and ]: at the start of a line; empty where the line defines no footnote."""
+    label = F.split_part(F.substring(line, F.lit(3), F.length(line)), F.lit("]"), F.lit(1))
+    return F.when(line.startswith(F.concat(F.lit("[^"), label, F.lit("]:"))), label).otherwise("")
 
 
 def definitions(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each definition: the other columns of docs, line (from 1), label, body."""
     keep = [c for c in docs.columns if c != text]
-    lines = docs.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("at", "content")).where(F.col("content").rlike(DEFINITION))
-    return lines.select(*keep, (F.col("at") + 1).alias("line"), F.regexp_extract("content", DEFINITION, 1).alias("label"), F.regexp_extract("content", DEFINITION, 2).alias("body"))
+    lines = docs.select(*keep, F.posexplode(F.split(F.col(text), "\r?\n")).alias("at", "content")).where(F.col("content").startswith("[^")).withColumn("label", _label(F.col("content")))
+    body = F.substring("content", F.length("label") + 5, F.length("content"))
+    return lines.where("label <> ''").select(*keep, (F.col("at") + 1).alias("line"), "label", F.regexp_replace(body, r"^\s+", "").alias("body"))
+
+
+def quoted_phrase(text: Column) -> Column:
+    """The first phrase between quotation marks, straight or curved; empty without any."""
+    return F.btrim(F.regexp_substr(text, F.lit("[\"\u201c][^\"\u201d]+[\"\u201d]")), F.lit("\"\u201c\u201d"))
 
 
 def citation(body: Column) -> Column:
@@ -26,14 +35,17 @@ def citation(body: Column) -> Column:
     first counts.
     """
     url = F.regexp_extract(body, LINK, 2)
-    quote = F.regexp_extract(F.regexp_replace(body, LINK, ""), QUOTED, 1)
+    quote = quoted_phrase(F.regexp_replace(body, LINK, ""))
     fits = (F.regexp_count(body, F.lit(LINK)) == 1) & url.rlike("^https?://") & (quote != "")
     return F.when(fits, F.struct(url.alias("url"), F.regexp_extract(body, LINK, 1).alias("title"), quote.alias("quote")))
 
 
 def reason(body: Column) -> Column:
-    """Struct (kind, reason) that a footnote states for having no quote, else null."""
-    return F.when(body.rlike(REASON), F.struct(F.regexp_extract(body, REASON, 1).alias("kind"), F.regexp_extract(body, REASON, 2).alias("reason")))
+    """Struct (kind, reason) of the first comment "unquoted: kind: reason" in a footnote, else null."""
+    comments = F.transform(F.split(body, "<!--"), lambda c, i: F.when((i > 0) & F.contains(c, F.lit("-->")), F.split_part(c, F.lit("-->"), F.lit(1))))
+    parts = F.transform(F.array_compact(comments), lambda c: F.transform(F.split(c, ":", 3), lambda p: F.trim(p)))
+    stated = F.filter(parts, lambda p: (F.size(p) == 3) & (F.get(p, F.lit(0)) == "unquoted") & F.get(p, F.lit(1)).rlike("^[\\w-]+$") & (F.get(p, F.lit(2)) != ""))
+    return F.get(F.transform(stated, lambda p: F.struct(F.get(p, F.lit(1)).alias("kind"), F.get(p, F.lit(2)).alias("reason"))), F.lit(0))
 
 
 def gate(body: Column, shortest: int = 15) -> Column:

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.functions import contacts, dates, edits, html, passages, places
+from evidara.functions import contacts, dates, edits, html, markup, passages, places, urls
 from evidara.operators import footnotes, graph, links
 
 day = datetime.date.fromisoformat
@@ -163,3 +163,34 @@ def test_events_and_items(spark):
     assert [r["title"] for r in feeds.coming_events(events, as_of(), 30).collect()] == ["y"]
     items = spark.createDataFrame([("a", None, "t", "l"), ("b", day("2024-01-01"), "t", None)], "k string, date date, title string, link string")
     assert [r["k"] for r in feeds.latest_item(items, "k").collect()] == ["b"]
+
+
+def test_attributes_and_references(value):
+    page = "<IMG SRC='a.png' data-x = \"1 > 2\"><link rel=icon><a href='x'\nhref=\"y\">"
+    assert value(markup.values(F.col("h"), "img", "src"), h=page) == ["a.png"]
+    assert value(markup.values(F.col("h"), "a", "href"), h=page) == ["y"]
+    assert value(markup.values(F.col("h"), "*", "rel"), h=page) == []
+    assert [value(markup.largest_size(F.lit(t))) for t in ("16x16 180x180", "any", None, "x9 99999999999x1")] == [180, 0, 0, 0]
+    from urllib.parse import urljoin
+
+    bases = ["https://a.org/b/c/d.html?q=1#f", "https://a.org", "http://a.org/b/"]
+    refs = ["x.png", "/x.png?y=/../z", "../x", "../../../x", "./", "..", "//cdn.org/x", "https://b.org/../y", "?p=1", "#top", "data:image/png;base64,xx", "a//b/./c"]
+    for base in bases:
+        for ref in refs:
+            wanted = urljoin(base, ref) if not (base == "https://a.org" and ref in ("?p=1",)) else "https://a.org?p=1"
+            if ref != "https://b.org/../y":  # whole URLs stay as they are
+                assert value(urls.resolve(F.lit(base), F.lit(ref))) == wanted, (base, ref)
+    assert value(urls.resolve(F.lit("https://a.org/b?q#f"), F.lit(""))) == "https://a.org/b?q"
+
+
+def test_logo_candidates(value):
+    page = """<link rel="icon" href="i16.png" sizes="16x16"><link rel='shortcut icon' href='i32.png' sizes='16x16 32x32'><link rel="icon" href="">
+        <link rel="apple-touch-icon" href="t.png" sizes="57x57"><link rel="apple-touch-icon-precomposed" href="u.png" sizes="180x180"><link rel="mask-icon" type="image/svg+xml" href="/m.svg">
+        <meta property="og:image" content="//cdn.org/o.jpg"><meta name="Twitter:Image" content="w.jpg"><meta property="og:image" content="">
+        <img class="Site-Logo" src="blank.gif" data-src="logo.png"><img alt="partner logo" src="p.png"><img id="x" src="n.png"><img alt="logo">"""
+    found = [(c["url"].removeprefix("https://a.org/s/"), c["kind"], c["confidence"]) for c in value(markup.logo_candidates(F.col("h"), F.lit("https://a.org/s/")), h=page)]
+    assert found == [
+        ("logo.png", "img-logo", "high"), ("https://a.org/m.svg", "svg-icon", "high"), ("u.png", "apple-touch-icon", "high"), ("t.png", "apple-touch-icon", "high"),
+        ("https://cdn.org/o.jpg", "og-image", "low"), ("w.jpg", "og-image", "low"), ("i32.png", "favicon", "low"), ("i16.png", "favicon", "low"), ("https://a.org/favicon.ico", "favicon-fallback", "low"),
+    ]
+    assert [c["kind"] for c in value(markup.logo_candidates(F.lit(None).cast("string"), F.lit("https://a.org")))] == ["favicon-fallback"]
