@@ -93,3 +93,9 @@ def whole_sentences(text: Column, limit: int) -> Column:
         return F.struct(F.when(fits, F.concat(state["text"], sentence, F.lit(". "))).otherwise(state["text"]).alias("text"), fits.alias("open"))
 
     return F.trim(F.aggregate(F.split(text, r"\n |\. "), start, add, lambda s: s["text"]))
+
+
+def locale_order(label: Column, descending: bool = False) -> Column:
+    """A sort key by the rules of languages, whatever the case: accents beside their letters, not after z."""
+    collated = F.collate(label, "UNICODE_CI")
+    return collated.desc() if descending else collated.asc()
