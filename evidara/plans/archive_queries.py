@@ -1,4 +1,4 @@
-"""Kept pages, canonical documents, calendar files, logos, and evidence gathered from documents."""
+"""Kept pages, canonical documents, calendar files, logos, the site's graph, and evidence gathered from documents."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import markup
 from evidara.functions.text import locale_order
-from evidara.operators import collection
+from evidara.operators import collection, integrity, site_graph
 from evidara.plans.registry import Registry
 from evidara.session import scratch_folder, table
 from evidara.sinks import calendars
@@ -43,8 +43,8 @@ def page_cache_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.query("""
-    with o as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) as site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder from pages)
-    select page_id, case page_id % 4 when 0 then site || '/logos/' || page_id || '.png' when 1 then site || '/touch-180.png' when 2 then split_part(url, ':', 1) || '://cdn.example/card.jpg' else site || case when folder = '' then '/' else folder end || 'icon-32.png?v=' || page_id end as url,
+    with o as (select page_id, split_part(url, ':', 1) as scheme, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) as site, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder from pages)
+    select page_id, case page_id % 4 when 0 then site || '/logos/' || page_id || '.png' when 1 then site || '/touch-180.png' when 2 then scheme || '://cdn.example/card.jpg' else site || case when folder = '' then '/' else folder end || 'icon-32.png?v=' || page_id end as url,
         case page_id % 4 when 0 then 'img-logo' when 1 then 'apple-touch-icon' when 2 then 'og-image' else 'favicon' end as kind,
         case when page_id % 4 < 2 then 'high' else 'low' end as confidence, 3 as n
     from o""")
@@ -131,3 +131,56 @@ def unchecked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = collection.event_evidence(records).where("length(label) % 3 = 0")
     found = collection.unchecked(collection.collect_evidence(records, docs, posts), known)
     return found.select("url", F.sha2("quote", 256).alias("quote_sha256"), "label", "kind", "path")
+
+
+@registry.query("""
+    with d as (select doc_id, case doc_id % 3 when 0 then 'concept:' when 1 then 'org:' else 'project:' end || doc_id as id from documents),
+    e as (
+        select id as source, 'concept:' || (doc_id + 3) as target, 'see_also' as type from d where doc_id % 3 = 0
+        union all select id, 'concept:' || (doc_id + 2), 'relates_to' from d where doc_id % 3 = 1
+        union all select least(id, 'org:' || (doc_id * 2 - 1)), greatest(id, 'org:' || (doc_id * 2 - 1)), 'org_link' from d where doc_id % 3 = 1
+        union all select id, 'org:' || (doc_id - 1), 'relates_to' from d where doc_id % 3 = 2
+        union all select id, 'concept:' || (doc_id + 1), 'relates_to' from d where doc_id % 3 = 2)
+    select distinct source, target, type from e where source in (select id from d) and target in (select id from d)""")
+def site_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a site's pages of three kinds, whole texts followed by sections of links, and the edges between pages that exist."""
+    key = F.col("doc_id")
+    kind = F.when(key % 3 == 0, "concepts").when(key % 3 == 1, "organisations").otherwise("projects")
+    target = F.when(key % 3 == 0, F.concat(F.lit("[c]("), key + 3, F.lit(".md#top) [far](../concepts/"), key + 6, F.lit(".md) [web](https://x.example/a.md)"))).when(key % 3 == 1, F.concat(F.lit("[c]("), key + 2, F.lit(".md)"))).otherwise(F.concat(F.lit("[o](../organisations/"), key - 1, F.lit(".md) [c]("), key + 4, F.lit(".md)")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n## See also\n\n- "), target, F.lit("\n### Deeper\n## Next\n[n]("), key + 9, F.lit(".md)\n"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(kind, F.lit("/"), key, F.lit(".md")).alias("path"), text.alias("text"), F.lit("T").alias("title"), F.lit("").alias("type"), F.lit("").alias("status"), F.lit("").alias("logo"), F.lit("").alias("activity_date"),
+        F.array((key + F.when(key % 3 == 1, 2).otherwise(1)).cast("string")).alias("concepts"), F.array((key * 2 - 1).cast("string")).alias("related_orgs"),
+    )
+    return site_graph.graph(docs)[1].select("source", "target", "type")
+
+
+@registry.query("""
+    with p as (select c_custkey as part, c_nationkey as nation_key, case c_custkey % 4 when 0 then 'active' when 1 then 'inactive' when 2 then 'gone' else '' end as status, c_acctbal as place from customer),
+    r as (select part::varchar as slug, status, case when part % 5 = 0 then 'https://web.archive.org/web/2/https://c' when part % 5 = 1 then 'https://c.example' else '' end as site, place, case when part % 7 = 0 then 'Germany' else 'DE' end as country, nation_key from p)
+    select slug, 'status' as rule from r where status = 'gone' union all select slug, 'website-active' from r where status = 'active' and site like '%archive%'
+    union all select slug, 'website-inactive' from r where status = 'inactive' and site = 'https://c.example' union all select slug, 'location' from r where status = 'active' and place < 0
+    union all select slug, 'country' from r where country = 'Germany' union all select slug, 'concepts' from r where nation_key not in (select n_nationkey from nation where n_regionkey < 3)""")
+def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six rules of records on customers, whose nations play the concepts and whose balances the places."""
+    key = F.col("c_custkey")
+    nations = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("slug"))
+    record = F.struct(
+        F.when(key % 4 == 0, "active").when(key % 4 == 1, "inactive").when(key % 4 == 2, "gone").otherwise("").alias("status"),
+        F.when(key % 5 == 0, "https://web.archive.org/web/2/https://c").when(key % 5 == 1, "https://c.example").otherwise("").alias("website"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("latitude"), F.lit(None).cast("double").alias("longitude"), F.lit(None).cast("string").alias("location_name"),
+        F.when(key % 7 == 0, "Germany").otherwise("DE").alias("country"), F.array(F.col("c_nationkey").cast("string")).alias("concepts"), F.lit(None).cast("string").alias("last_checked"),
+    )
+    return integrity.record_issues(table(spark, sf_dir, "customer").select(key.cast("string").alias("slug"), record.alias("record")), nations)
+
+
+@registry.query("""
+    with w as (select doc_id, text, case doc_id % 4 when 0 then text when 1 then '---' || chr(10) || text when 2 then '---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || text else '---' || chr(10) || 'a: 1' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10) || 'more' end as t from documents where text is not null)
+    select doc_id, case doc_id % 4 when 0 then 'fm-opening' when 1 then 'fm-closing' else 'fm-stray' end as rule, case when doc_id % 4 = 3 then len(string_split(t, chr(10)))::int - 1 end as line from w where doc_id % 4 <> 2""")
+def front_matter_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts without front matter, with an open one, a good one, and a stray rule behind it."""
+    text = F.col("text")
+    good = F.concat(F.lit("---\na: 1\n---\n"), text)
+    written = F.when(F.col("doc_id") % 4 == 0, text).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("---\n"), text)).when(F.col("doc_id") % 4 == 2, good).otherwise(F.concat(good, F.lit("\n---\nmore")))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", written.alias("text"))
+    return integrity.front_matter_issues(docs, "doc_id")

@@ -13,7 +13,7 @@ _SPLIT = r"(?s)^---[ \t]*\r?\n(.*?)(?:(?<=\n)|^)---[ \t]*(?:\r?\n|$)(.*)$"
 
 RECORD = (
     "title string, type string, status string, country string, website string, logo string, summary string, concepts array<string>, related_orgs array<string>, "
-    "latitude double, longitude double, precision string, email string, phone string, channels array<struct<type:string,url:string,label:string,note:string>>, "
+    "latitude double, longitude double, precision string, location_name string, email string, phone string, contact_form string, channels array<struct<type:string,url:string,label:string,note:string>>, "
     "news_page string, rss_feed string, ics_feed string, last_checked string, activity map<string,struct<date:string,note:string,url:string,checked:string,hint:string>>, "
     "events array<struct<date:string,title:string,url:string,source:string,quote:string,note:string,proof_level:string,end_date:string,time:string,notable:boolean,location:string,country:string,proof_warning:boolean>>, error string"
 )
@@ -47,8 +47,8 @@ def _record(meta: dict) -> dict:
     if out["summary"]:
         out["summary"] = out["summary"].strip().strip('"')
     out |= {"concepts": [str(x) for x in as_list(meta.get("concepts"))], "related_orgs": [str(x) for x in as_list(meta.get("related_orgs"))]}
-    out |= {"latitude": number(location.get("latitude")), "longitude": number(location.get("longitude")), "precision": _text(location.get("precision"))}
-    out |= {"email": _text(contact.get("email")), "phone": _text(contact.get("phone"))}
+    out |= {"latitude": number(location.get("latitude")), "longitude": number(location.get("longitude")), "precision": _text(location.get("precision")), "location_name": _text(location.get("name"))}
+    out |= {"email": _text(contact.get("email")), "phone": _text(contact.get("phone")), "contact_form": _text(contact.get("form"))}
     out["channels"] = [{k: _text(c.get(k)) for k in ("type", "url", "label", "note")} for c in as_list(contact.get("channels")) if isinstance(c, dict)]
     out["activity"] = {str(k): {f: _text(v.get(f)) for f in ("date", "note", "url", "checked", "hint")} for k, v in as_dict(meta.get("activity")).items() if isinstance(v, dict)}
     fields = "date title url source quote note proof_level end_date time location country".split()
