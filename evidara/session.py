@@ -43,10 +43,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all its machines share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="evidara-checkpoint-"))
     return context.getCheckpointDir()
 
 
