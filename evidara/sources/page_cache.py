@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidara.session import durable
+from evidara.session import durable, shuffle_partitions
 
 KEPT = "key string, url string, text string, checked date, sha256 string, chars long, part string"
 NOT_CACHED = "NOT_CACHED"
@@ -40,15 +40,17 @@ def store(folder: str, fetched: DataFrame, day: Column, order: str | None = None
     came from by a checkpoint first, so a lost executor cannot find the parts half replaced.
     """
     spark = fetched.sparkSession
-    rank = F.struct(F.col(order) if order else F.lit(0), F.col("text"))
-    latest = fetched.where("length(text) > 0 and url is not null").groupBy("url").agg(F.max_by("text", rank).alias("text"))
     key = cache_key(F.col("url"))
-    new = durable(latest.select(key.alias("key"), "url", "text", day.cast("date").alias("checked"), F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"), F.left(key, F.lit(2)).alias("part")))
-    touched = [row["part"] for row in new.select("part").distinct().collect()]  # at most 256
+    usable = fetched.where("length(text) > 0 and url is not null").withColumns({"key": key, "part": F.left(key, F.lit(2))})
+    touched = [row["part"] for row in usable.select("part").distinct().collect()]  # at most 256
     if not touched:
         return
-    kept = read_cache(spark, folder).where(F.col("part").isin(*touched)).join(new.select("key"), "key", "left_anti")
-    whole = durable(kept.unionByName(new).repartitionByRange("part", "key"))
+    rank = F.struct(F.col(order) if order else F.lit(0), F.col("text"))
+    latest = usable.groupBy("part", "key", "url").agg(F.max_by("text", rank).alias("text"))
+    new = latest.select("key", "url", "text", day.cast("date").alias("checked"), F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"), "part")
+    kept = read_cache(spark, folder).where(F.col("part").isin(*touched)).join(usable.select("key").distinct(), "key", "left_anti")
+    pieces = -(-shuffle_partitions(spark) // 256)  # files of a part, so that all tasks have work
+    whole = durable(kept.unionByName(new).repartition("part", F.pmod(F.crc32("key"), F.lit(pieces))))
     whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
 
 
