@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidara.functions.text import let
+from evidara.functions.text import let, occurrences
 
 
 def _front(text: Column) -> Column:
@@ -54,3 +54,36 @@ def add_feed(text: Column, url: Column) -> Column:
 def add_calendar(text: Column, url: Column) -> Column:
     """ics_feed behind rss_feed, else behind website; webcal addresses become https ones."""
     return add_field(text, "ics_feed", F.regexp_replace(url, "(?i)^webcal://", "https://"), ("rss_feed", "website"))
+
+
+def set_block(text: Column, name: str, lines: Column, after: tuple[str, ...] = ("website",)) -> Column:
+    """The text with a field of several lines (its name's line first, each line ended) in place of the one it has, else added.
+
+    The field's old lines are its name's and the indented, not empty ones that follow. It is added as in ``add_field``.
+    Unchanged without front matter or with null lines.
+    """
+
+    def grown(front: Column) -> Column:
+        old = F.regexp_substr(front, F.lit(rf"(?m)^{name}\s*:.*\n(?:  .*\S.*\n)*"))
+        begin = F.instr(front, old)
+        swapped = F.concat(F.substring(front, F.lit(1), begin - 1), lines, F.substring(front, begin + F.length(old), F.length(front)))
+        added = F.concat(front, lines)
+        for before in reversed(after):
+            own = F.regexp_substr(front, F.lit(rf"(?m)^{before}\s*:.*\n"))
+            at = F.instr(front, own) + F.length(own)
+            added = F.when(own.isNotNull(), F.concat(F.substring(front, F.lit(1), at - 1), lines, F.substring(front, at, F.length(front)))).otherwise(added)
+        return F.when(old.isNotNull(), swapped).otherwise(added)
+
+    return let(text, lambda t: F.when(has_front(t) & lines.isNotNull(), _with_front(t, let(_front(t), grown))).otherwise(t))
+
+
+def set_logo(text: Column, path: Column, force: bool = False) -> Column:
+    """logo behind website; one that is there is replaced only with force."""
+    line = F.concat(F.lit("logo: "), path, F.lit("\n"))
+    return set_block(text, "logo", line) if force else add_field(text, "logo", path, ("website",))
+
+
+def replace_single(text: Column, old: Column, new: Column) -> Column:
+    """The text with the one occurrence of old replaced; null where there is none or more than one, since nothing is guessed."""
+    at = F.instr(text, old)
+    return F.when(occurrences(text, old) == 1, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))))

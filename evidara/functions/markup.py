@@ -43,6 +43,12 @@ def values(html: Column, tag: str, name: str) -> Column:
     return F.array_compact(F.transform(tags(html, tag), lambda found: attribute(found, name)))
 
 
+def values_where(html: Column, tag: str, kind: str, value: str, name: str) -> Column:
+    """The values of attribute ``name`` over the tags whose attribute ``kind`` has that value, case aside."""
+    mine = F.filter(tags(html, tag), lambda found: F.lower(attribute(found, kind)) == value)
+    return F.array_compact(F.transform(mine, lambda found: attribute(found, name)))
+
+
 def largest_size(sizes: Column) -> Column:
     """The largest width of a list like "16x16 180x180", 0 without any."""
     widths = F.transform(F.split(F.coalesce(sizes, F.lit("")), r"\s+"), lambda part: F.regexp_extract(part, r"^(\d{1,9})x\d", 1).try_cast("int"))

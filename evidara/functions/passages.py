@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidara.functions.text import let, normalize_ws, occurrences
+from evidara.functions.text import let, normalize_ws, occurrences, visible_ws
 
 WHOLE_PARAGRAPH = 1000
 SURROUNDINGS = 150
+AROUND = 80
 
 
 def passage(page: Column, quote: Column) -> Column:
@@ -78,23 +79,50 @@ def mended_spacing(page: Column, quote: Column) -> Column:
     return let(F.struct(normalize_ws(page).alias("text"), normalize_ws(quote).alias("plain")), mend)
 
 
+def _longest_shared(text: str, wanted: str) -> tuple[int, int, int]:
+    """Where in the text, where in the wanted, and how long: the longest run that both hold, the first in the text, then in the wanted.
+
+    Runs of the wanted are looked for in the text, each at least one longer than the best so far, so there are at most
+    three look-ups for each of its characters, however long the text is.
+    """
+    size = 0
+    for at in range(len(wanted)):
+        while at + size < len(wanted) and wanted[at : at + size + 1] in text:
+            size += 1
+    places = ((text.find(wanted[at : at + size]), at) for at in range(len(wanted) - size + 1))
+    return *min(place for place in places if place[0] >= 0), size
+
+
 def closest(min_ratio: float = 0.6):
-    """A function of (page, quote) -> struct (passage, ratio): what resembles the quote most, to help where it is missing.
+    """A function of (page, quote) -> struct (passage, ratio, shared, changes): what resembles the quote most, to help where it is missing.
 
-    It never decides a verdict. The longest block in common is widened to about the quote's length; below min_ratio the
-    answer is null. Each pair is compared on its own, in Arrow batches; the work of a pair grows with page times quote.
+    It never decides a verdict. The longest run in common, ``shared``, is widened to about the quote's length; where page
+    or quote is empty or null, nothing is shared, or the likeness is below min_ratio, the answer is null. ``changes`` are
+    the pairs (page, quote) of differing runs up to 80 characters around it. The search grows with the page's length,
+    the comparisons with the quote's alone.
     """
 
-    @F.pandas_udf("passage string, ratio double")
+    @F.pandas_udf("passage string, ratio double, shared string, changes array<struct<page:string,quote:string>>")
     def compare(page: pd.Series, quote: pd.Series) -> pd.DataFrame:
         rows = []
         for text, wanted in zip(page, quote, strict=True):
-            best = SequenceMatcher(None, text or "", wanted or "", autojunk=False).find_longest_match()
-            spare = max(len(wanted or "") - best.size, 0) // 2
-            begin = max(best.a - spare, 0)
-            window = (text or "")[begin : begin + len(wanted or "") + spare]
-            ratio = SequenceMatcher(None, window, wanted or "", autojunk=False).ratio() if best.size else 0.0
-            rows.append((window, ratio) if ratio >= min_ratio else (None, None))
-        return pd.DataFrame(rows, columns=["passage", "ratio"])
+            begin, at, size = _longest_shared(text, wanted) if text and wanted else (0, 0, 0)
+            spare = max(len(wanted or "") - size, 0)
+            first = max(begin - spare // 2, 0)
+            window = (text or "")[first : first + len(wanted or "") + spare // 2]
+            ratio = SequenceMatcher(None, window, wanted or "", autojunk=False).ratio() if size else 0.0
+            if not size or ratio < min_ratio:
+                rows.append((None, None, None, None))
+                continue
+            near, own = (s[max(i - AROUND, 0) : i + size + AROUND] for s, i in ((text, begin), (wanted, at)))
+            steps = SequenceMatcher(None, near, own, autojunk=False).get_opcodes()
+            rows.append((window, ratio, wanted[at : at + size], [{"page": near[a:b], "quote": own[c:d]} for kind, a, b, c, d in steps if kind != "equal"]))
+        return pd.DataFrame(rows, columns=["passage", "ratio", "shared", "changes"])
 
     return lambda page, quote: compare(normalize_ws(page), normalize_ws(quote))
+
+
+def difference_lines(changes: Column) -> Column:
+    """Differing runs as lines, the page's behind a minus and the quote's behind a plus, with visible white space; empty without any."""
+    side = lambda sign, run: F.concat(F.lit(f"    {sign} "), F.when(run == "", "\u2205").otherwise(visible_ws(run)))
+    return F.array_join(F.transform(changes, lambda c: F.concat(side("-", c["page"]), F.lit("\n"), side("+", c["quote"]))), "\n")

@@ -19,6 +19,11 @@ def normalize_ws(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, r"\( ", "("), r" \)", ")")
 
 
+def visible_ws(text: Column) -> Column:
+    """Spaces, tabs and line ends as signs that can be seen."""
+    return F.translate(text, " \t\n", "\u2423\u2192\u2424")
+
+
 def occurrences(haystack: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of needle in haystack; zero where the needle is empty or either side is null."""
     shrunk = F.length(F.replace(haystack, needle, F.lit("")))
@@ -79,9 +84,9 @@ def slug_keywords(name: Column, stop: tuple[str, ...]) -> Column:
 
 
 def cjk_share(text: Column) -> Column:
-    """The share of characters in the CJK blocks (kana, unified ideographs, hangul); 0 for an empty text."""
+    """The share of Han characters (unified, extension A, compatibility), kana and hangul left aside; 0 for an empty text."""
     n = F.length(text)
-    return F.when(n > 0, F.regexp_count(text, F.lit("[\\u3040-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7af]")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.regexp_count(text, F.lit("[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]")) / n).otherwise(F.lit(0.0))
 
 
 def whole_sentences(text: Column, limit: int) -> Column:

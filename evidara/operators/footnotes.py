@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # a link: its words in brackets, its target in parentheses, which may hold pairs of parentheses themselves
 LINK = r"\[([^\]]*)\]\(([^()]+(?:\([^()]*\)[^()]*)*)\)"
 
+SHORTEST_REASON = 15
+
 
 def _label(line: Column) -> Column:
     """What stands between [^ and ]: at the start of a line; empty where the line defines no footnote."""
@@ -48,8 +50,23 @@ def reason(body: Column) -> Column:
     return F.get(F.transform(stated, lambda p: F.struct(F.get(p, F.lit(1)).alias("kind"), F.get(p, F.lit(2)).alias("reason"))), F.lit(0))
 
 
-def gate(body: Column, shortest: int = 15) -> Column:
+def gate(body: Column, shortest: int = SHORTEST_REASON) -> Column:
     """What a footnote that links to a source lacks: quoted, reasoned, vague_reason, unreasoned; null where it cites nothing."""
     why = reason(body)["reason"]
     verdict = F.when(citation(body).isNotNull(), "quoted").when(F.length(why) >= shortest, "reasoned").when(why.isNotNull(), "vague_reason").otherwise("unreasoned")
     return F.when(body.rlike(r"\]\(https?://"), verdict)
+
+
+def coverage(found: DataFrame, folder: str) -> DataFrame:
+    """Per folder of ``definitions``: total, with_quote, justified, vague (a reason too short) and missing.
+
+    Every footnote counts. One that can't be checked by machine should say why; a vague reason is one all the same, so
+    total = with_quote + justified + missing, and vague ones are among the justified.
+    """
+    quoted, why = citation(F.col("body")).isNotNull(), reason(F.col("body"))["reason"]
+    rows = found.select(F.col(folder), quoted.alias("quoted"), F.length(why).alias("reason"))
+    left = ~F.col("quoted")
+    return rows.groupBy(folder).agg(
+        F.count("*").alias("total"), F.count_if("quoted").alias("with_quote"), F.count_if(left & F.col("reason").isNotNull()).alias("justified"),
+        F.count_if(left & (F.col("reason") < SHORTEST_REASON)).alias("vague"), F.count_if(left & F.col("reason").isNull()).alias("missing"),
+    )

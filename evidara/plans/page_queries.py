@@ -218,12 +218,14 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(edited, 256).alias("sha256"))
 
 
-@registry.query()
+@registry.query(r"""
+    with t as (select item_id, replace(replace(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '( ', '('), ' )', ')') as t from benchmark)
+    select item_id, t as passage, round(2.0 * length(t) / (2 * length(t) + 10), 6) as ratio, '    - ∅' || chr(10) || '    + ␣otherwise' as difference from t""")
 def closest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark passage with its last word changed, what in its own text resembles it most."""
-    changed = F.concat(F.left("text", F.lit(60)), F.lit(" otherwise"))
-    found = passages.closest()(F.col("text"), changed)
-    return table(spark, sf_dir, "benchmark").select("item_id", found.alias("f")).select("item_id", "f.passage", F.round("f.ratio", 6).alias("ratio"))
+    """For each whole benchmark passage with a word added at its end, what in its own text resembles it most, and how they differ."""
+    found = passages.closest()(F.col("text"), F.concat("text", F.lit(" otherwise")))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", found.alias("f"))
+    return rows.select("item_id", "f.passage", F.round("f.ratio", 6).alias("ratio"), passages.difference_lines(F.col("f.changes")).alias("difference"))
 
 
 @registry.query("""

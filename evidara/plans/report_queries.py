@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidara.functions.urls import is_weak
-from evidara.operators import facets, integrity
+from evidara.operators import facets, footnotes, integrity
 from evidara.operators.activity import freshness_bucket
 from evidara.plans.registry import Registry
 from evidara.session import table
@@ -173,9 +173,16 @@ def thin_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where("c_acctbal > 0").join(counts, "c_custkey").where("n between 1 and 5").select("c_custkey", "n")
 
 
-@registry.query("select role, count(*) as total, count(*) filter (contains(text, ',')) as with_quote from conversations group by 1")
+@registry.query("""
+    select source as folder, count(*) * 2 as total, count(*) filter (doc_id % 3 = 0) as with_quote, count(*) filter (doc_id % 3 = 1) + count(*) filter (doc_id % 2 = 0) as justified,
+        count(*) filter (doc_id % 2 = 0) as vague, count(*) filter (doc_id % 3 = 2) + count(*) filter (doc_id % 2 = 1) as missing from documents group by 1""")
 def footnote_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("total"), F.count_if(F.contains(F.col("text"), F.lit(","))).alias("with_quote"))
+    """How many footnotes of each source's documents can be checked or say why not; two are put below each whole text."""
+    link = F.concat(F.lit("\n[^1]: [A page](https://a.example/"), "doc_id", F.lit("_(x)) "))
+    first = F.when(F.col("doc_id") % 3 == 0, 'says "so it is"').when(F.col("doc_id") % 3 == 1, "<!-- unquoted: scanned: an image without any text -->").otherwise("says nothing")
+    second = F.when(F.col("doc_id") % 2 == 0, '\n[^b]: a book, "read" <!-- unquoted: print: on paper -->').otherwise('\r\n[^b]: ["only in the link"](https://b.example)')
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.concat(F.coalesce("text", F.lit("")), link, first, second).alias("text"))
+    return footnotes.coverage(footnotes.definitions(docs), "folder")
 
 
 _LINES = r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents)"""

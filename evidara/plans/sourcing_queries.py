@@ -183,7 +183,7 @@ def missing_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lacking.where(F.size("missing") > 0).select("user_id", F.array_join("missing", ",").alias("missing"))
 
 
-@registry.query(r"""select doc_id, length(regexp_replace(text, '[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]', '', 'g')) > 0.3 * length(text) and length(text) > 0 as is_cjk from documents""")
+@registry.query(r"""select doc_id, length(regexp_replace(text, '[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]', '', 'g')) > 0.3 * length(text) and length(text) > 0 as is_cjk from documents""")
 def cjk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (texts.cjk_share(F.col("text")) > 0.3).alias("is_cjk"))
 
