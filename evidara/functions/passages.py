@@ -93,13 +93,10 @@ def _longest_shared(text: str, wanted: str) -> tuple[int, int, int]:
     return *min(place for place in places if place[0] >= 0), size
 
 
-def closest(min_ratio: float = 0.6):
-    """A function of (page, quote) -> struct (passage, ratio, shared, changes): what resembles the quote most, to help where it is missing.
+def closest_normalized(min_ratio: float = 0.6):
+    """closest for texts whose white space is normalised already.
 
-    It never decides a verdict. The longest run in common, ``shared``, is widened to about the quote's length; where page
-    or quote is empty or null, nothing is shared, or the likeness is below min_ratio, the answer is null. ``changes`` are
-    the pairs (page, quote) of differing runs up to 80 characters around it. The search grows with the page's length,
-    the comparisons with the quote's alone.
+    It counts as not deterministic, so that the optimizer neither repeats it nor moves it before a filter.
     """
 
     @F.pandas_udf("passage string, ratio double, shared string, changes array<struct<page:string,quote:string>>")
@@ -119,6 +116,18 @@ def closest(min_ratio: float = 0.6):
             rows.append((window, ratio, wanted[at : at + size], [{"page": near[a:b], "quote": own[c:d]} for kind, a, b, c, d in steps if kind != "equal"]))
         return pd.DataFrame(rows, columns=["passage", "ratio", "shared", "changes"])
 
+    return compare.asNondeterministic()
+
+
+def closest(min_ratio: float = 0.6):
+    """A function of (page, quote) -> struct (passage, ratio, shared, changes): what resembles the quote most, to help where it is missing.
+
+    It never decides a verdict. The longest run in common, ``shared``, is widened to about the quote's length; where page
+    or quote is empty or null, nothing is shared, or the likeness is below min_ratio, the answer is null. ``changes`` are
+    the pairs (page, quote) of differing runs up to 80 characters around it. The search grows with the page's length,
+    the comparisons with the quote's alone.
+    """
+    compare = closest_normalized(min_ratio)
     return lambda page, quote: compare(normalize_ws(page), normalize_ws(quote))
 
 

@@ -39,14 +39,19 @@ def ellipsis_parts(quote: Column) -> tuple[Column, Column]:
     return F.when(both, head), F.when(both, tail)
 
 
-def holds_quote(page: Column, quote: Column) -> Column:
-    """Whether a page, white space normalised, holds the quote, or first its part before three dots and later the one after."""
-    text, plain = normalize_ws(page), normalize_ws(quote)
+def holds_normalized(text: Column, quote: Column) -> Column:
+    """holds_quote for a page whose white space is normalised already."""
+    plain = normalize_ws(quote)
     head, tail = ellipsis_parts(quote)
     at = F.instr(text, head)
     after = F.substring(text, at + F.length(head), F.length(text))
     there = F.when(head.isNull(), F.contains(text, plain)).otherwise((at > 0) & F.contains(after, tail))
-    return F.coalesce((F.length(page) > 0) & (F.length(quote) > 0) & there, F.lit(False))
+    return F.coalesce((F.length(quote) > 0) & there, F.lit(False))
+
+
+def holds_quote(page: Column, quote: Column) -> Column:
+    """Whether a page, white space normalised, holds the quote, or first its part before three dots and later the one after."""
+    return F.coalesce(F.length(page) > 0, F.lit(False)) & holds_normalized(normalize_ws(page), quote)
 
 
 def slug(title: Column) -> Column:

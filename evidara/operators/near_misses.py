@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.functions.passages import closest, difference_lines
-from evidara.functions.text import holds_quote
+from evidara.functions.passages import closest_normalized, difference_lines
+from evidara.functions.text import holds_normalized, normalize_ws
 
 
 def near_misses(claims: DataFrame, pages: DataFrame, min_ratio: float = 0.6) -> DataFrame:
@@ -18,6 +18,6 @@ def near_misses(claims: DataFrame, pages: DataFrame, min_ratio: float = 0.6) ->
     this says only where to look.
     """
     own = claims.columns
-    cited = claims.join(pages.select("url", F.col("text").alias("_page")), "url").where(~holds_quote(F.col("_page"), F.col("quote")))
-    hint = cited.withColumn("_hint", closest(min_ratio)(F.col("_page"), F.col("quote"))).drop("_page")
+    cited = claims.join(pages.select("url", normalize_ws(F.col("text")).alias("_page")), "url").where(~holds_normalized(F.col("_page"), F.col("quote")))
+    hint = cited.withColumn("_hint", closest_normalized(min_ratio)(F.col("_page"), normalize_ws(F.col("quote")))).drop("_page")
     return hint.select(*own, "_hint.passage", "_hint.ratio", "_hint.shared", difference_lines(F.col("_hint.changes")).alias("difference"))
