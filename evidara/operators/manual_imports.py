@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import markup
-from evidara.functions.text import holds_quote
+from evidara.functions.text import holds_normalized, normalize_ws
+from evidara.session import durable
 
 STAMP_CHARS = 2048
 
@@ -39,42 +40,44 @@ def declared_url(html: Column) -> Column:
 
 
 def recovered(snapshots: DataFrame, names: DataFrame) -> DataFrame:
-    """snapshots (name, html, text) with url and source: what a person noted, else the browser's stamp, else the page's own word.
+    """(name, empty, url, source) of snapshots (name, html, text): what a person noted, else the browser's stamp, else the page's own word.
 
-    Documents that are no pages have a null html, so only a person's note tells their URL. Unknown: both null.
+    Documents that are no pages have a null html, so only a person's note tells their URL. Unknown: both null. Names
+    tell snapshots apart. Pages are read where they lie, and only these short rows are checkpointed and move on.
     """
-    joined = snapshots.join(names.select("name", F.col("url").alias("_noted")), "name", "left")
-    found = joined.withColumn("_stamp", stamped_url(F.col("html"))).withColumn("_declared", declared_url(F.col("html")))
-    source = F.when(F.col("_noted").isNotNull(), "url-map").when(F.col("_stamp").isNotNull(), "stamp").when(F.col("_declared").isNotNull(), "meta tag")
-    return found.withColumn("url", F.coalesce("_noted", "_stamp", "_declared")).withColumn("source", source).drop("_noted", "_stamp", "_declared")
+    read = snapshots.select("name", (F.coalesce("text", F.lit("")) == "").alias("empty"), stamped_url(F.col("html")).alias("stamp"), declared_url(F.col("html")).alias("declared"))
+    joined = read.join(names.select("name", F.col("url").alias("noted")), "name", "left")
+    source = F.when(F.col("noted").isNotNull(), "url-map").when(F.col("stamp").isNotNull(), "stamp").when(F.col("declared").isNotNull(), "meta tag")
+    return durable(joined.select("name", "empty", F.coalesce("noted", "stamp", "declared").alias("url"), source.alias("source")))
 
 
 def matched(found: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``recovered`` rows with status EMPTY, SKIPPED, NO_MATCH or IMPORTED; the URL of an imported one is the evidence's.
+    """(name, status, url, source) of ``recovered`` rows: EMPTY, SKIPPED, NO_MATCH or IMPORTED; the URL of an imported one is the evidence's.
 
-    A URL that no evidence cites may lack one slash at its end, or have one too many; nothing else is guessed. Names
-    tell snapshots apart. Only names and URLs meet the cited ones; texts move once, to what was found for their name.
+    A URL that no evidence cites may lack one slash at its end, or have one too many; nothing else is guessed.
     """
     other = F.when(F.col("url").endswith("/"), F.left("url", F.length("url") - 1)).otherwise(F.concat("url", F.lit("/")))
-    tried = found.where("url is not null").select("name", F.posexplode(F.array("url", other)).alias("_place", "_target"))
-    cited = evidence.where("url is not null").select(F.col("url").alias("_target")).distinct()
-    best = tried.join(cited, "_target").groupBy("name").agg(F.min(F.struct("_place", "_target")).alias("_best"))
-    status = F.when(F.coalesce("text", F.lit("")) == "", "EMPTY").when(F.col("url").isNull(), "SKIPPED").when(F.col("_best").isNull(), "NO_MATCH").otherwise("IMPORTED")
+    tried = found.where("url is not null").select("name", F.posexplode(F.array("url", other)).alias("place", "target"))
+    cited = evidence.where("url is not null").select(F.col("url").alias("target")).distinct()
+    best = tried.join(cited, "target").groupBy("name").agg(F.min(F.struct("place", "target")).alias("best"))
+    status = F.when(F.col("empty"), "EMPTY").when(F.col("url").isNull(), "SKIPPED").when(F.col("best").isNull(), "NO_MATCH").otherwise("IMPORTED")
     rows = found.join(best, "name", "left").withColumn("status", status)
     imported = F.col("status") == "IMPORTED"
-    source = F.when(imported & (F.col("_best._place") == 1), F.concat("source", F.lit(", trailing slash normalised"))).otherwise(F.col("source"))
-    return rows.withColumn("source", source).withColumn("url", F.when(imported, F.col("_best._target")).otherwise(F.col("url"))).drop("_best")
+    source = F.when(imported & (F.col("best.place") == 1), F.concat("source", F.lit(", trailing slash normalised"))).otherwise(F.col("source"))
+    return rows.select("name", "status", F.when(imported, F.col("best.target")).otherwise(F.col("url")).alias("url"), source.alias("source"))
 
 
-def import_verdicts(imported: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(name, url, quote, holds) for each different quote that cites an imported page; texts stay behind.
+def import_verdicts(snapshots: DataFrame, imported: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(name, url, quote, holds) for each different quote that cites an imported page (name, text).
 
-    These verdicts are people's (``manual``): they are kept beside the automated ones and never replace them. Many
-    quotes of one URL are parted by adaptive execution, since each of their rows stands alone.
+    These verdicts are people's: they are kept beside the automated ones and never replace them. Quotes first meet the
+    names of their pages, so a text moves once. Many quotes of one page are parted by adaptive execution, since each
+    of their rows stands alone.
     """
     quotes = evidence.where("url is not null and quote is not null").select("url", "quote").distinct()
-    pages = imported.where("status = 'IMPORTED'").select("name", "url", "text")
-    return pages.join(quotes, "url").select("name", "url", "quote", holds_quote(F.col("text"), F.col("quote")).alias("holds"))
+    asked_of = imported.where("status = 'IMPORTED'").select("name", "url").join(quotes, "url")
+    texts = snapshots.select("name", normalize_ws(F.col("text")).alias("text"))
+    return asked_of.join(texts, "name").select("name", "url", "quote", holds_normalized(F.col("text"), F.col("quote")).alias("holds"))
 
 
 def manifest(imported: DataFrame, verdicts: DataFrame, day: Column) -> DataFrame:

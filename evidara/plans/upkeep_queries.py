@@ -113,7 +113,7 @@ def manual_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = pages.where(k % 7 != 0)
     evidence = cited.select("url", _heading().alias("quote")).where("trim(quote) <> ''").union(cited.select("url", F.concat(F.lit("never said "), k)))
     imported = manual_imports.matched(manual_imports.recovered(snapshots, manual_imports.sidecar(lines)), evidence)
-    return manual_imports.manifest(imported, manual_imports.import_verdicts(imported, evidence), F.lit("2024-06-30").cast("date"))
+    return manual_imports.manifest(imported, manual_imports.import_verdicts(snapshots, imported, evidence), F.lit("2024-06-30").cast("date"))
 
 
 @registry.query("""

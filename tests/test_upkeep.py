@@ -151,10 +151,11 @@ def test_manual_imports(spark):
     shots = [
         ("my page.html", stamp, "we said so, twice"), ("doc.odt", None, "said"), ("other.pdf", None, "said"), ("s", stamp + link, "said so"), ("far", " " * 2048 + stamp + link + og, "so said"), ("og", og, "said so"), ("blank", og, ""), ("odd", "saved from url=(x)https://no", "said"),
     ]
-    found = manual_imports.recovered(spark.createDataFrame(shots, "name string, html string, text string"), names)
+    saved = spark.createDataFrame(shots, "name string, html string, text string")
+    found = manual_imports.recovered(saved, names)
     evidence = spark.createDataFrame([("https://a.org/2/", "said so"), ("https://a.org/2/", "never"), ("https://a.org/2/", "never"), ("https://s.org/x)", "said so"), ("https://c.org", "said ... so"), (None, "x"), ("https://c.org", None)], "url string, quote string")
     imported = manual_imports.matched(found, evidence)
-    verdicts = manual_imports.import_verdicts(imported, evidence)
+    verdicts = manual_imports.import_verdicts(saved, imported, evidence)
     got = {r["name"]: (r["status"], r["url"], r["source"], r["good"], r["mismatch"]) for r in manual_imports.manifest(imported, verdicts, F.lit("2024-06-30")).collect()}
     assert got == {
         "my page.html": ("IMPORTED", "https://a.org/2/", "url-map, trailing slash normalised", 1, 1), "doc.odt": ("NO_MATCH", "https://d.org", "url-map", 0, 0), "other.pdf": ("SKIPPED", None, "unknown", 0, 0),
