@@ -22,6 +22,11 @@ def decode_references(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unescape(t) if t is not None and "&" in t else t)
 
 
+def closed_references(html: Column) -> Column:
+    """The page with each & that begins no reference closed by a semicolon written out, so that decoding leaves it as it stands."""
+    return F.regexp_replace(html, r"&(?!(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+|#[xX][0-9a-fA-F]+);)", "&amp;")
+
+
 def page_text(html: Column) -> Column:
     """Visible text with a blank line between paragraphs.
 

@@ -28,3 +28,9 @@ def test_robots_exception_of_ended_pages(both):
     paths = ("/en/41.html", "/en/41", "/en/5.html", "/en/5", "/fr/41.html", "/fr/41.html?x", "/en/41.html?x", "")
     ours, theirs = both("robots_gate", "pages", "page_id long, url string", [(i, f"https://{host}{p}") for i, p in enumerate(paths)])
     assert ours == theirs and [r[2] for r in ours] == [True, True, False, False, False, True, True, True]
+
+
+def test_paragraphs_with_open_references(both):
+    pages = ["<title>a &amp;&amp</title><p>x &amp; y &quot", "<p>&lt;&gt &copy; &middot b &amp;lt; &a &", "<p>AT&T &notit &copy</p>", "", "<p> </p>"]
+    ours, theirs = both("page_paragraphs", "pages", "page_id long, html string", list(enumerate(pages)))
+    assert ours == theirs and ours[0][2] == len("a &&amp \n\n x & y &quot")
