@@ -15,22 +15,26 @@ SURROUNDINGS = 150
 AROUND = 80
 
 
-def passage(page: Column, quote: Column) -> Column:
-    """The quote as the page itself spells it, whatever white space stands between its words; null where it doesn't stand there."""
+def passage(page: Column, quote: Column, verbatim: bool = False) -> Column:
+    """The quote as the page itself spells it, whatever white space stands between its words; null where it doesn't stand there.
+
+    With ``verbatim`` the quote's own spelling, where the page has it, goes before an earlier passage with other white space.
+    """
     words = F.array_join(F.split(normalize_ws(quote), " "), "\\E\\s+\\Q")
-    return F.when((F.length(quote) > 0) & (F.length(page) > 0), F.regexp_substr(page, F.concat(F.lit("(?U)\\Q"), words, F.lit("\\E"))))
+    loose = F.regexp_substr(page, F.concat(F.lit("(?U)\\Q"), words, F.lit("\\E")))
+    return F.when((F.length(quote) > 0) & (F.length(page) > 0), F.when(F.contains(page, quote), quote).otherwise(loose) if verbatim else loose)
 
 
-def span(page: Column, quote: Column) -> Column:
+def span(page: Column, quote: Column, verbatim: bool = False) -> Column:
     """Struct (start, end) of the first passage in the page's own characters, from 0, the end exclusive."""
     start = lambda found: F.instr(page, found) - 1
-    return let(passage(page, quote), lambda found: F.when(found.isNotNull(), F.struct(start(found).alias("start"), (start(found) + F.length(found)).alias("end"))))
+    return let(passage(page, quote, verbatim), lambda found: F.when(found.isNotNull(), F.struct(start(found).alias("start"), (start(found) + F.length(found)).alias("end"))))
 
 
-def _around(page: Column, quote: Column) -> Column:
+def _around(page: Column, quote: Column, verbatim: bool = False) -> Column:
     """Struct (before, found, after) of the first passage; null without one."""
     cut = lambda found, at: F.struct(F.substring(page, F.lit(1), at - 1).alias("before"), found.alias("found"), F.substring(page, at + F.length(found), F.length(page)).alias("after"))
-    return let(passage(page, quote), lambda found: F.when(found.isNotNull(), let(F.instr(page, found), lambda at: cut(found, at))))
+    return let(passage(page, quote, verbatim), lambda found: F.when(found.isNotNull(), let(F.instr(page, found), lambda at: cut(found, at))))
 
 
 def _paragraph(around: Column) -> Column:
@@ -46,7 +50,7 @@ def paragraph_hash(page: Column, quote: Column) -> Column:
     return F.sha2(normalize_ws(paragraph(page, quote)), 256)
 
 
-def surroundings(page: Column, quote: Column) -> Column:
+def surroundings(page: Column, quote: Column, verbatim: bool = False) -> Column:
     """Struct (prefix, suffix, text, sha256): 150 characters on either side, the paragraph if it is short, and a digest.
 
     The digest is that of the paragraph, or of prefix, quote and suffix where it is too long. Null without a passage.
@@ -61,7 +65,7 @@ def surroundings(page: Column, quote: Column) -> Column:
         digest = F.sha2(F.coalesce(s["text"], F.concat(s["prefix"], quote, s["suffix"])), 256)
         return F.struct(s["prefix"].alias("prefix"), s["suffix"].alias("suffix"), s["text"].alias("text"), digest.alias("sha256"))
 
-    return let(_around(page, quote), lambda around: F.when(around.isNotNull(), let(known(around), with_digest)))
+    return let(_around(page, quote, verbatim), lambda around: F.when(around.isNotNull(), let(known(around), with_digest)))
 
 
 def mended_spacing(page: Column, quote: Column) -> Column:

@@ -34,3 +34,10 @@ def test_paragraphs_with_open_references(both):
     pages = ["<title>a &amp;&amp</title><p>x &amp; y &quot", "<p>&lt;&gt &copy; &middot b &amp;lt; &a &", "<p>AT&T &notit &copy</p>", "", "<p> </p>"]
     ours, theirs = both("page_paragraphs", "pages", "page_id long, html string", list(enumerate(pages)))
     assert ours == theirs and ours[0][2] == len("a &&amp \n\n x & y &quot")
+
+
+def test_surroundings_after_other_white_space(both):
+    word = "Ensch. "
+    texts = ["Zu und. Dieß der.\n" + word * 14 + "then", "x" * 38 + ". " + "One\nTwo Three " * 9, ("One Two  Three " * 9) + "end", "short", None]
+    ours, theirs = both("quote_surroundings", "documents", "doc_id long, text string", list(enumerate(texts)))
+    assert ours == theirs and ours[0][1] > texts[0].index("\n")
