@@ -38,7 +38,7 @@ def test_paragraphs_with_open_references(both):
 
 def test_surroundings_after_other_white_space(both):
     word = "Ensch. "
-    texts = ["Zu und. Dieß der.\n" + word * 14 + "then", "x" * 38 + ". " + "One\nTwo Three " * 9, ("One Two  Three " * 9) + "end", "short", None]
+    texts = ["Zu und. Dieüauß der.\n" + word * 14 + "then", "x" * 38 + ". " + "One\nTwo Three " * 9, ("One Two  Three " * 9) + "end", "short", None]
     ours, theirs = both("quote_surroundings", "documents", "doc_id long, text string", list(enumerate(texts)))
     assert ours == theirs and ours[0][1] > texts[0].index("\n")
 
