@@ -53,10 +53,24 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: With this setting a query's shuffle files go as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df with a reliable checkpoint in the shared folder.
+
+    The shuffle files behind it, which nothing reads again, go at once; else they stay until the driver collects its garbage.
+    The plan that is written takes the setting when it is made, so it is made anew here.
+    """
+    spark = df.sparkSession
+    scratch_folder(spark)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
 
 
 def durable_by(df: DataFrame, *keys: str) -> DataFrame:

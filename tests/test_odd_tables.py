@@ -1,11 +1,15 @@
 """Queries against their SQL twins on rows that the smallest tables don't hold."""
 
 import hashlib
+import time
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from evidara.plans import catalogue
+from evidara.session import durable
 
 
 @pytest.fixture
@@ -49,3 +53,17 @@ def test_addresses_with_odd_ends(both):
     texts += ["cut off at bob@mail4.example.c", "at bob@mail4.e", "-eve@a.org, .+eve2@a.org", "@me@social.org and a@b@c.org", "me@pic.png or you@example.com", "a@.org b@ @ @c", "two x@a.org;X@A.org", None]
     ours, theirs = both("document_emails", "documents", "doc_id long, text string", list(enumerate(texts)))
     assert ours == theirs and len(ours) == len(texts) - 3
+
+
+def test_checkpoints_leave_no_shuffle_files(spark):
+    def files():
+        return sum(1 for _ in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data"))
+
+    summed = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    before = files()
+    kept = durable(summed)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 7
