@@ -29,7 +29,7 @@ def attributes(inner: Column) -> Column:
 
 def attribute(found: Column, name: str) -> Column:
     """The value of the last attribute of that name, else null."""
-    return F.get(F.filter(found, lambda a: a["name"] == name), F.size(F.filter(found, lambda a: a["name"] == name)) - 1)["value"]
+    return F.try_element_at(F.filter(found, lambda a: a["name"] == name), F.lit(-1))["value"]
 
 
 def tags(html: Column, name: str) -> Column:

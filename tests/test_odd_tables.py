@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evidara.functions import contacts
 from evidara.plans import catalogue
 from evidara.session import durable
 
@@ -67,3 +68,8 @@ def test_checkpoints_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert files() <= before and kept.count() == 7
+
+
+def test_channels_read_the_links_once(spark):
+    plan = spark.createDataFrame([("x",)], "h string").select(contacts.channels(F.col("h")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("(?i)<a\\b") == 1
