@@ -324,10 +324,12 @@ TABLES, TABLE_BITS, CHECK_BITS, TABLE_BUDGET = 16, 32, 256, 3
 HOT_GROUP = 1 << 10
 #: Up to so many of these first ones (with their bits, 128 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_LEADERS = 1 << 18
-#: In each pass of the tries a fingerprint asks for so many doubtful partners in a subtree; the last pass has no bound.
-PASSES = (4, 32, None)
+#: Doubtful pairs take one pass without a bound; nothing reads this any more, but a test of the several passes sets it.
+PASSES = (None,)
 #: Pairs whose bits are compared at once.
 COMPARED = 1 << 18
+#: Families with more fingerprints or shingles than this are compared in blocks of about that size.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def expected_share(similarity: float) -> float:
@@ -345,10 +347,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle_words: i
     do that; a pair that passes but is not sure is confirmed by the exact similarity of its shingle sets, in a join.
 
     In each trie a pair within the budget agrees in one of four 8-bit blocks, so each document goes to four subtrees,
-    and large subtrees are dealt out once more. The first passes ask for a few doubtful partners of each node and subtree,
-    the nearest; nodes with more take part in another pass, in which groups joined meanwhile are not met again, and
-    the last pass has no bound, so every doubtful pair between different groups is confirmed. A batch sends on a spanning forest of its sure pairs, and of the others
-    those between different trees. Equal fingerprints are merged before. Where very many fingerprints share a trie key,
+    and large subtrees are dealt out once more. A batch sends on a spanning forest of its sure pairs and one of its
+    doubtful pairs, at most two rows for each node, however many pairs a crowded subtree has. Fingerprints connected by
+    doubtful pairs are a family, and all pairs of a family that sure pairs don't connect are confirmed exactly, in
+    blocks: pairs are never rows. A family's square is in counting what its shingle sets share; of rows, a node
+    comes once for each block of its family. Equal fingerprints are merged before. Where very many fingerprints share a trie key,
     those surely like the first of them are linked to it beforehand; the groups so linked are colours. All stay in
     the tries, but pairs of one colour are not met again, which loses no link and spares a hot group its square. Nulls, repeated rows, empty tables and extra columns are as in near_duplicates;
     texts without words form one group.
@@ -372,14 +375,12 @@ def _limits(similarity: float) -> tuple[int, int]:
     return int(CHECK_BITS * share + 2.5 * spread), int(CHECK_BITS * share - 2.8 * spread)
 
 
-def _place_of(values: np.ndarray) -> np.ndarray:
-    """For each value how many equal ones stand before it."""
-    order = np.argsort(values, kind="stable")
-    starts = np.r_[True, values[order][1:] != values[order][:-1]]
-    place = np.arange(len(values))
-    out = np.empty(len(values), np.int64)
-    out[order] = place - np.maximum.accumulate(np.where(starts, place, 0))
-    return out
+def _forest(nodes: np.ndarray, root: np.ndarray, kind: str) -> pd.DataFrame:
+    """Each node linked to the least one of its tree, which is mostly the same one in all subtrees where the tree is met."""
+    least = nodes.copy()
+    np.minimum.at(least, root, nodes)
+    own = nodes != least[root]
+    return pd.DataFrame({"a": nodes[own], "b": least[root[own]], "kind": kind})
 
 
 def hot_links(different: DataFrame, similarity: float, hot_group: int | None = None) -> DataFrame:
@@ -409,12 +410,12 @@ def hot_links(different: DataFrame, similarity: float, hot_group: int | None = N
     return members.join(different.select(F.col("node").alias("a"), F.col("fp").alias("one")), "a").join(small(leaders), "b").where(alike("one", "other")).select("a", "b")
 
 
-def similar_links(coloured: DataFrame, similarity: float, partners: int | None = None, group_limit: int = 1 << 14) -> DataFrame:
-    """(a, b, kind): pairs of nodes of (fp, node, colour) that are surely similar (``sure``), or may be (``doubtful``).
+def similar_links(coloured: DataFrame, similarity: float, compared: int | None = None, group_limit: int = 1 << 14) -> DataFrame:
+    """(a, b, kind): nodes of (fp, node, colour) connected by pairs that are surely similar (``sure``), or may be (``doubtful``).
 
-    Pairs of one colour are left out. With ``partners`` a doubtful pair is held back where both its nodes have that many
-    others in the subtree; both are then named in a row of kind ``again``, so that another pass over these nodes finds it.
+    Both kinds are spanning forests of a subtree's pairs; pairs of one colour are left out. ``compared`` pairs are worked off at once.
     """
+    at_once = compared or COMPARED
     most, sure = _limits(similarity)
     first, second = _orders(TABLE_BITS, 1, 4), [list(range(8)) + [8 + b for b in order] for order in _orders(24, 1, 4)]
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -441,41 +442,18 @@ def similar_links(coloured: DataFrame, similarity: float, partners: int | None =
             by_key = np.lexsort((colour, keys))
             keys, nodes, colour = keys[by_key], part["node"].to_numpy()[by_key], colour[by_key]
             check = np.frombuffer(b"".join(part["check"]), dtype=np.uint64).reshape(len(part), -1)[by_key]
-            root, doubtful, taken, again_nodes = np.arange(len(keys)), [], np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            root, family = np.arange(len(keys)), np.arange(len(keys))
             for found_a, found_b in trie_links(keys, int(depth), TABLE_BUDGET, TABLE_BITS, spanning=False, colours=colour):
-                for start in range(0, len(found_a), COMPARED):
-                    a, b = found_a[start : start + COMPARED], found_b[start : start + COMPARED]
+                for start in range(0, len(found_a), at_once):
+                    a, b = found_a[start : start + at_once], found_b[start : start + at_once]
                     apart = root[a] != root[b]
                     a, b = a[apart], b[apart]
                     differing = np.bitwise_count(check[a] ^ check[b]).sum(axis=1)
                     root = _join(root, a[differing <= sure], b[differing <= sure])
-                    maybe = (differing > sure) & (differing <= most) & (root[a] != root[b])
-                    a, b = a[maybe], b[maybe]
-                    if partners is not None and len(a):
-                        nearest = np.argsort(differing[maybe], kind="stable")
-                        a, b = a[nearest], b[nearest]
-                        open_ = (taken[a] + _place_of(a) < partners) | (taken[b] + _place_of(b) < partners)
-                        again_nodes[a[~open_]] = again_nodes[b[~open_]] = True
-                        a, b = a[open_], b[open_]
-                        np.add.at(taken, a, 1)
-                        np.add.at(taken, b, 1)
-                    if len(a):
-                        doubtful.append((a, b))
-                    if sum(len(x) for x, _ in doubtful) > 4 * COMPARED:
-                        yield pairs_of(nodes, root, doubtful)
-                        doubtful = []
-            own = np.flatnonzero(root != np.arange(len(keys)))
-            if len(own):
-                yield pd.DataFrame({"a": nodes[own], "b": nodes[root[own]], "kind": "sure"})
-            if doubtful:
-                yield pairs_of(nodes, root, doubtful)
-            if again_nodes.any():
-                yield pd.DataFrame({"a": nodes[again_nodes], "b": nodes[again_nodes], "kind": "again"})
-
-    def pairs_of(nodes: np.ndarray, root: np.ndarray, doubtful: list) -> pd.DataFrame:
-        a, b = (np.concatenate(x) for x in zip(*doubtful, strict=True))
-        apart = root[a] != root[b]
-        return pd.DataFrame({"a": np.minimum(nodes[a[apart]], nodes[b[apart]]), "b": np.maximum(nodes[a[apart]], nodes[b[apart]]), "kind": "doubtful"})
+                    maybe = (differing > sure) & (differing <= most) & (root[a] != root[b]) & (family[a] != family[b])
+                    family = _join(family, a[maybe], b[maybe])
+            yield _forest(nodes, root, "sure")
+            yield _forest(nodes, family, "doubtful")
 
     schema = "trie int, head long, key long, node long, colour long, check binary, depth int"
     dealt = coloured.mapInPandas(deal, schema)
@@ -491,7 +469,60 @@ def similar_links(coloured: DataFrame, similarity: float, partners: int | None =
 
     wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(coloured.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
     edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, kind string")
-    return edges.where("a <> b or kind = 'again'").distinct()
+    return edges.where("a <> b").distinct()
+
+
+def confirmed_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges that connect exactly the colours of which two nodes in one family have so similar shingle sets.
+
+    Of (family, node, colour, shingles). A family is cut into blocks by a hash of the node, and each pair of blocks is a
+    group of its own, bounded however large the family is. There an inverted list counts what each node of the one block
+    shares with all nodes of the other; only a spanning forest of the colours is sent on.
+    """
+
+    def confirm(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, part = rows["node"].to_numpy(), rows["own"].to_numpy()
+        sets = [np.asarray(x, dtype=np.int64) for x in rows["shingles"]]
+        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        _, first, colour = np.unique(rows["colour"].to_numpy(), return_index=True, return_inverse=True)
+        root = np.arange(len(first))  # over the colours
+        left, right = np.flatnonzero(part == rows["one"].iloc[0]), np.flatnonzero(part == rows["two"].iloc[0])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": nodes[:0], "b": nodes[:0]})
+        shingles = np.concatenate([sets[j] for j in right])
+        order = np.argsort(shingles, kind="stable")
+        shingles, holders = shingles[order], np.repeat(np.arange(len(right)), sizes[right])[order]
+        for i in left:
+            if not (root[colour[right]] != root[colour[i]]).any():
+                continue
+            begins, ends = np.searchsorted(shingles, sets[i]), np.searchsorted(shingles, sets[i], side="right")
+            common = np.zeros(len(right), dtype=np.int64)
+            for lists in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(np.cumsum(ends - begins) // FRONTIER)) + 1):
+                n = (ends - begins)[lists]
+                at = np.arange(n.sum()) + np.repeat(begins[lists] - np.cumsum(n) + n, n)
+                common += np.bincount(holders[at], minlength=len(right))
+            alike = right[common >= similarity * (sizes[i] + sizes[right] - common)]
+            alike = alike[root[colour[alike]] != root[colour[i]]]
+            root = _join(root, np.repeat(colour[i], len(alike)), colour[alike])
+        own = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": nodes[first[own]], "b": nodes[first[root[own]]]})
+
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).alias("blocks")
+    families = members.groupBy("family").agg(blocks, F.min("colour").alias("low"), F.max("colour").alias("high")).where("low <> high").select("family", "blocks")
+    placed = members.join(families, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks"))
+    each = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = each.select("family", "node", "colour", "shingles", "own", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
+    return pairs.groupBy("family", "one", "two").applyInPandas(confirm, "a long, b long").distinct()
+
+
+def _joined(parts: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) of the parts found so far, which stand for all edges before, joined by the edges; checkpointed."""
+    edges = edges.select("a", "b")
+    if edges.isEmpty():
+        return edges.toDF("node", "component") if parts is None else parts
+    if parts is not None:
+        edges = edges.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return durable(connected_components(edges))
 
 
 def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -506,30 +537,17 @@ def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col
     own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), fingerprint(text).alias("fp")).withColumn("node", F.xxhash64("fp")))
     different = durable(own.groupBy("node").agg(F.first("fp").alias("fp"), F.min("sha").alias("sha")))
     hashes = F.array_distinct(shingle_hashes(F.translate(text, UPPER, LOWER), shingle_words))
-    edges, pending = durable(hot_links(different, similarity)), different
-    for partners in PASSES:
-        colours = durable(connected_components(edges))
-        coloured = durable(pending.select("fp", "node").join(colours, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("colour")))
-        links = durable(similar_links(coloured, similarity, partners))
-        edges = durable(edges.unionByName(links.where("kind = 'sure'").select("a", "b")))
-        trees = durable(connected_components(edges))
-        tree_of = lambda side: trees.select(F.col("node").alias(side), F.col("component").alias(f"tree_{side}"))  # noqa: B023, E731
-        named = links.where("kind = 'doubtful'").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
-        asked = durable(named.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")).select("a", "b"))
-
-        # the shingle sets of the nodes asked about, one text for each node
-        wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(different.select("node", "sha"), "node")
-        texts = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).join(wanted, "sha").select("node", hashes.alias("shingles")).dropDuplicates(["node"])
-        sets = durable(texts)
-        pairs = asked.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
-        common = F.size(F.array_intersect("one", "other"))
-        confirmed = pairs.where(common >= similarity * (F.size("one") + F.size("other") - common)).select("a", "b")
-        edges = durable(edges.unionByName(confirmed))
-        again = durable(links.where("kind = 'again'").select(F.col("a").alias("node")).distinct())
-        if again.isEmpty():
-            break
-        pending = durable(different.join(again, "node", "left_semi"))
-    groups = connected_components(edges)
+    hot = _joined(None, durable(hot_links(different, similarity)))
+    coloured = durable(different.select("fp", "node").join(hot, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("colour")))
+    links = durable(similar_links(coloured, similarity))
+    trees = _joined(hot, links.where("kind = 'sure'"))
+    families = _joined(None, links.where("kind = 'doubtful'")).withColumnRenamed("component", "family")
+
+    # the shingle sets of families, one text for each node
+    asked = durable(families.join(trees, "node", "left").select("family", "node", F.coalesce("component", "node").alias("colour")).join(different.select("node", "sha"), "node"))
+    texts = docs.select(F.sha2(text.cast("binary"), 256).alias("sha"), text.alias("text")).join(asked, "sha").dropDuplicates(["node"])
+    members = durable(texts.select("family", "node", "colour", hashes.alias("shingles")))
+    groups = _joined(trees, durable(confirmed_links(members, similarity)))
     by_group = different.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     return own.join(by_group, "node").select("doc_id", "sha", "component")
 

@@ -103,6 +103,46 @@ def test_a_hot_group_loses_no_link_to_its_neighbours(spark, monkeypatch):
     assert sum(found[0][i] == want[i] for i in range(len(texts))) >= 0.98 * len(texts)
 
 
+def test_a_doubtful_group_makes_rows_in_proportion(spark):
+    """Fingerprints that all may be alike, but none surely: a row for each, not for each pair."""
+    rng = np.random.default_rng(16)
+    base = rng.integers(0, 256, 96, dtype=np.uint8)
+    rows = []
+    for node in range(300):
+        bits = np.unpackbits(base)
+        bits[512 + rng.choice(256, 18, replace=False)] ^= 1
+        rows.append((bytearray(np.packbits(bits).tobytes()), node, node))
+    links = simhash.similar_links(spark.createDataFrame(rows, "fp binary, node long, colour long"), 0.8).collect()
+    assert len(links) <= 2 * len(rows)
+    ends = {r["a"] for r in links} | {r["b"] for r in links}
+    assert ends == set(range(300)) and {"doubtful"} <= {r["kind"] for r in links} <= {"doubtful", "sure"}
+
+
+def test_families_are_confirmed_in_blocks_as_by_brute_force(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = []
+    for family in (1, 2, 3):
+        for i in range(1 if family == 3 else 60):
+            whole = set(range(100 * family, 100 * family + 40))
+            own = whole - set(rng.sample(sorted(whole), rng.choice([2, 4, 6]))) | {1000 * family + 10 * i + j for j in range(rng.choice([0, 2, 4]))}
+            node = 500 * family + i
+            rows.append((family, node, node - node % 2 if i < 10 else node, sorted(own)))
+    members = spark.createDataFrame(rows, "family long, node long, colour long, shingles array<long>")
+
+    def grouped(pairs):
+        root = {n: c for _, n, c, _ in rows} | {c: c for _, _, c, _ in rows}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {n: min(a, b) if c in (a, b) else c for n, c in root.items()}
+        return root
+
+    want = grouped((a, b) for f, a, _, x in rows for g, b, _, y in rows if f == g and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}))
+    assert 3 < len(set(want.values())) < 110
+    for block in (1 << 10, 7):
+        monkeypatch.setattr(simhash, "BLOCK_NODES", block)
+        assert grouped((r["a"], r["b"]) for r in simhash.confirmed_links(members, 0.8).collect()) == want
+
+
 def test_trie_links_leave_out_equal_colours_only():
     rng = np.random.default_rng(14)
     for size, colours in ((300, 5), (3000, 2)):
