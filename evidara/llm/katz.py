@@ -103,10 +103,13 @@ def _mixed(*values: np.ndarray) -> np.ndarray:
     """One well-mixed number below 2**63 for each tuple of numbers."""
     out = np.zeros(len(values[0]), dtype=np.uint64)
     for value in values:
-        out = (out ^ value.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= np.asarray(value, dtype=np.int64).view(np.uint64)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
-    return (out >> np.uint64(1)).astype(np.int64)
+    out >>= np.uint64(1)
+    return out.view(np.int64)
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,16 +203,16 @@ class Block:
     def __post_init__(self) -> None:
         start = self.start = int(np.flatnonzero(self.keys == _key(START))[0])
         first = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.v = np.r_[start, self.w[:-1]]
+        self.v = np.roll(self.w, 1)
         self.v[first] = start
-        self.u = np.r_[start, self.v[:-1]]
+        self.u = np.roll(self.v, 1)
         self.u[first] = start
         self.learnt = np.repeat(~self.held, self.lengths)
 
     def in_order(self, ids: np.ndarray) -> np.ndarray:
         """Number the words anew in the order of their ids, so that ids ascend where codes do; returns that order."""
         order = np.argsort(ids, kind="stable")
-        place = np.empty_like(order)
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(len(order))
         self.keys, self.w, self.v, self.u, self.start = self.keys[order], place[self.w], place[self.v], place[self.u], int(place[self.start])
         return order
@@ -222,14 +225,31 @@ class Block:
 
     def bigrams(self) -> tuple[np.ndarray, ...]:
         """The different bigrams (v, w) in the order of w, how often training documents hold them, whether held-out ones do, and which one each token ends."""
-        both, which = np.unique((self.w << 31) | self.v, return_inverse=True)
-        n, out = (np.bincount(which[rows], minlength=len(both)) for rows in (self.learnt, ~self.learnt))
-        return both & ((1 << 31) - 1), both >> 31, n, np.minimum(out, 1), which
+        both, which = _unique_pairs(self.w, self.v)
+        n, out = (np.bincount(which[rows], minlength=len(both)).astype(np.int32) for rows in (self.learnt, ~self.learnt))
+        return (both & ((1 << 31) - 1)).astype(np.int32), (both >> 31).astype(np.int32), n, np.minimum(out, 1).astype(np.int8), which
 
     def trigrams(self, history: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each different trigram a token that ends it, how often training documents hold it, and which one each token ends."""
-        _, at, which = np.unique((history << 31) | self.w, return_index=True, return_inverse=True)
-        return at, np.bincount(which[self.learnt], minlength=len(at)), which
+        both, which = _unique_pairs(history, self.w)
+        at = np.empty(len(both), dtype=np.int32)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1, dtype=np.int32)  # the first token of each
+        return at, np.bincount(which[self.learnt], minlength=len(at)).astype(np.int32), which
+
+
+def _unique_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs as one number each, ascending, and which of them each row is, in half the room of np.unique's answer."""
+    both = high.astype(np.int64)
+    both <<= 31
+    both |= low
+    order = np.argsort(both).astype(np.int32)
+    both = both[order]
+    new = np.empty(len(both), dtype=bool)
+    new[:1] = True
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    which = np.empty(len(both), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], which
 
 
 def _key(word: bytes) -> np.int64:
@@ -240,7 +260,7 @@ def _key(word: bytes) -> np.int64:
 
 def _block(row) -> Block:
     steps, codes, lengths = from_bytes(row["body"])
-    return Block(np.cumsum(steps), codes, lengths, np.array(row["held"], dtype=bool))
+    return Block(np.cumsum(steps), codes.astype(np.int32), lengths, np.array(row["held"], dtype=bool))
 
 
 # --- the tables of one order ---------------------------------------------------------------------------------------
@@ -400,7 +420,9 @@ class Model:
     def bucket_of(self, words: list[np.ndarray], history_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of an n-gram is that of its history; a hot history's n-grams are dealt by their last word too."""
         hot = history_count > self.hot_from
-        return np.where(hot, _mixed(*words), _mixed(*words[:-1])) % self.buckets, hot.astype(np.int64)
+        bucket = _mixed(*words[:-1])
+        bucket[hot] = _mixed(*(w[hot] for w in words))
+        return (bucket % self.buckets).astype(np.int32), hot.astype(np.int8)
 
     def probability(self, level: int, had: pd.DataFrame, words: list[np.ndarray], history_count: np.ndarray, lower: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
         """Counts and probabilities of n-grams, their histories' totals, and which of them held-out documents hold.
@@ -410,7 +432,7 @@ class Model:
         bucket, hot = self.bucket_of(words, history_count)
         discounts = self.discounts[level]
         counts, out = known.astype(np.int64), np.where(known, discounts[1], lower)
-        totals, wanted = history_count.astype(float), np.zeros(len(lower), dtype=np.int64)
+        totals, wanted = history_count.astype(float), np.zeros(len(lower), dtype=np.int8)
         asked = np.flatnonzero(~known)
         for place, count, flags, *sums, mass in _answers(had, level, bucket[asked]):
             at = asked[place]
@@ -472,7 +494,7 @@ def fit(blocks: DataFrame, buckets: int | None = None, most_hot: int = MOST_HOT,
         v, w, n, out, _ = block.bigrams()
         bucket, hot = model.bucket_of([ids[v], ids[w]], counts[v])
         total = np.full(len(v), model.tokens + int(model.left_words))
-        columns = [ids[v], ids[w], n, np.where(n > 0, counts[w], 0), total, np.minimum(counts[v], 1), hot, out]
+        columns = [ids[v], ids[w], n, np.where(n > 0, counts[w], 0), total, np.minimum(counts[v], 1).astype(np.int8), hot, out]
         return ((b, [part[0], _steps(part[1]), *part[2:], np.zeros(1, dtype=np.int64)]) for b, part in _dealt(bucket, *columns))
 
     bigrams = _exchange(blocks, [words], ask_bigrams, lambda asked, _: _count_histories(asked, model.discounts[1]), 2, buckets)
@@ -482,8 +504,9 @@ def fit(blocks: DataFrame, buckets: int | None = None, most_hot: int = MOST_HOT,
         grams = trigrams_of(model, _block(row), had)
         bucket, hot = model.bucket_of(grams.words, grams.history_count)
         seen = grams.n > 0
-        out = np.zeros(len(seen), dtype=np.int64)
-        columns = [*grams.words, grams.n, np.where(seen, grams.lower_count, 0), np.where(seen, grams.lower_total, 1).astype(np.int64), np.minimum(grams.history_count, 1), hot, out, grams.known]
+        out = np.zeros(len(seen), dtype=np.int8)
+        columns = [*grams.words, grams.n, np.where(seen, grams.lower_count, 0), np.where(seen, grams.lower_total, 1).astype(np.int64), np.minimum(grams.history_count, 1).astype(np.int8), hot, out, grams.known]
+        del grams, seen, hot, out
         for b, part in _dealt(bucket, *columns):
             asked = ~part[-1]
             first, second, *rest = (x[asked] for x in part[:-1])
@@ -515,13 +538,15 @@ def trigrams_of(model: Model, block: Block, had: pd.DataFrame) -> Trigrams:
     pair_counts, lower, totals, wanted = model.probability(2, had, [ids[v], ids[w]], counts[v], model.word(counts[w]), np.zeros(len(v), dtype=bool))
     # the bigram that ends one token earlier is the history; at the first token it is the start mark twice
     first = np.r_[0, np.cumsum(block.lengths)[:-1]]
-    history, history_count, asked = np.r_[0, which[:-1]], np.r_[0, pair_counts[which[:-1]]], np.r_[0, wanted[which[:-1]]]
-    history[first], history_count[first], asked[first] = len(v), counts[block.start], 1
+    history = np.roll(which, 1)
+    history[first] = len(v)
     at, n, token_trigram = block.trigrams(history)
-    pair = which[at]
+    pair, before = which[at], history[at]
+    del history, which, v, w
+    history_count, asked = np.append(pair_counts, counts[block.start])[before], np.append(wanted, 1)[before]
     return Trigrams(
-        [ids[block.u[at]], ids[block.v[at]], ids[block.w[at]]], n, history_count[at], lower[pair], pair_counts[pair], totals[pair],
-        (n > 0) & (history_count[at] == 1) & (asked[at] == 0), token_trigram, counts,
+        [ids[block.u[at]], ids[block.v[at]], ids[block.w[at]]], n, history_count, lower[pair], pair_counts[pair], totals[pair],
+        (n > 0) & (history_count == 1) & (asked == 0), token_trigram, counts,
     )
 
 
