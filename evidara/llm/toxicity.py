@@ -7,12 +7,14 @@ import pickle
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ DECAY = 0.6
 ACTIVE = 0.45
 UNIT_LETTERS, UNIT_OVERLAP = 40, 8
 CACHE = 400_000
+#: Words whose likeness is worked out together; each has some kilobytes of letter triples meanwhile.
+LEARNT_AT_ONCE = 1024
 THRESHOLD = 0.3
 
 # fixed values: digits and signs that stand for letters
@@ -133,6 +137,30 @@ def _vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6), used
 
 
+def _alike(units: list[str], block: int = 4096) -> np.ndarray:
+    """The kernel of all pairs of units; so many triples at a time, since all of them may be hundreds of thousands."""
+    codes, weights = _codes(units)
+    used = np.unique(codes[codes >= 0])
+    rows, columns = np.nonzero(codes >= 0)
+    at = np.searchsorted(used, codes[rows, columns])
+
+    def parts() -> Iterator[np.ndarray]:
+        for start in range(0, len(used), block):
+            own = np.flatnonzero((at >= start) & (at < start + block))
+            out = np.zeros((len(units), min(block, len(used) - start)), dtype=np.float32)
+            np.add.at(out, (rows[own], at[own] - start), weights[columns[own]].astype(np.float32))
+            yield out
+
+    length, out = np.zeros((len(units), 1), dtype=np.float32), np.zeros((len(units), len(units)), dtype=np.float32)
+    for part in parts():
+        length += (part * part).sum(axis=1, keepdims=True)
+    length = np.maximum(np.sqrt(length), 1e-6)
+    for part in parts():
+        part /= length
+        out += part @ part.T
+    return out
+
+
 def _sieve(codes: np.ndarray) -> np.ndarray:
     """Each code's place among 2**20."""
     return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
@@ -189,8 +217,8 @@ class Kernel:
     def learn(self, units: list[str]) -> None:
         """Remember each unit's row of likeness, or -1 if it is like no landmark."""
         units = sorted(units, key=len)  # like lengths share narrow arrays
-        for start in range(0, len(units), 4096):
-            part = units[start : start + 4096]
+        for start in range(0, len(units), LEARNT_AT_ONCE):
+            part = units[start : start + LEARNT_AT_ONCE]
             rows = self.likeness(part)
             rows[rows < ACTIVE] = 0
             is_active = rows.any(axis=1)
@@ -258,6 +286,39 @@ def _traits(unit: str) -> np.ndarray:
     return np.array([zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS for name in names], dtype=np.int32)
 
 
+class _UnitTraits:
+    """The traits of all units of some texts, end to end in one array, as places among the slots that occur."""
+
+    def __init__(self, parsed: list[Parsed]):
+        self.row: dict[str, int] = {}
+        flat, ends = array("i"), array("q", [0])
+        for text in parsed:
+            for unit in text.units:
+                if unit not in self.row:
+                    self.row[unit] = len(self.row)
+                    flat.frombytes(_traits(unit).tobytes())
+                    ends.append(len(flat))
+        self.flat, self.ends = np.frombuffer(flat, dtype=np.int32), ends
+        present = np.zeros(SLOTS, dtype=bool)
+        present[self.flat] = True
+        self.slots = np.flatnonzero(present)
+        place = np.cumsum(present, dtype=np.int32)
+        for start in range(0, len(flat), 1 << 18):
+            self.flat[start : start + (1 << 18)] = place[self.flat[start : start + (1 << 18)]] - 1
+
+    def of(self, unit: str) -> np.ndarray:
+        row = self.row[unit]
+        return self.flat[self.ends[row] : self.ends[row + 1]]
+
+    def among(self, chosen: np.ndarray) -> dict[str, np.ndarray]:
+        """For each unit with a chosen trait the positions of its traits in ``chosen``."""
+        column = np.full(len(self.slots), -1, dtype=np.int16)
+        column[chosen] = np.arange(len(chosen))
+        hit = column[self.flat]
+        own = ((unit, hit[self.ends[row] : self.ends[row + 1]]) for unit, row in self.row.items())
+        return {unit: found for unit, columns in own if len(found := columns[columns >= 0].astype(np.int64))}
+
+
 def _evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Log likelihood ratio of a trait's documents against the share of toxic ones; 0 where the trait goes with clean ones."""
     toxic, clean = toxic.astype(float), clean.astype(float)
@@ -275,17 +336,15 @@ def _suspects(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list
     telling, and make ordinary words suspect, just because a telling word holds it.
     """
     share = labels.mean()
-    counts = np.zeros((LEVELS, 2, SLOTS), dtype=np.uint16)  # clean, toxic; at most as many as documents are fitted on
-    traits: dict[str, np.ndarray] = {}
+    traits = _UnitTraits(parsed)
+    counts = np.zeros((LEVELS, 2, len(traits.slots)), dtype=np.uint16)  # clean, toxic; at most as many as documents are fitted on
     for text, label in zip(parsed, labels, strict=True):
         own = text.counts()
         if not own:
             continue
-        for unit in own:
-            if unit not in traits:
-                traits[unit] = _traits(unit)
-        slots, inverse = np.unique(np.concatenate([traits[u] for u in own]), return_inverse=True)
-        often = np.bincount(inverse, weights=np.repeat(list(own.values()), [len(traits[u]) for u in own]))
+        places = [traits.of(u) for u in own]
+        slots, inverse = np.unique(np.concatenate(places), return_inverse=True)
+        often = np.bincount(inverse, weights=np.repeat(list(own.values()), list(map(len, places))))
         for level in range(LEVELS):
             counts[level, int(label), slots[often > level]] += 1
     some = np.flatnonzero(counts[0, 1])
@@ -295,15 +354,15 @@ def _suspects(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list
     chosen = some[ranked[strength[ranked] >= EVIDENCE]]
     if not len(chosen):
         return [], []
-    column = {int(slot): i for i, slot in enumerate(chosen)}
-    marked = {u: own for u, slots in traits.items() if len(own := np.array([column[int(x)] for x in slots if int(x) in column], dtype=np.int64))}
+    marked = traits.among(chosen)
+    chosen = traits.slots[chosen]
     del traits
     held = np.zeros((len(parsed), len(chosen)), dtype=np.int32)
-    places: dict[str, list[tuple[int, int]]] = {}
+    places: dict[str, array] = {}  # a document and how often, again and again
     for at, text in enumerate(parsed):
         for unit, n in text.counts().items():
             if unit in marked:
-                places.setdefault(unit, []).append((at, n))
+                places.setdefault(unit, array("i")).extend((at, n))
                 held[at, marked[unit]] += n
     owners: dict[int, list[str]] = {}
     for unit in sorted(places):
@@ -318,7 +377,7 @@ def _suspects(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list
         return np.max([_evidence((part[toxic] > level).sum(axis=0), (part[~toxic] > level).sum(axis=0), share) for level in range(LEVELS)], axis=0)
 
     width = np.array([len(owners.get(i, ())) for i in range(len(chosen))])
-    now = evidence(np.arange(len(chosen)))
+    now = np.concatenate([evidence(np.arange(i, min(i + 100, len(chosen)))) for i in range(0, len(chosen), 100)])
     for _ in range(MARKS):
         if now.max() < EVIDENCE:
             break
@@ -330,11 +389,11 @@ def _suspects(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], list
         for unit in gone:
             value[unit] = float(now[pick])
             touched.update(marked[unit].tolist())
-            for at, n in places[unit]:
+            for at, n in zip(places[unit][::2], places[unit][1::2], strict=True):
                 held[at, marked[unit]] -= n
         columns = np.array(sorted(touched))
         now[columns] = evidence(columns)
-    bad = {u for u in value if any(toxic[at] for at, _ in places[u])}
+    bad = {u for u in value if any(toxic[at] for at in places[u][::2])}
     return sorted(bad, key=lambda u: (-value[u], u))[:CANDIDATES], marks
 
 
@@ -363,8 +422,7 @@ def _landmarks(parsed: list[Parsed], labels: np.ndarray) -> tuple[list[str], lis
     suspects, marks = _suspects(parsed, labels)
     if not suspects:
         return [], []
-    vectors, _ = _vectors(suspects)
-    alike = vectors @ vectors.T
+    alike = _alike(suspects)
     held = Counter(u for text, label in zip(parsed, labels, strict=True) if label for u in text.units)
     weight = np.log1p([held[u] for u in suspects])
     best, chosen = np.zeros(len(suspects)), []
@@ -422,8 +480,9 @@ def fit(texts: list[str], labels: list[int], share: float | None = None) -> Mode
     parsed, known = [], {}
     for text in texts:
         one = Parsed(text)
-        one.units = {known.setdefault(u, u) for u in one.units}  # one object for each different word
+        one.units = tuple(known.setdefault(u, u) for u in one.units)  # one object for each different word; a set takes ten times a tuple's room
         parsed.append(one)
+    del known
     originals = _originals(parsed)
     chosen, marks = _landmarks([parsed[i] for i in originals], y[originals])
     if not chosen:
@@ -548,12 +607,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = fit_documents(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")  # a batch may be ten thousand whole texts, of which 256 are Python strings at a time
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value  # kept by the Python worker, with the words it has learnt
         for texts in parts:
-            out = [own.scores(texts.iloc[at : at + 256].tolist()) for at in range(0, len(texts), 256)]
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            out = [own.scores(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+            del texts
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     scored = docs.withColumn("score", score(whole(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
