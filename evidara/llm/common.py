@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,29 @@ def n_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+#: Rows of an Arrow batch whose whole texts are Python strings at once; a batch may have ten thousand.
+STRINGS = 256
+
+
+def in_slices(batches: Iterator, rows: int = STRINGS) -> Iterator:
+    """Arrow batches or arrays, a few rows at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def giving_back(batches: Iterator) -> Iterator:
+    """The batches; after the last, what this Python worker has freed goes back to the system.
+
+    Spark keeps a worker for later tasks, so what it held at its peak would count through stages without any Python too.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def global_prefix(df: DataFrame, order: list[Column], size: str) -> tuple[DataFrame, int, int]:
     """Each row's global position and the sum of ``size`` before it, in ``order``.
 
@@ -55,13 +80,16 @@ def global_prefix(df: DataFrame, order: list[Column], size: str) -> tuple[DataFr
             rows, total = rows + len(batch), total + int(sizes.sum())
             yield batch
 
-    local = durable(ordered.mapInPandas(running, schema))
+    local = durable(ordered.mapInPandas(lambda batches: giving_back(running(batches)), schema))
     totals = local.groupBy("part").agg(F.count("*").alias("rows"), F.sum(size).alias("size")).orderBy("part").collect()
     offsets, rows, total = [], 0, 0
     for one in totals:
         offsets.append((one["part"], rows, total))
         rows, total = rows + one["rows"], total + one["size"]
-    table = spark.createDataFrame(offsets, "part int, first_position long, first_before long")
+    # from Arrow: rows given as a list would be read by Python workers of another kind, which each executor keeps beside the others
+    columns = zip(*offsets, strict=True) if offsets else ([], [], [])
+    names = {"part": pa.int32(), "first_position": pa.int64(), "first_before": pa.int64()}
+    table = spark.createDataFrame(pa.table([pa.array(x, kind) for x, kind in zip(columns, names.values(), strict=True)], names=list(names)))
     placed = local.join(F.broadcast(table), "part").select(  # one row for each partition
         *kept, (F.col("local_position") + F.col("first_position")).alias("position"), (F.col("local_before") + F.col("first_before")).alias("before")
     )

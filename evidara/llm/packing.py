@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import global_prefix, whole
+from evidara.llm.common import giving_back, global_prefix, in_slices, whole
 
 LENGTH = 2048
 #: Lengths are rounded up to this many tokens for the patterns, which bounds the linear program whatever the input.
@@ -68,21 +69,21 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENG
     Literals of ``added`` tokens get their ids; without these they are encoded as plain text.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = with_added(text_encoder(vocabulary), added or {})
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = encode(text) + end
                 total = len(ids) // 4
                 rows += [(doc_id, at, min(length, total - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), total) for at in range(0, total, length)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*rows, strict=True)], names=names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    return slim.mapInPandas(
-        lambda batches: cut(b.astype({"doc_id": "Int64"}) for b in batches), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    return slim.mapInArrow(lambda batches: giving_back(cut(batches)), ", ".join(f"{name} long" for name in names))
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -211,7 +212,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = LENGTH
 
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, units long, position long"
     assigned = placed.select(*[c.split()[0] for c in columns.split(", ")], "before").mapInPandas(
-        lambda batches: assign(b.astype({"doc_id": "Int64"}) for b in batches), columns + ", sequence_id long"
+        lambda batches: giving_back(assign(b.astype({"doc_id": "Int64"}) for b in batches)), columns + ", sequence_id long"
     )
     ahead = Window.partitionBy("sequence_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(ahead), F.lit(0))

@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidara.llm.common import LOWER, UPPER, whole
+from evidara.llm.common import LOWER, UPPER, giving_back, in_slices, whole
 from evidara.llm.components import connected_components
 from evidara.llm.exact_dedup import keep_rows
 from evidara.llm.fingerprint import shingle_hashes
@@ -23,7 +24,7 @@ SEED = 42
 FRONTIER = 1 << 20
 
 
-def _majorities(texts: pd.Series, shingle_words: int, words: int, distinct: bool = False) -> np.ndarray:
+def _majorities(texts: pd.Series | list[str], shingle_words: int, words: int, distinct: bool = False) -> np.ndarray:
     """For each text ``words`` 64-bit majorities over its shingles' hashes; zeros without words.
 
     The first takes the hashes as they are, further ones take them mixed anew, so that all bits are independent.
@@ -394,7 +395,7 @@ def hot_links(different: DataFrame, similarity: float, hot_group: int | None = N
                 for t in range(TABLES):
                     yield pd.DataFrame({"trie": t, "key": tables[:, t].view(np.int64), "node": batch["node"]})
 
-    keyed = different.mapInPandas(keys, "trie int, key long, node long")
+    keyed = different.mapInPandas(lambda batches: giving_back(keys(batches)), "trie int, key long, node long")
     hot = durable(keyed.groupBy("trie", "key").agg(F.count("*").alias("n"), F.min("node").alias("b")).where(F.col("n") > (HOT_GROUP if hot_group is None else hot_group)).drop("n"))
     few = hot.count() <= BROADCAST_LEADERS
     small = lambda df: F.broadcast(df) if few else df
@@ -456,7 +457,7 @@ def similar_links(coloured: DataFrame, similarity: float, compared: int | None =
             yield _forest(nodes, family, "doubtful")
 
     schema = "trie int, head long, key long, node long, colour long, check binary, depth int"
-    dealt = coloured.mapInPandas(deal, schema)
+    dealt = coloured.mapInPandas(lambda batches: giving_back(deal(batches)), schema)
     sizes = dealt.groupBy("trie", "head").agg(F.count("*").alias("n")).where(F.col("n") > group_limit)
     large = {(r["trie"], r["head"]) for r in sizes.select("trie", "head").collect()}  # of TABLES * 4 * 256 heads
 
@@ -467,8 +468,9 @@ def similar_links(coloured: DataFrame, similarity: float, compared: int | None =
             if split.any():
                 yield from again(iter([batch[split]]))
 
-    wide = dealt.mapInPandas(parted, schema).repartition(shuffle_partitions(coloured.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
-    edges = wide.mapInPandas(lambda batches: _by_subtree(batches, linked), "a long, b long, kind string")
+    # dealt anew and parted in one step: two steps in a row would take two Python workers for each task, which all stay
+    wide = coloured.mapInPandas(lambda batches: giving_back(parted(deal(batches))), schema).repartition(shuffle_partitions(coloured.sparkSession), "trie", "head").sortWithinPartitions("trie", "head")
+    edges = wide.mapInPandas(lambda batches: giving_back(_by_subtree(batches, linked)), "a long, b long, kind string")
     return edges.where("a <> b").distinct()
 
 
@@ -529,9 +531,12 @@ def _similar_rows(docs: DataFrame, similarity: float, shingle_words: int, id_col
     """(doc_id, sha, component) for every row; the hash of the text tells rows without id, or of one id, apart."""
     words = (TABLES * TABLE_BITS + CHECK_BITS) // BITS
 
-    @F.pandas_udf(T.BinaryType())
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([row.astype(">u8").tobytes() for row in _majorities(texts, shingle_words, words, distinct=True)])
+    @F.arrow_udf(T.BinaryType())
+    def fingerprint(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in giving_back(parts):
+            out = [row.astype(">u8").tobytes() for part in in_slices([texts]) for row in _majorities(part.to_pylist(), shingle_words, words, distinct=True)]
+            del texts
+            yield pa.array(out, pa.binary())
 
     text = whole(text_col)
     own = durable(docs.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha"), fingerprint(text).alias("fp")).withColumn("node", F.xxhash64("fp")))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.common import whole
+from evidara.llm.common import giving_back, in_slices, whole
 
 #: Labelled documents the classifier is fitted on at most, for each label.
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
@@ -591,7 +591,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         rows = pd.concat(parts).sort_values("at") if parts else pd.DataFrame({"text": [], "label": []})
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["label"].tolist(), share))]})
 
-    learnt = rows.select("text", "label", "at").coalesce(1).mapInPandas(learn, "model binary").collect()  # one row, a few hundred kilobytes
+    learnt = rows.select("text", "label", "at").coalesce(1).mapInPandas(lambda batches: giving_back(learn(batches)), "model binary").collect()  # one row, a few hundred kilobytes
     return pickle.loads(bytes(learnt[0]["model"])) if learnt else fit([], [], share)
 
 
@@ -607,11 +607,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = fit_documents(docs, labels, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")  # a batch may be ten thousand whole texts, of which 256 are Python strings at a time
+    @F.arrow_udf("double")  # by Arrow, so that a few texts are Python strings at a time
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value  # kept by the Python worker, with the words it has learnt
-        for texts in parts:
-            out = [own.scores(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+        for texts in giving_back(parts):
+            out = [own.scores(part.to_pylist()) for part in in_slices([texts])]
             del texts
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
